@@ -14,7 +14,7 @@ from .common import id_and_text, id_type, slices, word_table
 
 #: A word is a run of these bytes: digits, letters and every byte of a non-ASCII character.
 _TABLE = word_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: Bytes of normalised windows in one automaton (some 50 times that in memory). Larger test sets are scanned in passes.
 AUTOMATON_BYTES = 2_000_000
