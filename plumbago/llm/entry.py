@@ -31,6 +31,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +45,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op5_pieces)}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op4_toxicity, op5_pieces, op9_licenses)}
 
 _OP2 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -55,4 +67,27 @@ SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(words.n_hi
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2}
+
+
+def _op9() -> str:
+    from .licenses import TEMPLATES, THRESHOLD
+
+    notices = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in row)) for i, row in enumerate(TEMPLATES))
+    words = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH notice AS (SELECT template, license, {grams} AS g FROM (SELECT template, license, {words.format("notice")} AS w FROM (VALUES {notices}) AS t(template, license, notice)) WHERE len(w) > 1),
+unit AS (SELECT doc_id, unit, {words.format("line")} AS w FROM (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS unit FROM
+         (SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)), list_filter(regexp_split_to_array(coalesce(text, ''), '
+[ 	]*
+'), lambda p: contains(p, chr(10)))) AS u FROM documents))),
+gram AS (SELECT doc_id, unit, {grams} AS g FROM unit WHERE len(w) > 1),
+hit AS (SELECT doc_id, unit, template, license, 2.0::DOUBLE * len(list_intersect(gram.g, notice.g)) / (len(gram.g) + len(notice.g)) AS dice FROM gram JOIN notice
+        ON len(gram.g) BETWEEN len(notice.g) * {THRESHOLD} / (2 - {THRESHOLD}) - 0.001 AND len(notice.g) * (2 - {THRESHOLD}) / {THRESHOLD} + 0.001),
+best AS (SELECT * FROM hit WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1),
+doc AS (SELECT doc_id, first(license ORDER BY dice DESC, template) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_units FROM best GROUP BY doc_id)
+SELECT d.doc_id, doc.license, coalesce(doc.dice, 0.0) AS dice, coalesce(doc.licenses, '') AS licenses, coalesce(doc.n_units, 0) AS n_units FROM documents d LEFT JOIN doc USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_licenses": _op9()}
