@@ -45,13 +45,19 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pq import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op4_toxicity, op5_pieces, op9_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op4_toxicity, op5_pieces, op6_near_vectors, op9_licenses)}
 
 _OP2 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -79,7 +85,8 @@ def _op9() -> str:
 WITH notice AS (SELECT template, license, {grams} AS g FROM (SELECT template, license, {words.format("notice")} AS w FROM (VALUES {notices}) AS t(template, license, notice)) WHERE len(w) > 1),
 unit AS (SELECT doc_id, unit, {words.format("line")} AS w FROM (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS unit FROM
          (SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)), list_filter(regexp_split_to_array(coalesce(text, ''), '
-[ 	]*
+[ 	
+]*
 '), lambda p: contains(p, chr(10)))) AS u FROM documents))),
 gram AS (SELECT doc_id, unit, {grams} AS g FROM unit WHERE len(w) > 1),
 hit AS (SELECT doc_id, unit, template, license, 2.0::DOUBLE * len(list_intersect(gram.g, notice.g)) / (len(gram.g) + len(notice.g)) AS dice FROM gram JOIN notice
