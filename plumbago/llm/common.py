@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled per Python step, so that a worker's memory follows this and not the Arrow batch.
@@ -36,15 +36,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns under fixed names whatever else the table holds; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """Two columns, and extra ones, under fixed names whatever else the table holds; a null text counts as empty."""
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
 
 
 def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
 
+def carried(docs: DataFrame, keep: Sequence[str]) -> tuple[list[Column], str, list[str]]:
+    """Columns that pass through a Python step beside its own: picks under safe names, their schema, those names."""
+    names = [f"keep{i}" for i in range(len(keep))]
+    schema = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+    return [F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], schema, names
+
+
+def restored(names: Sequence[str], keep: Sequence[str]) -> list[Column]:
+    return [F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

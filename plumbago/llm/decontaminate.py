@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, slices, word_table
+from .common import carried, id_and_text, id_type, restored, slices, word_table
 
 #: A word is a run of these bytes: digits, letters and every byte of a non-ASCII character.
 _TABLE = word_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -76,7 +76,7 @@ def _patterns(items: DataFrame, shards: int) -> Iterator[list[tuple[str, list[st
         yield [(w, sorted(ids)) for w, ids in sorted(found.items())]
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """One row per document and pass: id, n_words, runs (hit word ranges), spans (the same as [start, end) character
     offsets of the original text), items.
 
@@ -87,18 +87,19 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null and text <> ''")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size * WINDOW // AUTOMATON_BYTES))
-    texts, kind = id_and_text(docs, id_col, text_col), id_type(docs, id_col)
+    extra, more, names = carried(docs, keep)
+    texts, kind = id_and_text(docs, id_col, text_col, extra), id_type(docs, id_col)
     spark, passes = docs.sparkSession, []
     for patterns in _patterns(items, shards):
         shared = spark.sparkContext.broadcast(patterns)
-        passes.append(texts.mapInArrow(_scanner(shared, uuid.uuid4().hex), f"id {kind}, n_words long, runs array<array<int>>, spans array<array<int>>, items array<string>"))
+        passes.append(texts.mapInArrow(_scanner(shared, uuid.uuid4().hex, names), f"id {kind}, n_words long, runs array<array<int>>, spans array<array<int>>, items array<string>{more}"))
     out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
+    for other in passes[1:]:
+        out = out.unionByName(other)
     return out if shards == 1 else out.withColumn("sharded", F.lit(True))
 
 
-def _scanner(shared, key: str):
+def _scanner(shared, key: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _built.get(key)
         if automaton is None:
@@ -117,25 +118,26 @@ def _scanner(shared, key: str):
                 all_spans.append(spans)
                 all_items.append(sorted(items))
             pairs = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words, pa.int64()), pa.array(all_runs, pairs), pa.array(all_spans, pairs), pa.array(all_items, pa.list_(pa.string()))], ["id", "n_words", "runs", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words, pa.int64()), pa.array(all_runs, pairs), pa.array(all_spans, pairs), pa.array(all_items, pa.list_(pa.string())), *(b.column(n) for n in names)], ["id", "n_words", "runs", "spans", "items", *names])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **item_cols) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), **item_cols) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, spans, columns of keep.
 
     A test set within the bound needs no shuffle. Beyond it, the passes of a document meet by its id (ids are then
     taken as unique) and their hit ranges are merged. Ties: an item counts once however often it occurs.
     """
-    found = contaminated_spans(docs, benchmark, id_col, text_col, **item_cols)
+    found = contaminated_spans(docs, benchmark, id_col, text_col, keep=keep, **item_cols)
+    names = carried(docs, keep)[2]
     if "sharded" in found.columns:
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *(F.first(n).alias(n) for n in names))
         merge = "aggregate(array_sort(runs), named_struct('n', 0, 'to', -1), (a, r) -> named_struct('n', a.n + greatest(0, r[1] - greatest(a.to, r[0])), 'to', greatest(a.to, r[1])), a -> a.n)"
     else:
         merge = "aggregate(runs, 0, (a, r) -> a + r[1] - r[0])"
     hit = F.expr(merge).cast("long")
-    return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), "spans")
+    return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), "spans", *restored(names, keep))
 
 
 __all__ = ["contaminated_spans", "decontaminate", "scan", "build", "windows_of"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_and_text, id_type, slices, stored
+from .common import LOWER, carried, id_and_text, id_type, restored, slices, stored
 from .components import Forest, components
 
 RADIUS = 4
@@ -42,15 +42,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp long): the 64 bits as a signed number. No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, fp long, keep0, ...): the 64 bits as a signed number, and carried columns. No shuffle."""
+    extra, more, names = carried(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fps = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps), *(b.column(n) for n in names)], ["id", "fp", *names])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, fp long")
+    return id_and_text(docs, id_col, text_col, extra).mapInArrow(run, f"id {id_type(docs, id_col)}, fp long{more}")
 
 
 def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
@@ -210,10 +211,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null keep their row and never name a component. Extra columns are ignored; an empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return prints.join(_named(prints, radius), "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of prints(id, fp)."""
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(near_links(least.select("fp"), radius))
     known = stored(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
     first = stored(known.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = stored(known.select("fp", "root").join(first, "root").select("fp", "component_id"), "names")
-    shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return stored(known.select("fp", "root").join(first, "root").select("fp", "component_id"), "names")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that name their component: those whose id is the least of it.
+
+    Of rows that repeat such an id one stays. Rows without an id stay only if no row with an id is linked to them.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, size).select("id", "fp"), "fingerprints")
+    extra_names = docs.columns
+    full = fingerprints(docs, id_col, text_col, size, extra_names)
+    kept = full.join(_named(prints, radius), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    out = kept.select(*restored([f"keep{i}" for i in range(len(extra_names))], extra_names))
+    if prints.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        return out
+    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))

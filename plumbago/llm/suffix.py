@@ -10,14 +10,14 @@ compared over the length that counts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, new_table, slices, stored
+from .common import carried, id_and_text, id_type, new_table, restored, slices, stored
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -304,7 +304,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     return stored(spans.groupBy("digest", "start").agg(F.max("stop").alias("stop")).groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "covered")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), length: int = LENGTH, **options) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes as binary) and
     the columns named in keep.
 
@@ -314,10 +314,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result.
     """
     spans = repeated_spans(docs, text_col, length, **options)
-    extra = [F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra).withColumn("digest", F.unhex(F.md5("text")))
-    both = rows.join(spans, "digest", "left").select("id", "text", "spans", *(f"keep{i}" for i in range(len(keep))))
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    extra, more, names = carried(docs, keep)
+    rows = id_and_text(docs, id_col, text_col, extra).withColumn("digest", F.unhex(F.md5("text")))
+    both = rows.join(spans, "digest", "left").select("id", "text", "spans", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -333,7 +332,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = b"".join(kept)
                 out.append((len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left))
             arrays = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *arrays, *(b.column(f"keep{i}") for i in range(len(keep)))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"keep{i}" for i in range(len(keep)))])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *arrays, *(b.column(n) for n in names)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
 
-    schema = f"id {id_type(docs, id_col)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", keep{i} {t}" for i, t in enumerate(kinds))
-    return both.mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)))
+    schema = f"id {id_type(docs, id_col)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}"
+    return both.mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *restored(names, keep))
+
+
+def whole_characters(column: str):
+    """A binary column as text, without bytes that are no whole UTF-8 character."""
+
+    @F.arrow_udf("string")
+    def clean(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
+
+    return clean(F.col(column))

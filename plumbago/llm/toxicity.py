@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, slices, stored
+from .common import carried, id_and_text, id_type, restored, slices, stored
 
 #: Labelled rows that the classifier is fitted on, those with the least hash of their id; and the features it keeps.
 SAMPLE_ROWS = 20_000
@@ -221,9 +221,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 seen[label > 0].update({f for w in set(_WORD.findall(restore(text))) for f in features(w)})
         names = [*seen[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["f", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["f", "pos", "neg"])
         for names in _chunks([f for f in seen[0] if f not in seen[1]], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([0] * len(names), pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["f", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["f", "pos", "neg"])
 
     sizes = {bool(r["y"]): r["n"] for r in sample.groupBy((F.col("label") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
@@ -253,22 +253,23 @@ def _chunks(items: list, n: int) -> Iterator[list]:
         yield items[i : i + n]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, score (0 to 1), predicted (score >= 0.5). No shuffle.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs: id, held_out, score (0 to 1), predicted (score >= 0.5), columns of keep. No shuffle.
 
     Null and empty texts get the score of a text without features. Whole texts are read; other columns are ignored;
     rows with one id are scored apart; an empty table gives an empty result.
     """
     given = docs.sparkSession.sparkContext.broadcast((model.channel, model.names, model.weights))
+    extra, more, names = carried(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*given.value)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.score(t) for t in b.column("text").to_pylist()], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.score(t) for t in b.column("text").to_pylist()], pa.float64()), *(b.column(n) for n in names)], ["id", "score", *names])
 
-    out = id_and_text(docs, id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, score double")
+    out = id_and_text(docs, id_col, text_col, extra).mapInArrow(run, f"id {id_type(docs, id_col)}, score double{more}")
     held = F.coalesce(crc_remainder(F.col("id"), FOLDS) == HELD_OUT, F.lit(False))
-    return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *restored(names, keep))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
