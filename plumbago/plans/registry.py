@@ -425,3 +425,65 @@ def stable_frames(spark, sf):
 @query("SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang")
 def source_profile(spark, sf):
     return _t(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+# -- notes ----------------------------------------------------------------------------------------------------------------
+
+
+def _notes(spark, sf) -> DataFrame:
+    """Each conversation is one section of the notes of its hundred, a role a subsection, a turn a point."""
+    rows = _t(spark, sf, "conversations")
+    first = rows.groupBy("conv_id", "role").agg(F.min("turn").alias("sub_pos"))
+    return rows.join(first, ["conv_id", "role"]).select(
+        F.expr("conv_id div 100").alias("notes_id"), F.lit("Talks").alias("title"), F.col("conv_id").alias("sec_pos"), F.concat_ws(" ", F.element_at(F.array(F.lit("Example"), F.lit("Parser"), F.lit("Other")), (F.col("conv_id") % 3 + 1).cast("int")), "conv_id").alias("sec_heading"), "sub_pos", F.col("role").alias("sub_heading"), F.col("turn").alias("pt_pos"), "text"
+    )
+
+
+_NOTES = """p AS (SELECT conv_id // 100 AS notes_id, conv_id AS sec_pos, CASE conv_id % 3 WHEN 0 THEN 'Example ' WHEN 1 THEN 'Parser ' ELSE 'Other ' END || conv_id AS sec_heading, CASE conv_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 9 END AS w, min(turn) OVER (PARTITION BY conv_id, role) AS sub_pos, role AS sub_heading, turn AS pt_pos, text FROM conversations)"""
+
+
+@query(f"WITH {_NOTES} SELECT notes_id, sec_heading, CAST(dense_rank() OVER (PARTITION BY notes_id ORDER BY w, sec_pos) - 1 AS INT) AS sec_pos, pt_pos FROM p")
+def notes_in_teaching_order(spark, sf):
+    from plumbago.operators import notes
+
+    return notes.in_teaching_order(_notes(spark, sf)).select("notes_id", "sec_heading", "sec_pos", "pt_pos")
+
+
+@query(rf"""WITH {_NOTES}, d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY notes_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) ORDER BY sec_pos, sub_pos, pt_pos) = 1)
+SELECT notes_id, sec_heading, sub_heading, count(*) AS n FROM d GROUP BY ALL""")
+def notes_distinct_points(spark, sf):
+    from plumbago.operators import notes
+
+    return notes.distinct_points(_notes(spark, sf)).groupBy("notes_id", "sec_heading", "sub_heading").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_NOTES}, c AS (SELECT *, count(*) OVER (PARTITION BY notes_id, sec_pos, sub_pos) AS n FROM p)
+SELECT notes_id, CASE WHEN n >= 4 THEN sub_heading ELSE sec_heading END AS sec_heading, CASE WHEN n >= 4 THEN 'Overview' ELSE sub_heading END AS sub_heading, count(*) AS n_points FROM c GROUP BY ALL""")
+def notes_promoted(spark, sf):
+    from plumbago.operators import notes
+
+    return notes.promoted(_notes(spark, sf)).groupBy("notes_id", "sec_heading", "sub_heading").agg(F.count("*").alias("n_points"))
+
+
+@query()
+def notes_improved(spark, sf):
+    from plumbago.operators import notes
+
+    return notes.improve(_notes(spark, sf))
+
+
+@query()
+def notes_nested(spark, sf):
+    from plumbago.operators import notes
+
+    return notes.nested(_notes(spark, sf)).select("notes_id", F.sha2(F.to_json("sections"), 256).alias("digest"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, len(string_split_regex(unnest(list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: len(string_split_regex(s, '\s+')) >= 3)), '\s+')) AS n FROM documents)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, count(*) AS n_sentences FROM s GROUP BY doc_id""")
+def summary_chunks(spark, sf):
+    from plumbago.operators import notes
+
+    chunks = notes.chunked(_t(spark, sf, "documents"), 120)
+    per = chunks.select("doc_id", F.size(F.split("text", r"\s+")).alias("w"), F.size(F.split("text", r"\.\s+")).alias("s"))
+    return per.groupBy("doc_id").agg(F.sum("w").alias("n_words"), F.sum("s").alias("n_sentences"))

@@ -199,3 +199,44 @@ def test_stable_frames(spark, tmp_path, streamed):
     else:
         got = slides.stable_frames(df)
     assert sorted(map(tuple, got.collect())) == [("v", 3.0, 5.0, 1.0), ("v", 7.0, 9.0, 5.0)]
+
+
+@pytest.mark.parametrize("relation,kind", [("is a", "Definition"), ("uses", "Protocols & Usage"), ("", "Key Points"), ("zzz", "Key Points"), ("contains a", "Components & Structure"), (None, "Key Points")])
+def test_subsection_of(spark, relation, kind):
+    from plumbago.operators import notes
+
+    assert one(spark, relation, notes.subsection_of) == kind
+
+
+def test_violations(spark):
+    from plumbago.operators import notes
+
+    kind = "notes_id int, title string, sections array<struct<heading string, subsections array<struct<heading string, points array<struct<text string>>>>>>"
+    df = spark.createDataFrame([(1, "", [("A", [])]), (2, "T", [("A", [("s", [("x",)])]), ("B", [("", [(" ",)]), ("t", [])])])], kind)
+    got = sorted((r["notes_id"], r["rule"]) for r in notes.violations(df).collect())
+    assert got == [(1, "sections"), (1, "subsections"), (1, "title"), (2, "points"), (2, "subsection heading"), (2, "text")]
+
+
+def test_nested_and_back(spark):
+    from plumbago.operators import notes
+
+    rows = [(1, "T", 0, "A", 0, "x", 0, "one"), (1, "T", 0, "A", 0, "x", 1, "two"), (1, "T", 0, "A", 1, "y", 0, "three"), (1, "T", 1, "B", 0, "z", 0, "four")]
+    df = spark.createDataFrame(rows, "notes_id int, title string, sec_pos int, sec_heading string, sub_pos int, sub_heading string, pt_pos int, text string")
+    assert sorted(map(tuple, notes.flattened(notes.nested(df)).collect())) == rows
+
+
+def test_merged_and_regrouped(spark):
+    from plumbago.operators import notes
+
+    rows = [(1, "T", 0, "A", 0, "x", 0, "one"), (1, "T", 0, "A", 1, "X ", 0, "One"), (1, "T", 0, "A", 1, "X ", 1, "two"), (1, "T", 0, "A", 2, "y", 0, "one")]
+    df = spark.createDataFrame(rows, "notes_id int, title string, sec_pos int, sec_heading string, sub_pos int, sub_heading string, pt_pos int, text string")
+    assert sorted((r["sub_pos"], r["sub_heading"], r["pt_pos"], r["text"]) for r in notes.merged_subsections(df).collect()) == [(0, "x", 0, "one"), (0, "x", 1, "two"), (1, "y", 0, "one")]
+    related = df.withColumn("relation", F.when(F.col("text") == "two", "is a").otherwise("uses"))
+    assert sorted((r["sub_pos"], r["sub_heading"], r["pt_pos"], r["text"]) for r in notes.by_relation(related).collect()) == [(0, "Definition", 0, "two"), (1, "Protocols & Usage", 0, "one"), (1, "Protocols & Usage", 1, "One"), (1, "Protocols & Usage", 2, "one")]
+
+
+def test_chunks_keep_order_and_budget(spark):
+    from plumbago.operators import notes
+
+    df = spark.createDataFrame([(1, "a b c. d e f. g h i j. " + "x " * 20 + "."), (2, "")], "doc_id int, text string")
+    assert [(r["chunk"], len(r["text"].split())) for r in notes.chunked(df, 7).orderBy("chunk").collect()] == [(0, 6), (1, 4), (2, 20)]
