@@ -15,12 +15,11 @@ SLICE = 128
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.plumbago.folder", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="plumbago-")
-        spark.conf.set("spark.plumbago.fallback.dir", base) if spark.conf.get("spark.plumbago.fallback.dir", None) is None else None
-        base = spark.conf.get("spark.plumbago.fallback.dir")
+        spark.conf.set("spark.plumbago.folder", base)
     return base.rstrip("/")
 
 
@@ -62,12 +61,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
-def sha256_join(parts) -> str:
-    import hashlib
-
-    return hashlib.sha256(",".join(parts).encode()).hexdigest()
-
-
 #: 256-byte tables for bytes.translate: A-Z lowered; the same with all but word bytes made blanks.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, new_table, slices
+from .common import id_and_text, new_table, slices, stored
 
 #: Entries of a worker's chunk memo; it is emptied when full, which changes speed only.
 MEMO_ENTRIES = 400_000
@@ -103,8 +103,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     misses = todo.groupBy("digest").agg(F.first("text").alias("text"))
     misses.mapInArrow(count, "digest binary, tokenizer string, n_tokens long").write.mode("append").parquet(path)
+    counts = stored(_cached(spark, path, version), "token-counts")  # a stored side: a hot text's rows can then be split
     sized = keyed.select(F.col("id"), F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return sized.join(_cached(spark, path, version), "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return sized.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _cached(spark, path: str, version: str) -> DataFrame:
