@@ -27,7 +27,7 @@ GRAM, BUCKET = 16, 32
 FILTER_BITS = 28
 #: Stretches that one suffix array takes, and distinct stretches of one kernel beyond which its windows are counted by
 #: their digests in many tasks instead of being sorted in one.
-SORT_STRETCHES, HOT = 8_000, 2_000
+SORT_STRETCHES, HOT = 2_000, 2_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 20) - 1)
