@@ -35,8 +35,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between the JVM and Python, where the session has Spark's own default: whole texts are long,
+#: and both sides hold a batch or two of each running task.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Set the session's batch size to BATCH_ROWS unless the user has set another."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Two columns, and extra ones, under fixed names whatever else the table holds; a null text counts as empty."""
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
 
 

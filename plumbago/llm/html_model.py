@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, slices
+from .common import id_type, lean, slices
 from .dom import Page, read
 
 #: Pages drawn for training, and the seed they are drawn from.
@@ -245,6 +245,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     A null html is empty and has no text. Repeated and null ids and urls pass through; other columns are ignored; an
     empty table gives an empty result. Each page is read whole where it is; the model is a few kilobytes. No shuffle.
     """
+    lean(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

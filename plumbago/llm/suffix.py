@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, id_and_text, id_type, new_table, restored, slices, stored
+from .common import carried, id_and_text, id_type, lean, new_table, restored, slices, stored
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -228,6 +228,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     Copies of a text are separate occurrences; every count is a partial sum before it is shuffled.
     """
     spark, reducer = docs.sparkSession, Reducer(length, bucket)
+    lean(spark)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("digest", F.unhex(F.md5("text")))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
