@@ -487,3 +487,38 @@ def summary_chunks(spark, sf):
     chunks = notes.chunked(_t(spark, sf, "documents"), 120)
     per = chunks.select("doc_id", F.size(F.split("text", r"\s+")).alias("w"), F.size(F.split("text", r"\.\s+")).alias("s"))
     return per.groupBy("doc_id").agg(F.sum("w").alias("n_words"), F.sum("s").alias("n_sentences"))
+
+
+# -- concepts -------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def concept_types(spark, sf):
+    from plumbago.operators import concepts
+
+    return concepts.node_types(_nodes(spark, sf, 1), _edges(spark, sf, 1))
+
+
+@query()
+def concept_centrality(spark, sf):
+    from plumbago.operators import concepts
+
+    nodes, edges, _ = _places(spark, sf, 1)
+    return concepts.centrality(nodes, edges, "asia " * 12 + "united kingdom and europe are places in this text", rounds=10).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_G}, s AS (SELECT source, min(a.label) AS s, CASE relation WHEN 'is part of' THEN 'is part of' ELSE relation END AS v, list(b.label ORDER BY edge_idx) AS o FROM e2 JOIN n2 a ON a.id = source JOIN n2 b ON b.id = target GROUP BY source, relation),
+n AS (SELECT source, s, v || ' ' || o[1] AS c FROM s) SELECT source, s || ' ' || replace(c, 'part of ', 'is part of ') || '.' AS sentence FROM n ORDER BY source LIMIT 30""")
+def concept_sentences(spark, sf):
+    from plumbago.operators import concepts
+
+    return concepts.sentences_of(_nodes(spark, sf, 2), _edges(spark, sf, 2))
+
+
+@query(f"""WITH {_G}, w AS (SELECT id, pos, list_distinct(list_filter(regexp_extract_all(lower(label), '[a-z]+'), lambda x: length(x) > 2)) AS w FROM (SELECT id, pos, label, type FROM n1 UNION ALL SELECT id, pos + 5000, label, type FROM n2) WHERE type <> 'party')
+SELECT a.id AS first, b.id AS later FROM w a JOIN w b ON a.pos < b.pos WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.72""")
+def like_labels(spark, sf):
+    from plumbago.operators import concepts
+
+    places = _nodes(spark, sf, 1).unionByName(_nodes(spark, sf, 2).withColumn("pos", F.col("pos") + 5000)).where("type <> 'party'")
+    return concepts.same_labels(places)

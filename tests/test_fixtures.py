@@ -240,3 +240,36 @@ def test_chunks_keep_order_and_budget(spark):
 
     df = spark.createDataFrame([(1, "a b c. d e f. g h i j. " + "x " * 20 + "."), (2, "")], "doc_id int, text string")
     assert [(r["chunk"], len(r["text"].split())) for r in notes.chunked(df, 7).orderBy("chunk").collect()] == [(0, 6), (1, 4), (2, 20)]
+
+
+def test_node_types(spark):
+    from plumbago.operators import concepts
+
+    rows = [("1", "Chapter 3", "", ""), ("2", "User", "", ""), ("3", "the programmer", "", ""), ("4", "HTTP", "", ""), ("5", "Push Operation", "", ""), ("6", "Ring Topology", "", ""), ("7", "Star Topology", "", ""), ("8", "Stack", "", ""), ("9", "Speed", "an advantage of it", ""), ("10", "Coaxial", "a physical thing", "")]
+    got = {r["id"]: r["type"] for r in concepts.node_types(nodes(spark, rows), edges(spark, [("8", "1", "x")])).collect()}
+    assert got == {"1": "Metadata", "2": "Actor", "3": "Actor", "4": "Protocol", "5": "Operation", "6": "Subconcept", "7": "Subconcept", "8": "Concept", "9": "Property", "10": "Device"}
+
+
+def test_merged_labels(spark):
+    from plumbago.operators import concepts
+
+    n = nodes(spark, [("a", "Network Topology", "", ""), ("b", "the topology of network", "a longer description", ""), ("c", "Stack", "", "")])
+    out, moved = concepts.merged_labels(n, edges(spark, [("a", "c", "uses"), ("b", "c", "Uses"), ("a", "b", "is")]))
+    assert sorted(r["id"] for r in out.collect()) == ["b", "c"]
+    assert [tuple(r)[:3] for r in moved.collect()] == [("b", "c", "uses")]
+
+
+@pytest.mark.parametrize("label,wanted", [("Overview", 1), ("OSI reference", 2), ("zzz", 99), ("types of things", 3)])
+def test_priority(spark, label, wanted):
+    from plumbago.operators import concepts
+
+    assert one(spark, label, concepts.priority) == wanted
+
+
+def test_graph_prose_and_centrality(spark):
+    from plumbago.operators import concepts
+
+    assert one(spark, "stack_top -> list ? node", concepts.graph_prose) == "Stack top relates to list relates to node"
+    n, e = nodes(spark, [("a", "A", "", ""), ("b", "B", "", "")]), edges(spark, [("a", "b", "is a")])
+    got = {r["id"]: r["score"] for r in concepts.centrality(n, e).collect()}
+    assert got["a"] == pytest.approx(0.35 * 0.350877 + 0.15 + 0.15, abs=1e-3) and got["b"] == pytest.approx(0.35 * 0.649123 + 0.15 + 0.075, abs=1e-3)
