@@ -32,14 +32,16 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 def _clipped(pairs: DataFrame, key: str, n: int) -> DataFrame:
     """(key, shared, total): n-grams shared, counted no more often than on either side, and those of the reference."""
 
-    def grams(words: Column) -> Column:
-        if n == 1:
-            return words
-        size = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), grams(T.tokens(F.col(c))).alias("grams")) for s, c in ((0, "generated"), (1, "reference"))))
-    rows = pairs.select(key, F.explode(sides).alias("s")).select(key, "s.side", F.explode("s.grams").alias("g"))
+    def grams(words: str) -> Column:
+        shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - (n - 1), F.lit(0))) for k in range(n)]
+        out = shifted[0]
+        for more in shifted[1:]:
+            out = F.zip_with(out, more, lambda x, y: F.concat_ws(" ", x, y))
+        return out
+
+    words = pairs.select(key, T.tokens(F.col("generated")).alias("x"), T.tokens(F.col("reference")).alias("y"))
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), grams(c).alias("grams")) for s, c in ((0, "x"), (1, "y"))))
+    rows = words.select(key, F.explode(sides).alias("s")).select(key, "s.side", F.explode("s.grams").alias("g"))
     counts = rows.groupBy(key, "g").agg(F.sum((F.col("side") == 0).cast("long")).alias("x"), F.sum((F.col("side") == 1).cast("long")).alias("y"))
     return counts.groupBy(key).agg(F.sum(F.least("x", "y")).alias("shared"), F.sum("y").alias("total"))
 
