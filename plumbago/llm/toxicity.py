@@ -35,13 +35,20 @@ READINGS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e", "£": "l",
 }
 _MARKS = re.escape("".join(READINGS))
-#: Letters with look-alikes among or before them; a letter three times or more; single letters set apart.
-_MIXED = rf"(?<![\w{_MARKS}])(?=[{_MARKS}]*[a-z])(?=[a-z]*[{_MARKS}])[a-z{_MARKS}]+[a-z](?![\w@])"
-_SPACED = r"(?<![^\W_])[a-z](?:([ .\-_*~])[a-z])(?:\1[a-z]){2,}(?![^\W_])"
-_LONG = r"[a-z]*([a-z])\2\2[a-z]*"
-_SUSPECT = re.compile(f"{_SPACED}|{_LONG}|{_MIXED}")
+#: Marks that often stand beside a word as themselves. They may be kept there for nothing, other marks at Channel.keep.
+_BESIDE = "!*(+|"
+#: Marks set apart like letters; a star between them is a separator.
+_ONE = _MARKS.replace(r"\*", "")
+#: Letters or look-alikes, each perhaps repeated, three or more of them set apart; tokens with a letter and a look-alike
+#: or a letter three times anywhere; a letter three times within other characters of words.
+_SPACED = rf"(?<![^\W_])(?:([a-z{_ONE}])\1*+[\s.,\-_*~/:;]++){{2,}}([a-z{_ONE}])\2*+(?![^\W_])"
+_MIXED = rf"(?<![\w{_MARKS}])(?=[{_MARKS}]*[a-z])(?=[a-z]*[{_MARKS}]|[a-z]*?([a-z])\3\3)[a-z{_MARKS}]++(?!\w)"
+_LONG = r"[a-z]*([a-z])\4\4[a-z]*"
+_SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_LONG}")
+_APART = re.compile(_SPACED)
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"([a-z])\1{2,}|.", re.S)
+_LETTER = re.compile("[a-z]")
+_RUN = re.compile(rf"([a-z{_MARKS}])\1{{2,}}|.", re.S)
 
 #: Character codes of the source model: 1-26 for letters, 0 for all else.
 _CODES = np.zeros(256, np.int64)
@@ -66,39 +73,58 @@ class Channel:
     source: np.ndarray
     swap: float = -1.0
     drop: float = -6.0
+    keep: float = -6.0
 
     @classmethod
     def trained(cls, counts: np.ndarray) -> Channel:
         table = counts.reshape(27, 27, 27).astype(float) + 0.05
         return cls(np.log(table / table.sum(2, keepdims=True)))
 
-    def restore(self, written: str) -> str:
-        """The likeliest reading of one suspicious stretch; words are separated by single blanks."""
-        apart = len(written) > 1 and not written[1].isalnum() and written[0].isalpha() and written[2:3].isalpha() and written[1] not in "$@!|+€£("
-        lattice: list[list[tuple[str, float]]] = []
+    def _options(self, written: str) -> Iterator[tuple[str, list[tuple[str, float]]]]:
+        """What is written, a run of one character at a time, and what each may be read as."""
+        apart = _APART.fullmatch(written) is not None
         for m in _RUN.finditer(written):
-            c = m.group(0)
+            c = m.group(0)[0]
+            if apart and c not in _ONE and not c.isalpha():
+                yield m.group(0), [("", 0.0), (" ", -6.0)]
+                continue
+            single = [*((r, self.swap) for r in READINGS[c]), ("", self.drop)] if c in READINGS else [(c, 0.0)]
+            if apart and c in READINGS:
+                single.append((c, self.keep / 2))
             if m.group(1):
-                lattice.append([(c[0], -0.5), (c[0] * 2, -0.5)])
-            elif apart and not c.isalpha():
-                lattice.append([("", 0.0), (" ", -6.0)])
-            elif c in READINGS:
-                lattice.append([*((r, self.swap) for r in READINGS[c]), ("", self.drop)])
+                yield m.group(0), [(r * n, cost - 0.5) for r, cost in single for n in ((1, 2) if r else (1,))]
             else:
-                lattice.append([(c, 0.0)])
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in [*lattice, [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, read) in best.items():
+                yield m.group(0), single
+
+    def restore(self, written: str, beside: bool = False) -> str:
+        """The likeliest reading of one suspicious stretch; words are separated by single blanks.
+
+        With beside, marks before and after the word may also stay as they are written.
+        """
+        best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}  # part (before, in, after), codes
+        for c, options in [*self._options(written), ("", [(" ", 0.0)])]:
+            after: dict[tuple[int, int, int], tuple[float, str]] = {}
+
+            def put(state, new, after=after):
+                if state not in after or new > after[state]:
+                    after[state] = new
+
+            for (part, a, b), (score, read) in best.items():
+                if beside and (not c or c[0] in READINGS):
+                    kept = score + (0.0 if not c or c[0] in _BESIDE else self.keep * len(c))
+                    if part != 1:
+                        put((part, 0, 0), (kept, read + c))
+                    elif c:
+                        put((2, 0, 0), (kept + self.source[a, b, 0], read + c))
+                if part == 2 or (beside and not c and part == 0):
+                    continue
                 for letters, cost in options:
                     x, y, total = a, b, score + cost
                     for ch in letters:
                         code = ord(ch) - 96 if "a" <= ch <= "z" else 0
                         total += self.source[x, y, code]
                         x, y = y, code
-                    new = (total, read + letters)
-                    if (x, y) not in after or new > after[x, y]:
-                        after[x, y] = new
+                    put((1, x, y), (total, read + letters))
             best = after
         return max(best.values())[1].strip()
 
@@ -114,12 +140,14 @@ class Restorer:
 
     def _read(self, m: re.Match) -> str:
         written = m.group(0)
+        if m.group(1) and len(_LETTER.findall(written)) < 2:  # a list of numbers
+            return written
         if len(written) > 64:
-            return self.channel.restore(written)
+            return self.channel.restore(written, True)
         if written not in self.memo:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            self.memo[written] = self.channel.restore(written)
+            self.memo[written] = self.channel.restore(written, True)
         return self.memo[written]
 
 

@@ -70,3 +70,16 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in rows]
     a, b = (sorted(map(tuple, t.toxicity(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect())) for x in (rows, turned))
     assert a == b and np.isfinite([r[2] for r in a]).all()
+
+
+@pytest.mark.parametrize(
+    "written,read",
+    [("worthle$$", "worthless"), ("worthle55", "worthless"), ("idi07", "idiot"), ("m0r0n", "moron"), ("5cum", "scum"), ("w0rthle$5!", "worthless!"), ("(stup1d", "(stupid"), ("s t u p 1 d", "stupid"), ("s.7.u.p.i.d", "stupid"), ("stuuup1d", "stupid"), ("s, c, u, m", "scum"), ("s  c  u  m", "scum"), ("i-d-i-0-7", "idiot"), ("w a s", "was"), ("1111diot", "idiot")],
+)
+def test_last_letters_and_mixed_disguises_are_read(channel, written, read):
+    assert t.Restorer(channel)(f"Well: {written.upper()} there") == f"well: {read} there"
+
+
+@pytest.mark.parametrize("plain", ["idiot!", "(the class)", "**the** book!!!", "1, 2, 3, 4", "5 x 1 + 2", "the letter +"])
+def test_numbers_and_marks_beside_words_stay(channel, plain):
+    assert t.Restorer(channel)(plain) == plain
