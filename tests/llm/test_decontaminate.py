@@ -71,3 +71,18 @@ def test_query_equals_sql(spark):
     got = op2_decontamination(spark, SF)
     want = con.sql(ORACLE_SQL["op2_decontamination"])
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_passes_keep_rows_of_one_id_apart(spark, monkeypatch):
+    docs, items = frames(spark)
+    docs = docs.unionByName(docs.where("doc_id in (1, 7)")).unionByName(spark.createDataFrame([(None, "two three"), (None, "clean"), (None, "clean")], "doc_id long, text string").selectExpr("*", "'k' as n_words"))
+    items = items.unionByName(items.limit(1).selectExpr("cast(null as long) as item_id", "'clean' as text"))
+    want = sorted(map(str, d.decontaminate(docs, items, keep=["n_words"]).collect()))
+    monkeypatch.setattr(d, "AUTOMATON_BYTES", 150)
+    assert sorted(map(str, d.decontaminate(docs, items, keep=["n_words"]).collect())) == want and len(want) == 14
+
+
+def test_items_without_an_id_contaminate(spark):
+    docs = spark.createDataFrame([(1, "a plain line"), (2, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "plain line")], "item_id long, text string")
+    assert {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in d.decontaminate(docs, items).collect()} == {1: (True, 1), 2: (False, 0)}
