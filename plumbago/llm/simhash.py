@@ -215,25 +215,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(_named(prints, radius), "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
-def _named(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of prints(id, fp)."""
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, least) of each distinct fingerprint of prints(id, fp): its component's root, its own least id."""
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(near_links(least.select("fp"), radius))
-    known = stored(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
+    return stored(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
+
+
+def _named(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of prints(id, fp)."""
+    known = _roots(prints, radius)
     first = stored(known.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     return stored(known.select("fp", "root").join(first, "root").select("fp", "component_id"), "names")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, that name their component: those whose id is the least of it.
+    """One row, all columns, of each component: that with the least id, then the least digest of the text.
 
-    Of rows that repeat such an id one stays. Rows without an id stay only if no row with an id is linked to them.
+    Rows without an id stay only if no row with an id is linked to them, and then one a component. Rows that repeat an
+    id in several components stay, one for each. What is compared are ids and digests; texts are not shuffled for it.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, size).select("id", "fp"), "fingerprints")
     extra_names = docs.columns
     full = fingerprints(docs, id_col, text_col, size, extra_names)
-    kept = full.join(_named(prints, radius), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    out = kept.select(*restored([f"keep{i}" for i in range(len(extra_names))], extra_names))
-    if prints.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    at = extra_names.index(text_col)
+    full = full.withColumn("digest", F.sha2(F.coalesce(F.col(f"keep{at}").cast("string"), F.lit("")), 256))
+    prints = stored(full.select("id", "fp", "digest"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "digest")).alias("m")
+    roots = _roots(prints, radius)
+    best = stored(prints.join(roots, "fp").groupBy("root").agg(first).select("root", F.col("m.id").alias("best_id"), F.col("m.digest").alias("best_digest")), "best")
+    named = stored(roots.join(best, "root"), "named")
+    kept = full.join(named, "fp").where(F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest")))
+    copies = prints.join(named, "fp").where(F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest"))).groupBy("root").count().where("count > 1")
+    if not copies.isEmpty():
+        kept = kept.dropDuplicates(["root"])
+    return kept.select(*restored([f"keep{i}" for i in range(len(extra_names))], extra_names))

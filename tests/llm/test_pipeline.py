@@ -56,3 +56,9 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "x y z v w"), (3, "p q r s t")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, (r[0] for r in kept))) == ["1", "3", "None"]
+
+
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "p q r s t"), (None, "x y z v w"), (None, "x y z v w")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == ["(1, 'a b c d e')", "(1, 'p q r s t')", "(None, 'x y z v w')"]
