@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,7 +52,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
-def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINMENT, most: int = 64) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINMENT) -> DataFrame:
     """(id, level, parent): breadth first from nodes that no containment edge enters; the parent that stands first wins.
 
     Nodes on cycles without an entry have level 0 and no parent.
@@ -59,7 +62,7 @@ def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINM
     held = _cut(held.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").join(nodes.select(F.col("id").alias("source")), "source", "left_semi"))
     done = _cut(nodes.select("id").join(held.select(F.col("target").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))
     front = done
-    for depth in range(1, most + 1):
+    for depth in count(1):
         found = held.join(front.select(F.col("id").alias("source")), "source").groupBy("target").agg(F.min_by("source", "edge_idx").alias("parent"))
         front = _cut(found.select(F.col("target").alias("id"), F.lit(depth).alias("level"), "parent").join(done.select("id"), "id", "left_anti"))
         if front.isEmpty():
@@ -69,11 +72,11 @@ def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINM
     return done.unionByName(rest)
 
 
-def descendants(edges: DataFrame, most: int = 64) -> DataFrame:
+def descendants(edges: DataFrame) -> DataFrame:
     """(root, id): everything that can be reached along the edges; a cycle ends where it closes."""
     known = _cut(edges.select(F.col("source").alias("root"), F.col("target").alias("id")).distinct())
     front = known
-    for _ in range(most):
+    while True:
         front = _cut(front.join(edges.select(F.col("source").alias("id"), F.col("target").alias("next")), "id").select("root", F.col("next").alias("id")).distinct().join(known, ["root", "id"], "left_anti"))
         if front.isEmpty():
             break
@@ -81,22 +84,24 @@ def descendants(edges: DataFrame, most: int = 64) -> DataFrame:
     return known
 
 
-def chains(edges: DataFrame, kinds: tuple[str, ...] = FLOW, least: int = 3, most: int = 64) -> DataFrame:
+def chains(edges: DataFrame, kinds: tuple[str, ...] = FLOW, least: int = 3) -> DataFrame:
     """(head, steps array): chains along each node's first flow edge, from nodes that none enters; least steps or more."""
     relation = F.lower(F.coalesce("relation", F.lit("")))
     flow = edges.where(F.exists(F.array(*map(F.lit, kinds)), lambda k: F.contains(relation, k)))
     step = _cut(flow.groupBy("source").agg(F.min_by("target", "edge_idx").alias("next")))
     open_ = step.join(flow.select(F.col("target").alias("source")).distinct(), "source", "left_anti").select(F.col("source").alias("head"), F.array("source").alias("steps"))
-    closed = None
-    for _ in range(most):
+    done = []
+    while True:
         walked = open_.join(step, F.element_at("steps", -1) == step["source"], "left")
         ends = F.col("next").isNull() | F.array_contains("steps", F.col("next"))
         walked = _cut(walked.select("head", F.when(ends, F.col("steps")).otherwise(F.array_append("steps", F.col("next"))).alias("steps"), ends.alias("end")))
-        closed = walked.where("end").drop("end") if closed is None else closed.unionByName(walked.where("end").drop("end"))
+        done.append(walked.where("end").drop("end"))
+        if len(done) > 16:  # a long chain's plan stays small too
+            done = [_cut(reduce(DataFrame.unionByName, done))]
         open_ = walked.where("not end").drop("end")
         if open_.isEmpty():
             break
-    return closed.where(F.size("steps") >= least)
+    return reduce(DataFrame.unionByName, done).where(F.size("steps") >= least)
 
 
 def salient(scores: DataFrame, top: int, mass: float = 0.85, least: int = 3) -> DataFrame:
