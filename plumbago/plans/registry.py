@@ -228,9 +228,8 @@ def structural_vectors(spark, sf):
 
 @query()
 def alignment(spark, sf):
-    n1, e1, v1 = _places(spark, sf, 1)
-    n2, e2, v2 = _places(spark, sf, 2)
-    return fusion.align(n1, e1, v1, n2, e2, v2)
+    n1, n2 = _nodes(spark, sf, 1), _nodes(spark, sf, 2)
+    return fusion.align(n1, _edges(spark, sf, 1), _vectors(spark, sf, n1), n2, _edges(spark, sf, 2), _vectors(spark, sf, n2))
 
 
 @query(f"""WITH {_G}, ends AS (SELECT source AS id, 1 AS o, 0 AS i FROM e1 UNION ALL SELECT target, 0, 1 FROM e1), s AS (SELECT id, sum(o) AS o, sum(i) AS i FROM ends GROUP BY id)
@@ -503,7 +502,7 @@ def concept_types(spark, sf):
 def concept_centrality(spark, sf):
     from plumbago.operators import concepts
 
-    nodes, edges, _ = _places(spark, sf, 1)
+    nodes, edges = _nodes(spark, sf, 1), _edges(spark, sf, 1)
     return concepts.centrality(nodes, edges, "asia " * 12 + "united kingdom and europe are places in this text", rounds=10).select("id", F.round("score", 9).alias("score"))
 
 
