@@ -364,7 +364,7 @@ def polished_texts(spark, sf):
 @query()
 def rewritten_texts(spark, sf):
     t = F.col("text")
-    return _points(spark, sf).select("grp", "turn", T.number_words(T.expand_contractions(t)).alias("plain"), T.heading_question_marks(F.substring(t, 1, 60)).alias("heading"), T.first_words(t, 25).alias("short"), Q.informative_score(t).alias("score"), Q.is_fragment(t).alias("fragment"), ranking.role(t).alias("section"))
+    return _points(spark, sf).select("grp", "turn", T.number_words(T.expand_contractions(t)).alias("plain"), T.heading_question_marks(t).alias("heading"), T.first_words(t, 25).alias("short"), Q.informative_score(t).alias("score"), Q.is_fragment(t).alias("fragment"), ranking.role(t).alias("section"))
 
 
 @query("""WITH g AS (SELECT n_name AS n, CASE WHEN length(n_name) < 3 THEN [lower(n_name)] ELSE list_distinct(list_transform(range(1, length(n_name) - 1), lambda i: substr(lower(n_name), i, 3))) END AS a FROM nation)

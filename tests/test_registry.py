@@ -17,3 +17,10 @@ def test_alignment_asks_parties_too(spark, monkeypatch):
     for k, (nodes, edges, vectors) in ((1, asked[:3]), (2, asked[3:])):
         assert nodes.count() == registry._nodes(spark, SF, k).count() == vectors.count()
         assert edges.count() == registry._edges(spark, SF, k).count()
+
+
+def test_headings_are_whole_turns(spark):
+    texts = {(r["grp"], r["turn"]): r["text"] for r in registry._points(spark, SF).collect()}
+    rows = registry.rewritten_texts(spark, SF).select("grp", "turn", "heading").collect()
+    long = [(len(r["heading"]), len(texts[r["grp"], r["turn"]])) for r in rows if len(texts[r["grp"], r["turn"]] or "") > 80]
+    assert long and all(a > 60 and a >= 0.8 * b for a, b in long)
