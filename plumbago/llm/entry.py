@@ -70,9 +70,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix import remove_repeats
+    from .suffix import PASSAGE, remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(_table(spark, sf_dir, "documents"), passage=PASSAGE).drop("kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op4_toxicity, op5_pieces, op6_near_vectors, op7_main_text, op8_language_scores, op9_licenses, op10_suffix_dedup)}

@@ -1,36 +1,40 @@
-"""Removal of byte strings that occur more than once, decided by suffix arrays from a difference cover.
+"""Removal of strings that occur more than once, decided by suffix arrays from a difference cover.
 
 Sorting every suffix of the corpus would take some twenty bytes for each byte of text. So a reduction comes first that
 is exact in both directions: it settles windows whose surroundings are unique or equal as a whole, and leaves those at
 the ends of repeated stretches. These are dealt out by the content that equal windows share, and each task sorts the
 suffixes of its stretches: sampled triples, names, recursion, the merge of the other suffixes. Adjacent suffixes are
 compared over the length that counts.
+
+Strings are of bytes, or of words: then a text is the sequence of its words' XXH64, eight bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, id_and_text, id_type, lean, new_table, restored, slices, stored
+from .common import carried, id_and_text, id_type, lean, new_table, slices, stored
 
-#: Bytes of a string that counts as repeated.
-LENGTH = 400
-#: Bytes hashed to choose anchors, and windows settled together.
-GRAM, BUCKET = 16, 32
-#: log2 of the bits of a broadcast filter: 32 MB whatever the corpus. It lets through too much, never too little.
+#: Bytes of a string that counts as repeated; words of a passage that does.
+LENGTH, PASSAGE = 400, 50
+#: log2 of the bits of a broadcast filter: 32 MB whatever the corpus. It lets through too much, never too little; full,
+#: it lets all texts through to the joins that decide.
 FILTER_BITS = 28
 #: Stretches that one suffix array takes, and distinct stretches of one kernel beyond which its windows are counted by
 #: their digests in many tasks instead of being sorted in one.
-SORT_STRETCHES, HOT = 2_000, 2_000
+SORT_STRETCHES, HOT = 1_000, 1_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 20) - 1)
+_WORD = re.compile(rb"[^\t-\r ]+")
 
 
 # -- suffix arrays ----------------------------------------------------------------------------------------------------
@@ -41,6 +45,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
+    if s.max() > n:
+        s = np.unique(s, return_inverse=True)[1] + 1
     top = int(s.max()) + 1
     text = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
@@ -58,21 +64,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n % 3 == 1:
         first = first[first < n]
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.argsort(text[zeros] * (len(sample) + 2) + rank[zeros + 1], kind="stable")]
-    lo, hi = np.zeros(len(zeros), np.int64), np.full(len(zeros), len(first))
-    while True:
-        open_ = np.flatnonzero(lo < hi)
-        if not len(open_):
-            break
-        mid = (lo[open_] + hi[open_]) // 2
-        i, j = zeros[open_], first[mid]
-        one = j % 3 == 1
-        less = text[j] < text[i]
-        tie = text[j] == text[i]
-        second = np.where(one, rank[j + 1] < rank[i + 1], (text[j + 1] < text[i + 1]) | ((text[j + 1] == text[i + 1]) & (rank[j + 2] < rank[i + 2])))
-        below = less | (tie & second)
-        lo[open_[below]] = mid[below] + 1
-        hi[open_[~below]] = mid[~below]
+    key = text[zeros] * (len(sample) + 2) + rank[zeros + 1]
+    at = np.argsort(key, kind="stable")
+    zeros, key = zeros[at], key[at]
+    one, two = first[first % 3 == 1], first[first % 3 == 2]
+    lo = np.searchsorted(text[one] * (len(sample) + 2) + rank[one + 1], key)
+    pair = text[:-1] * top + text[1:]
+    if top * top * (len(sample) + 2) >= 1 << 63:
+        pair = np.unique(pair, return_inverse=True)[1]
+    lo += np.searchsorted(pair[two] * (len(sample) + 2) + rank[two + 2], pair[zeros] * (len(sample) + 2) + rank[zeros + 2])
     out = np.empty(n, np.int64)
     place = lo + np.arange(len(zeros))
     out[place] = zeros
@@ -94,60 +94,66 @@ def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(stretches: list[bytes], begins: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each stretch, those of its `counts` starts from `begins` on at which it has a string that starts elsewhere too."""
-    size = np.array([len(s) for s in stretches])
-    text = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8)
+def repeated_starts(stretches: list[bytes], counts: np.ndarray, length: int = LENGTH, scale: int = 1) -> list[np.ndarray]:
+    """For each stretch, those of its first `counts` starts at which it has a string that starts elsewhere too."""
+    size = np.array([len(s) // scale for s in stretches])
     marks = np.cumsum(size + 1) - 1
-    s = text.astype(np.int64) + 1
-    s[marks] = 0
     base = marks - size
-    asked = np.zeros(len(text), bool)
+    text = np.frombuffer((b"\0" * scale).join(stretches) + b"\0" * (scale + 8), np.uint8)
+    n = marks[-1] + 1
+    if scale == 1:
+        s = text[:n].astype(np.int64) + 1
+    else:
+        s = np.unique(text[: n * scale].view("<u8"), return_inverse=True)[1] + 1
+    s[marks] = 0
     owner = np.repeat(np.arange(len(stretches)), counts)
-    starts = base[owner] + begins[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    asked = np.zeros(n, bool)
     asked[starts] = True
     order = suffix_array(s + 1)
     order = order[asked[order]]
     same = np.zeros(len(order), bool)
-    span = np.arange(length)
-    for k in range(0, len(order) - 1, 4096):
-        a, b = order[k : k + 4096], order[k + 1 : k + 4097]
-        a = a[: len(b)]
-        equal = (text[a[:, None] + span] == text[b[:, None] + span]).all(1)
-        same[k : k + len(b)] |= equal
-        same[k + 1 : k + 1 + len(b)] |= equal
-    hit = np.zeros(len(text), bool)
+    eights = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))  # the eight bytes from each place on
+    span = np.append(np.arange(0, length * scale - 8, 8), length * scale - 8)
+    for k in range(0, len(order) - 1, 16384):
+        at = order[k : k + 16385] * scale
+        pair = np.arange(len(at) - 1)
+        for part in np.array_split(span, 5):  # most neighbours differ early, or not at all
+            pair = pair[(eights[at[pair][:, None] + part] == eights[at[pair + 1][:, None] + part]).all(1)]
+        same[k + pair] = True
+        same[k + 1 + pair] = True
+    hit = np.zeros(n, bool)
     hit[order[same]] = True
-    out = []
-    for k in range(len(stretches)):
-        at = base[k] + begins[k]
-        out.append(begins[k] + np.flatnonzero(hit[at : at + counts[k]]))
-    return out
+    return [np.flatnonzero(hit[b : b + c]) for b, c in zip(base, counts, strict=True)]
 
 
 # -- the exact reduction ----------------------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) for each run of windows of `length` bytes that choose one anchor.
+def gram(symbols: np.ndarray) -> int:
+    """Symbols hashed to choose anchors: eight bytes, or two words."""
+    return 8 if symbols.dtype.itemsize == 1 else 2
+
+
+def anchors(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window) for each run of windows of `length` symbols that choose one anchor.
 
-    A window chooses the leftmost of its grams with the least hash: a function of its bytes alone, so equal windows
+    A window chooses the leftmost of its grams with the least hash: a function of its content alone, so equal windows
     choose the same place in them.
     """
-    if len(data) < length:
+    if len(symbols) < length:
         return (np.empty(0, np.int64),) * 3
-    places, limit = length - GRAM + 1, (1 << 20) - length
+    wide = gram(symbols)
+    places, limit = length - wide + 1, (1 << 20) - length
     chosen = []
-    for begin in range(0, len(data) - length + 1, limit):
-        h = data[begin : begin + limit + length - 1].astype(np.uint64)
-        factor, width = _MIX, 1
-        while width < GRAM:
-            h = h[:-width] * factor + h[width:]
-            factor = np.uint64(int(factor) * int(factor) & 0xFFFFFFFFFFFFFFFF)
-            width *= 2
+    for begin in range(0, len(symbols) - length + 1, limit):
+        part = np.ascontiguousarray(symbols[begin : begin + limit + length - 1])
+        if wide == 8:
+            h = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)) * _MIX
+        else:
+            h = part[:-1] * _MIX + part[1:]
         h ^= h >> np.uint64(31)
         h *= _MIX
-        h ^= h >> np.uint64(29)
         h = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         width = 1
         while 2 * width <= places:
@@ -161,46 +167,67 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return g[first], first, np.append(first[1:], len(g)) - 1
 
 
-class Reducer:
-    """Keys of one text's windows; all cut points are relative to the anchor, so equal windows get equal keys."""
-
-    def __init__(self, length: int = LENGTH, bucket: int = BUCKET):
-        self.length, self.bucket = length, bucket
-        self.half = max(1, (length // 2 - GRAM) // bucket) * bucket  # windows that begin so far before the anchor or less look right
+@dataclass(frozen=True)
+class Windows:
+    """Strings of `length` bytes, or words, and how a text's windows are put into units.
 
-    def sides(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """(key, anchor, least offset, most offset): windows of the offsets share the keyed content, half a window long."""
-        from xxhash import xxh64_intdigest as digest
+    A unit is a run of windows with one anchor, all of which begin less than half a length before it, or all of which
+    begin farther off. The kernel is what any such window of any text with that anchor's surroundings holds, so equal
+    windows are in units of equal kernels. The union is what the unit's windows cover.
+    """
 
-        length, half = self.length, self.half
-        for a, first, last in zip(*(x.tolist() for x in anchors(np.frombuffer(text, np.uint8), length)), strict=True):
-            lo, hi = a - last, a - first
-            if lo < half:
-                yield digest(text[a : a + length - half + 1], 1), a, lo, min(hi, half - 1)
-            if hi >= half:
-                yield digest(text[a - half : a + GRAM], 2), a, max(lo, half), hi
+    length: int
+    words: bool = False
 
-    def units(self, text: bytes, a: int, lo: int, hi: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-        """(first window, windows, kernel key, two halves of the union's digest, union's begin and end) of each bucket.
+    @property
+    def scale(self) -> int:
+        return 8 if self.words else 1
 
-        The kernel is what all windows of a bucket share, the union what any of them holds within the text. Both digests
-        hold the offset k too: buckets of two anchors may cover the same bytes of one text, which is no repetition.
-        """
-        from xxhash import xxh3_128_intdigest, xxh64_intdigest
+    def symbols(self, text: bytes) -> np.ndarray:
+        if not self.words:
+            return np.frombuffer(text, np.uint8)
+        from xxhash import xxh64_intdigest
 
-        length, bucket = self.length, self.bucket
-        for k in range(lo // bucket * bucket, hi + 1, bucket):
-            near, far = max(k, lo), min(k + bucket - 1, hi)
-            kernel = xxh64_intdigest(text[a - k : a - k - bucket + 1 + length], 3 + k)
-            begin, end = a - k - bucket + 1, a - k + length
-            cut = (max(0, -begin), max(0, end - len(text)))
-            begin, end = max(begin, 0), min(end, len(text))
-            whole = xxh3_128_intdigest(text[begin:end], (k * (length + bucket) + cut[0]) * (length + bucket) + cut[1])
-            yield a - far, far - near + 1, kernel, whole >> 64, whole & 0xFFFFFFFFFFFFFFFF, begin, end
+        return np.array([xxh64_intdigest(w) for w in text.split()], np.uint64)
 
+    def units(self, text: bytes) -> list[tuple[int, int, int | None, int, int]]:
+        """(first window, windows, kernel's digest, union's digest, times) of each distinct unit of a text.
 
-def _long(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+        A unit that the text holds several times has its number of times; the others of its kind are repeated for sure
+        and listed without a kernel, adjacent ones as one. The union's digest holds the first window's distance from
+        the anchor, so units of equal digests have equal windows one by one.
+        """
+        from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+        length, half, scale, symbols = self.length, self.length // 2, self.scale, self.symbols(text)
+        wide, data = gram(symbols), text if scale == 1 else symbols.tobytes()
+        found: dict[tuple[int, int], list] = {}
+        again: list[list[int]] = []
+
+        def put(p: int, end: int, off: int, kernel: bytes, seed: int) -> None:
+            pair = xxh64_intdigest(kernel, seed), xxh3_64_intdigest(data[p * scale : end * scale], off)
+            if pair not in found:
+                found[pair] = [p, end - length - p + 1, 1]
+                return
+            found[pair][2] += 1
+            if again and sum(again[-1]) == p:
+                again[-1][1] += end - length - p + 1
+            else:
+                again.append([p, end - length - p + 1])
+
+        for a, first, last in zip(*(x.tolist() for x in anchors(symbols, length)), strict=True):
+            near = max(first, a - half + 1)  # windows from here on look right
+            if first < near:
+                stop = min(last, near - 1)
+                put(first, stop + length, a - first, data[(a - half) * scale : (a + wide) * scale], 2)
+            if near <= last:
+                put(near, last + length, a - near, data[a * scale : (a + length - half + 1) * scale], 1)
+        return [(p, n, key, union, times) for (key, union), (p, n, times) in found.items()] + [(p, n, None, 0, 2) for p, n in again]
+
+
+def _long(values: Sequence[int | None]) -> pa.Array:
+    plain = np.array([v or 0 for v in values], np.uint64).view(np.int64)
+    return pa.array(plain, mask=np.array([v is None for v in values], bool))
 
 
 def _filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
@@ -212,138 +239,165 @@ def _filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray
     return out.view(np.uint64)
 
 
-def _passes(bitmap: np.ndarray, key: int) -> bool:
-    low = key & (len(bitmap) * 64 - 1)
-    return bool(int(bitmap[low >> 6]) >> (low & 63) & 1)
+def _digests() -> list:
+    """A text's MD5 as two longs."""
+    md5 = F.md5("text")
+    half = lambda k: F.conv(F.substring(md5, k, 16), 16, -10).cast("long")
+    return [half(1).alias("d1"), half(17).alias("d2")]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
-    """(digest, spans array<struct<start, stop>>): byte ranges of texts, by their MD5, that repeated strings cover.
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("text", *_digests())
 
-    1. Windows that share half their content, by digest, are kept; a filter of what occurs twice is broadcast.
-    2. Their buckets are counted by kernel and by union. Equal unions make all their windows repeated. Kernels seen
-       once make none.
-    3. The rest, kernels with unlike unions, are dealt out by kernel and sorted by suffix_array(). Kernels of more than
-       `hot` distinct unions have their windows counted by SHA-256 in many tasks.
-    Copies of a text are separate occurrences; every count is a partial sum before it is shuffled.
+
+def _named(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts(text, d1, d2), each once, joined to wanted(d1, d2, ...).
+
+    A filter of wanted digests keeps most other texts out of the shuffle; the join decides. Copies meet as partial
+    aggregates.
     """
-    spark, reducer = docs.sparkSession, Reducer(length, bucket)
-    lean(spark)
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("digest", F.unhex(F.md5("text")))
+    seen = texts.sparkSession.sparkContext.broadcast(_filter(wanted, "d1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = b.column("d1").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            hit = (seen.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    once = texts.mapInArrow(run, "text string, d1 long, d2 long").groupBy("d1", "d2").agg(F.first("text").alias("text"))
+    return once.join(wanted, ["d1", "d2"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([_long([s[0] for t in b.column("text").to_pylist() for s in reducer.sides(t.encode())])], ["key"])
 
-    twice = texts.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    seen = spark.sparkContext.broadcast(_filter(twice, "key"))
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, words: bool = False, hot: int = HOT) -> DataFrame:
+    """(d1, d2, spans array<struct<start, stop>>): ranges of texts, named by their MD5, that repeated strings cover; in
+    bytes, or in numbers of words (runs without ASCII white space).
 
-    def found(text: bytes) -> Iterator[tuple]:
-        bitmap = seen.value
-        for key, a, lo, hi in reducer.sides(text):
-            if _passes(bitmap, key):
-                yield from reducer.units(text, a, lo, hi)
+    1. Every unit of windows is written with the digests of its kernel and of its union. Units of a kernel that occurs
+       once are unique. Where all unions of a kernel are equal, all windows are repeated.
+    2. Of the other kernels, unions that occur more than once are repeated, and one unit of each union is cut out of
+       its text; those of one kernel go to one task and suffix_array() decides them.
+    3. Kernels of more than `hot` distinct unions have their windows counted by SHA-256 in many tasks.
+    Copies of a text are separate occurrences; every count is a partial sum before it is shuffled.
+    """
+    windows, scale = Windows(length, words), 8 if words else 1
+    lean(docs.sparkSession)
+    texts = _texts(docs, text_col).where(F.octet_length("text") >= (2 * length - 1 if words else length))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [(d, u) for d, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True) for u in found(t.encode())]
-            columns = [pa.array([d for d, _ in rows], pa.binary()), *(pa.array([u[k] for _, u in rows], pa.int32()) for k in (0, 1)), *(_long([u[k] for _, u in rows]) for k in (2, 3, 4))]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "p", "n", "kernel", "u1", "u2"])
-
-    table = stored(texts.select("digest", "text").mapInArrow(units, "digest binary, p int, n int, kernel long, u1 long, u2 long"), "units")
-    unions = stored(table.groupBy("kernel", "u1", "u2").agg(F.count("*").alias("c")), "unions")
-    kernels = stored(unions.groupBy("kernel").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1"), "kernels")
-    window = lambda first, n: (F.col(first).alias("start"), (F.col(first) + F.col(n) - 1 + length).cast("int").alias("stop"))
-    settled = table.join(unions.where("c > 1"), ["kernel", "u1", "u2"], "left_semi").select("digest", *window("p", "n"))
-    ends = spark.sparkContext.broadcast(_filter(kernels, "kernel"))
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [windows.units(t.encode()) for t in b.column("text").to_pylist()]
+            row = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
+            rows = [u for f in found for u in f]
+            plain = [pa.array([u[k] for u in rows], pa.int32()) for k in (0, 1, 4)]
+            digests = [pa.array(b.column(c).to_numpy()[row]) for c in ("d1", "d2")]
+            yield pa.RecordBatch.from_arrays([*digests, plain[0], plain[1], _long([u[2] for u in rows]), _long([u[3] for u in rows]), plain[2]], ["d1", "d2", "p", "n", "kernel", "u", "c"])
+
+    table = stored(texts.mapInArrow(units, "d1 long, d2 long, p int, n int, kernel long, u long, c int"), "units")
+    kernels = table.where("kernel is not null").groupBy("kernel").agg(F.sum("c").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi"))
+    kernels = stored(kernels.where("c > 1").select("kernel", (F.col("lo") < F.col("hi")).alias("mixed")), "kernels")
+    shared = stored(table.join(kernels, "kernel"), "shared")
+    mixed = shared.where("mixed")
+    unions = stored(mixed.groupBy("kernel", "u").agg(F.sum("c").alias("c"), F.min(F.struct("d1", "d2", "p", "n")).alias("at")), "unions")
+    open_ = stored(unions.groupBy("kernel").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1"), "open")
+    one = unions.join(open_, "kernel").select("at.*", "kernel", "kinds")
+    refs = stored(one.groupBy("d1", "d2").agg(F.collect_list(F.struct("kernel", "kinds", "p", "n")).alias("units")), "references")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for d, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = t.encode()
-                rows += [(d, u, data[u[5] : u[6]]) for u in found(data) if _passes(ends.value, u[2])]
-            columns = [pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[1][k] for r in rows], pa.int32()) for k in (0, 1)), *(_long([r[1][k] for r in rows]) for k in (2, 3, 4)), pa.array([r[1][0] - r[1][5] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "p", "n", "kernel", "u1", "u2", "at", "bytes"])
+            for d1, d2, t, asked in zip(*(b.column(c).to_pylist() for c in ("d1", "d2", "text", "units")), strict=True):
+                data = windows.symbols(t.encode()).tobytes()
+                rows += [(d1, d2, u["p"], u["n"], u["kernel"], u["kinds"], data[u["p"] * scale : (u["p"] + u["n"] - 1 + length) * scale]) for u in asked]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["d1", "d2", "p", "n", "kernel", "kinds", "bytes"])
 
-    rest = texts.select("digest", "text").mapInArrow(stretches, "digest binary, p int, n int, kernel long, u1 long, u2 long, at int, bytes binary")
-    rest = stored(rest.dropDuplicates(["kernel", "u1", "u2"]), "stretches")
-    crowded = stored(kernels.where(F.col("kinds") > hot).select("kernel"), "crowded")
+    stretches = stored(_named(texts, refs).select("d1", "d2", "text", "units").mapInArrow(cut, "d1 long, d2 long, p int, n int, kernel long, kinds long, bytes binary"), "stretches")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def decide(rows: pa.Table) -> pa.RecordBatch:
-            begins, counts, p = (rows.column(c).to_numpy().astype(np.int64) for c in ("at", "n", "p"))
-            digest, start, stop = [], [], []
-            for d, q, at, hits in zip(rows.column("digest").to_pylist(), p, begins, repeated_starts(rows.column("bytes").to_pylist(), begins, counts, length), strict=True):
+            counts, p = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "p"))
+            row, start, stop = [], [], []
+            for i, hits in enumerate(repeated_starts(rows.column("bytes").to_pylist(), counts, length, scale)):
                 for run in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1) if len(hits) else ():
-                    digest.append(d), start.append(q + run[0] - at), stop.append(q + run[-1] - at + length)
-            return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["digest", "start", "stop"])
+                    row.append(i), start.append(p[i] + run[0]), stop.append(p[i] + run[-1] + length)
+            d1, d2 = (rows.column(c).to_numpy()[row] if row else np.empty(0, np.int64) for c in ("d1", "d2"))
+            return pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["d1", "d2", "start", "stop"])
 
         for b in slices(batches, SORT_STRETCHES):
             held.append(b)
             if sum(x.num_rows for x in held) >= SORT_STRETCHES:
                 rows = pa.Table.from_batches(held)
                 kernel = rows.column("kernel").to_numpy()
-                cut = int(np.searchsorted(kernel, kernel[-1]))  # the last kernel may go on
-                if cut:
-                    yield decide(rows.slice(0, cut))
-                    held = rows.slice(cut).to_batches()
+                last = int(np.searchsorted(kernel, kernel[-1]))  # the last kernel may go on
+                if last:
+                    yield decide(rows.slice(0, last))
+                    held = rows.slice(last).to_batches()
         if held:
             yield decide(pa.Table.from_batches(held))
 
-    sorted_ = rest.join(crowded, "kernel", "left_anti").repartition("kernel").sortWithinPartitions("kernel").mapInArrow(sort, "digest binary, start int, stop int")
-    each = rest.join(crowded, "kernel", "left_semi").select("digest", "kernel", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> sha2(substring(bytes, at + i + 1, {length}), 256))")).alias("i", "window"), "p", "at")
-    each = stored(each.select("digest", "window", (F.col("p") + F.col("i")).alias("start")), "windows")
+    few = stretches.where(F.col("kinds") <= hot)
+    tasks = max(1, -(-few.count() // (4 * SORT_STRETCHES)))
+    sorted_ = few.repartition(tasks, "kernel").sortWithinPartitions("kernel").mapInArrow(sort, "d1 long, d2 long, start int, stop int")
+    each = stretches.where(F.col("kinds") > hot).select("d1", "d2", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> sha2(substring(bytes, i * {scale} + 1, {length * scale}), 256))")).alias("i", "window"), "p")
+    each = stored(each.select("d1", "d2", "window", (F.col("p") + F.col("i")).alias("start")), "windows")
     many = stored(each.groupBy("window").agg(F.count("*").alias("c")).where("c > 1"), "many")
-    counted = each.join(many, "window", "left_semi").select("digest", "start", (F.col("start") + length).alias("stop"))
-    path = new_table(spark, "spans")
-    for part in (settled, sorted_, counted):
+    counted = each.join(many, "window", "left_semi").select("d1", "d2", "start", (F.col("start") + length).alias("stop"))
+    whole = lambda df: df.select("d1", "d2", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + length).cast("int").alias("stop"))
+    path = new_table(docs.sparkSession, "spans")
+    for part in (whole(table.where("kernel is null")), whole(shared.where("not mixed")), whole(mixed.join(unions.where("c > 1"), ["kernel", "u"], "left_semi")), sorted_, counted):
         part.write.mode("append").parquet(path)
-    spans = spark.read.schema("digest binary, start int, stop int").parquet(path)
-    return stored(spans.groupBy("digest", "start").agg(F.max("stop").alias("stop")).groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "covered")
+    spans = docs.sparkSession.read.schema("d1 long, d2 long, start int, stop int").parquet(path)
+    spans = spans.groupBy("d1", "d2", "start").agg(F.max("stop").alias("stop")).groupBy("d1", "d2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return stored(spans.withColumn("spans", F.expr(_MERGED)), "covered")
+
 
+#: Sorted spans, those that touch as one.
+_MERGED = """aggregate(spans, slice(spans, 1, 0), (a, s) -> CASE WHEN size(a) = 0 OR element_at(a, -1).stop < s.start THEN concat(a, array(s))
+WHEN element_at(a, -1).stop >= s.stop THEN a ELSE concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', s.stop))) END)"""
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), length: int = LENGTH, **options) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), length: int | None = None, words: bool = False, passage: int | None = None, **options) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes as binary) and
     the columns named in keep.
 
-    Every byte that lies in a string of `length` bytes which starts anywhere else too, in any row, is removed; strings
-    are judged on the input. Null and shorter texts keep all their bytes (a null text is empty). Rows repeating an id
-    are separate texts, and equal rows are copies of each other. Other columns are ignored; an empty table gives an
-    empty result.
+    With `passage`, n_passage_words follows: the words that lie in passages of so many words which start elsewhere too.
+
+    Every byte that lies in a string of `length` bytes (LENGTH; 8 at least) which starts anywhere else too, in any row, is removed;
+    strings are judged on the input. With `words`, strings are of `length` words (PASSAGE), that is runs without ASCII
+    white space, and the white space between removed words goes with them. Null and shorter texts keep all their bytes
+    (a null text is empty). Rows repeating an id are separate texts, and equal rows are copies of each other. Other
+    columns are ignored; an empty table gives an empty result.
+
+    Only texts that lose bytes go through Python; where `kept` is not asked for, no other text is shuffled.
     """
-    spans = repeated_spans(docs, text_col, length, **options)
-    extra, more, names = carried(docs, keep)
-    rows = id_and_text(docs, id_col, text_col, extra).withColumn("digest", F.unhex(F.md5("text")))
-    both = rows.join(spans, "digest", "left").select("id", "text", "spans", *names)
+    spans = repeated_spans(docs, text_col, length or (PASSAGE if words else LENGTH), words, **options)
+    extra, _, names = carried(docs, keep)
+    rows = id_and_text(docs, id_col, text_col, extra).select("id", "text", *_digests(), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
             for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                data, kept, at, n = text.encode(), [], 0, 0
-                for s in sorted((s["start"], s["stop"]) for s in found or ()):
-                    if s[0] > at or not n:
-                        kept.append(data[at : s[0]])
-                        n += 1
-                    at = max(at, s[1])
-                kept.append(data[at:])
-                left = b"".join(kept)
-                out.append((len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left))
-            arrays = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *arrays, *(b.column(n) for n in names)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
-
-    schema = f"id {id_type(docs, id_col)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}"
-    return both.mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *restored(names, keep))
-
-
-def whole_characters(column: str):
-    """A binary column as text, without bytes that are no whole UTF-8 character."""
-
-    @F.arrow_udf("string")
-    def clean(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
-
-    return clean(F.col(column))
+                data, kept, at = text.encode(), [], 0
+                at_words = [m.span() for m in _WORD.finditer(data)] if words else ()
+                for s in found:
+                    start, stop = (at_words[s["start"]][0], at_words[s["stop"] - 1][1]) if words else (s["start"], s["stop"])
+                    kept.append(data[at:start])
+                    at = stop
+                left = b"".join([*kept, data[at:]])
+                out.append((len(data) - len(left), len(found), hashlib.sha256(left).hexdigest(), left))
+            arrays = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("d1"), b.column("d2"), *arrays], ["e1", "e2", "removed", "runs", "sha", "left"])
+
+    facts = _named(_texts(docs, text_col), spans).select("d1", "d2", "text", "spans").mapInArrow(run, "e1 long, e2 long, removed long, runs long, sha string, left binary")
+    both = rows.join(facts, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    none, more = F.lit(0).cast("long"), []
+    if passage:
+        covered = repeated_spans(docs, text_col, passage, True, **options).select("d1", "d2", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)").alias("passage"))
+        both, more = both.join(covered, ["d1", "d2"], "left"), [F.coalesce("passage", none).alias("n_passage_words")]
+    return both.select(
+        F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("removed", none).alias("n_removed"), F.coalesce("runs", none).alias("n_spans"),
+        F.coalesce("sha", F.sha2("text", 256)).alias("kept_sha256"), F.coalesce("left", F.col("text").cast("binary")).alias("kept"), *more, *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)),
+    )

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -67,19 +68,52 @@ def corpus(seed):
     return texts + rng.sample(texts, 6) + [texts[-1] + "!"]
 
 
-@pytest.mark.parametrize("seed,hot,bucket", [(1, 2000, 16), (2, 2, 16), (3, 2000, 8), (4, 0, 32)])
-def test_equals_brute_force(spark, seed, hot, bucket):
+@pytest.mark.parametrize("seed,hot", [(1, 2000), (2, 2), (3, 2000), (4, 0)])
+def test_equals_brute_force(spark, seed, hot):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, spans string, kept string").repartition(3)
-    got = {r[0]: tuple(r)[1:5] for r in suffix.remove_repeats(df, length=80, bucket=bucket, hot=hot).collect()}
+    got = {r[0]: tuple(r)[1:5] for r in suffix.remove_repeats(df, length=80, hot=hot).collect()}
     assert got == dict(enumerate(brute(texts, 80)))
 
 
+def brute_words(texts, length):
+    runs = [[m.span() for m in re.finditer(rb"[^\t-\r ]+", (t or "").encode())] for t in texts]
+    words = [[(t or "").encode()[a:b] for a, b in r] for t, r in zip(texts, runs, strict=True)]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    for t, r, w in zip(texts, runs, words, strict=True):
+        data = (t or "").encode()
+        gone, out = np.zeros(len(data), bool), np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                out[i : i + length] = True
+        for i, (a, b) in enumerate(r):
+            if out[i]:
+                gone[a : r[i + 1][0] if out[i + 1] else b] = True
+        yield int(gone.sum()), bytes(b for b, g in zip(data, gone, strict=True) if not g)
+
+
+@pytest.mark.parametrize("seed,hot", [(11, 2000), (12, 1)])
+def test_words_equal_brute_force(spark, seed, hot):
+    texts = [*corpus(seed), "a " * 40, "\n".join("abcdefghijkl") + " q", "x\t" + "\n".join("abcdefghijkl")]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix.remove_repeats(df, length=12, words=True, hot=hot).collect()}
+    want = dict(enumerate(brute_words(texts, 12)))
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 20
+
+
+def test_long_and_uniform_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh") for _ in range((1 << 20) + 900))
+    texts = [long, "<" + long[500_000:500_400] + ">", "<" + long[1_048_300:1_048_999] + ">", "<" + long[70:469] + ">", "y" * 300_000]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {0: (400 + 699, 2), 1: (400, 1), 2: (699, 1), 3: (0, 0), 4: (300_000, 1)}
+
+
 def test_sorting_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SORT_STRETCHES", 5)
     texts = corpus(7)
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r[0]: tuple(r)[1:5] for r in suffix.remove_repeats(df, length=80, bucket=16).collect()}
+    got = {r[0]: tuple(r)[1:5] for r in suffix.remove_repeats(df, length=80).collect()}
     assert got == dict(enumerate(brute(texts, 80)))
 
 
@@ -94,5 +128,8 @@ def test_rows_and_kept_columns(spark):
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    got = {r[0]: tuple(r)[1:] for r in op10_suffix_dedup(spark, sf).collect()}
-    assert got == dict(zip([r[0] for r in docs], brute([r[1] for r in docs], 400), strict=True))
+    rows = op10_suffix_dedup(spark, sf).collect()
+    assert {r[0]: tuple(r)[1:5] for r in rows} == dict(zip([r[0] for r in docs], brute([r[1] for r in docs], 400), strict=True))
+    removed = {d: n for d, (n, _) in zip([r[0] for r in docs], brute_words([r[1] for r in docs], 50), strict=True)}
+    assert {r["doc_id"] for r in rows if r["n_passage_words"]} == {d for d, n in removed.items() if n}
+    assert all(r["n_passage_words"] == 0 or r["n_passage_words"] >= 50 for r in rows)
