@@ -16,10 +16,12 @@ from .common import id_type, stored
 from .components import Forest, components
 
 THRESHOLD = 0.95
-#: Vectors that the index is fitted on, those with the least hash; subspaces and codes of each; rows of a block.
-SAMPLE, SUBSPACES, CODES, BLOCK = 20_000, 8, 256, 2048
-#: The number of cells is the square root of the number of distinct vectors, up to this many.
-MOST_CELLS = 4096
+#: Vectors that the index is fitted on, those with the least hash, or EACH a cell if that is more (262,144 at most);
+#: subspaces and codes of each; rows of a block.
+SAMPLE, EACH, SUBSPACES, CODES, BLOCK = 20_000, 4, 8, 256, 2048
+#: Cells: the square root of the number of distinct vectors, or one for each FULL of them if that is more. The centres
+#: are broadcast, so they have a bound; beyond FULL * MOST_CELLS vectors cells grow and are searched in more blocks.
+FULL, MOST_CELLS = 1024, 65_536
 #: A cell is probed if its border is within so many standard deviations of what a near vector's offset, spread evenly
 #: over the dimensions, has across that border.
 SIGMAS = 3.0
@@ -40,7 +42,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     half = (centers * centers).sum(1) / 2
-    return np.concatenate([np.argmin(half - part @ centers.T, axis=1) for part in np.array_split(x, max(1, len(x) // 4096))])
+    return np.concatenate([np.argmin(half - part @ centers.T, axis=1) for part in np.array_split(x, max(1, len(x) * len(centers) // 2_000_000))])
+
+
+def cell_centers(x: np.ndarray, k: int) -> np.ndarray:
+    """k centres: by k-means, or for many by k-means of the sqrt(k) parts that a first k-means makes, by their sizes."""
+    if k <= 1024:
+        return kmeans(x, k)
+    top = nearest(x, kmeans(x, round(math.sqrt(k))))
+    parts = [x[top == i] for i in np.unique(top)]
+    return np.concatenate([kmeans(p, max(1, round(k * len(p) / len(x)))) for p in parts])[:MOST_CELLS]
 
 
 @dataclass
@@ -52,17 +63,24 @@ class Index:
     @classmethod
     def fitted(cls, sample: np.ndarray, cells: int, threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> Index:
         """sample: unit vectors. reach: the largest distance of two unit vectors at the threshold."""
-        centers = kmeans(sample, cells)
+        centers = cell_centers(sample, cells)
         residual = sample - centers[nearest(sample, centers)]
         books = [kmeans(residual[:, part], CODES) for part in _parts(sample.shape[1])]
         return cls(centers, books, math.sqrt(max(0.0, 2 - 2 * threshold)))
 
-    def border(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """How far each vector is from the border between its cell and every other."""
-        square = (self.centers * self.centers).sum(1) - 2 * x @ self.centers.T
-        apart = np.sqrt(np.maximum(((self.centers[cell][:, None] - self.centers[None]) ** 2).sum(2), 1e-30))
-        out = (square - square[np.arange(len(x)), cell][:, None]) / (2 * apart)
-        out[np.arange(len(x)), cell] = 0
+    def probes(self, x: np.ndarray, cell: np.ndarray, margin: float) -> list[np.ndarray]:
+        """The cells whose border with each vector's own cell is within the margin, its own among them."""
+        out: list[np.ndarray] = []
+        norm = (self.centers * self.centers).sum(1)
+        step = max(1, 2_000_000 // len(self.centers))
+        for k in range(0, len(x), step):
+            part, home = x[k : k + step], cell[k : k + step]
+            square = norm - 2 * part @ self.centers.T
+            apart = norm[home][:, None] + norm - 2 * self.centers[home] @ self.centers.T
+            rows = np.arange(len(part))
+            near = square - square[rows, home][:, None] <= 2 * margin * np.sqrt(np.maximum(apart, 1e-30))
+            near[rows, home] = True
+            out += [np.flatnonzero(row) for row in near]
         return out
 
     def coded(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +139,7 @@ def _assigner(shared, sigmas: float):
                 x = _unit(part.column("vec").to_pylist())
                 cell = nearest(x, index.centers)
                 codes, error = index.coded(x, cell)
-                probes = [np.flatnonzero(row <= margin) for row in index.border(x, cell)]
+                probes = index.probes(x, cell, margin)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("size"), part.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(cell.astype(np.int32)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
                     ["node", "size", "vec", "codes", "error", "home", "probes"],
@@ -147,9 +165,12 @@ def _searcher(shared, threshold: float):
         tables = index.tables(qx, cell)
         home = query.column("home").to_numpy()
         counts_q, counts_h = np.zeros(len(qn), np.int64), np.zeros(len(hn), np.int64)
-        back = np.zeros((len(hn), len(index.centers)), bool)  # whether a held vector asks a query's cell itself
-        for i, p in enumerate(held.column("probes").to_pylist()):
-            back[i, p] = True
+        homes, home = np.unique(home, return_inverse=True)
+        back = np.zeros((len(hn), len(homes)), bool)  # whether a held vector asks a query's cell itself
+        lists = held.column("probes").combine_chunks()
+        row_of, asked = np.repeat(np.arange(len(hn)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(homes, asked), len(homes) - 1)
+        back[row_of[homes[at] == asked], at[homes[at] == asked]] = True
         nodes, row = np.unique(np.concatenate([qn, hn]), return_inverse=True)
         forest = Forest(len(nodes))
         for start in range(0, len(qn), 256):
@@ -186,25 +207,37 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Vectors link at a cosine of the threshold or above, in double precision. Equal vectors are one class, searched
     once: n_links counts the rows of every linked class and the other rows of its own. Vectors that are null, empty or
-    zero, or hold a null or non-finite component, link with nothing, and neither do those whose length is not the
-    most common one. Rows with a null id keep their row and never name a component.
+    zero, or hold a null or non-finite component, link with nothing. Vectors of unequal length don't link; each length
+    has an index of its own. Rows with a null id keep their row and never name a component.
 
-    The index is fitted on `sample` vectors and holds all of them. Each vector asks the lists of the cells whose border
+    An index is fitted on `sample` vectors and holds all of them. Each vector asks the lists of the cells whose border
     is near (see SIGMAS); within a list, table look-ups give its distance to every coded vector, which may err by the
     coded vector's own quantisation error and no more: that bound loses no pair, and what passes is compared exactly.
     Recall is lost only where a near vector lies beyond an unprobed border. Lists and queries meet in blocks of BLOCK
     by BLOCK, so a crowded cell is many tasks; what leaves a block are counts and a spanning forest, never its pairs.
     """
-    spark = table.sparkSession
     rows = stored(_vectors(table.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")), id_type(table, id_col)), "vectors")
-    usual = rows.where("node is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    alone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return alone
-    classes = stored(rows.where(F.col("dim") == usual["dim"]).groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("size"), F.min("id").alias("least")), "vector-classes")
+    facts = None
+    for dim in sorted(r["dim"] for r in rows.where("node is not null").select("dim").distinct().collect()):
+        classes = rows.where(F.col("dim") == dim).groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("size"), F.min("id").alias("least"))
+        found = _linked(stored(classes, "vector-classes"), threshold, sample, sigmas)
+        facts = found if facts is None else facts.unionByName(found)
+    if facts is None:
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    known = F.col("k").isNotNull()
+    component = F.when(known & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    out = rows.join(facts, (rows["node"] == facts["k"]) & (rows["dim"] == facts["d"]), "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _linked(classes: DataFrame, threshold: float, sample: int, sigmas: float) -> DataFrame:
+    """(k, d, n_links, component_id) of each distinct vector of classes(node, vec, size, least), all of one length."""
+    spark = classes.sparkSession
     total = classes.count()
+    n_cells = max(1, min(MOST_CELLS, max(round(math.sqrt(total)), total // FULL)))
+    sample = max(sample, EACH * n_cells)
     chosen = classes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vec").collect()
-    index = Index.fitted(_unit([bytes(r["vec"]) for r in chosen]), max(1, min(MOST_CELLS, round(math.sqrt(total)))), threshold)
+    index = Index.fitted(_unit([bytes(r["vec"]) for r in chosen]), n_cells, threshold)
     shared = spark.sparkContext.broadcast(index)
     coded = stored(classes.select("node", "size", "vec").mapInArrow(_assigner(shared, sigmas), "node long, size long, vec binary, codes binary, error double, home int, probes array<int>"), "coded")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -221,8 +254,5 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "n")
     named = stored(classes.select("node", "size", "least").join(linked, "node", "left").join(roots, F.col("node") == F.col("n"), "left").select("node", "least", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "linked")
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    facts = stored(named.join(least, "root").select(F.col("node").alias("k"), "n_links", "component_id"), "facts")
-    known = F.col("k").isNotNull()
-    component = F.when(known & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    out = rows.join(facts, rows["node"] == facts["k"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    width = len(index.centers[0])
+    return stored(named.join(least, "root").select(F.col("node").alias("k"), F.lit(width).alias("d"), "n_links", "component_id"), "facts")

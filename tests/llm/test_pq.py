@@ -69,3 +69,26 @@ def test_odd_vectors(spark):
 def test_null_and_repeated_ids(spark, ids):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in ids], "vec_id long, embedding array<float>")
     assert sorted((str(r[0]), r[1], str(r[2])) for r in pq.near_vectors(df).collect()) == sorted((str(i), 1, str(i)) for i in ids)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [0.0, 1.0]), (6, [3.0]), (7, [4.0]), (8, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r[0]: (r[1], r[2]) for r in pq.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_many_cells():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = pq.Index.fitted(x, 2000)
+    assert 1500 < len(index.centers) < 2500
+    cell = pq.nearest(x[:300], index.centers)
+    probes = index.probes(x[:300], cell, 1e9)
+    assert all(len(p) == len(index.centers) for p in probes)
+    apart = np.linalg.norm(x[:300, None] - index.centers[None], axis=2) ** 2
+    between = np.linalg.norm(index.centers[cell][:, None] - index.centers[None], axis=2)
+    border = (apart - apart[np.arange(300), cell][:, None]) / (2 * np.maximum(between, 1e-15))
+    want = [sorted({*np.flatnonzero(row <= 0.05), c}) for row, c in zip(border, cell, strict=True)]
+    assert [p.tolist() for p in index.probes(x[:300], cell, 0.05)] == want
