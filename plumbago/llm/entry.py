@@ -101,11 +101,9 @@ def _op9() -> str:
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
 WITH notice AS (SELECT template, license, {grams} AS g FROM (SELECT template, license, {words.format("notice")} AS w FROM (VALUES {notices}) AS t(template, license, notice)) WHERE len(w) > 1),
-unit AS (SELECT doc_id, unit, {words.format("line")} AS w FROM (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS unit FROM
-         (SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)), list_filter(regexp_split_to_array(coalesce(text, ''), '
-[ 	
-]*
-'), lambda p: contains(p, chr(10)))) AS u FROM documents))),
+base AS (SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)), list_filter(regexp_split_to_array(coalesce(text, ''), '\n(?:[^A-Za-z0-9\n]*\n)+'), lambda p: contains(p, chr(10)))) AS u FROM documents),
+part AS (SELECT doc_id, list_concat(u, flatten(list_filter(list_transform(u, lambda p: string_split(regexp_replace(p, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1))), lambda s: len(s) > 1))) AS u FROM base),
+unit AS (SELECT doc_id, unit, {words.format("line")} AS w FROM (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS unit FROM part)),
 gram AS (SELECT doc_id, unit, {grams} AS g FROM unit WHERE len(w) > 1),
 hit AS (SELECT doc_id, unit, template, license, 2.0::DOUBLE * len(list_intersect(gram.g, notice.g)) / (len(gram.g) + len(notice.g)) AS dice FROM gram JOIN notice
         ON len(gram.g) BETWEEN len(notice.g) * {THRESHOLD} / (2 - {THRESHOLD}) - 0.001 AND len(notice.g) * (2 - {THRESHOLD}) / {THRESHOLD} + 0.001),

@@ -1,4 +1,4 @@
-"""Licence scan: lines and paragraphs against licence notices by the Dice coefficient of their word bigrams.
+"""Licence scan: lines, paragraphs and sentences against licence notices by the Dice coefficient of word bigrams.
 
 Built-in functions only: whatever the plan does runs in the JVM.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -41,6 +41,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Words that most texts hold, which tell little.
+_COMMON = frozenset("a all an and any are by following for in is may not of or possible provided that the this to under use with work you".split())
+
+
 def _words(col):
     """Runs of a-z and 0-9 after lower-casing A-Z, all else being a gap."""
     return F.split(F.trim(F.regexp_replace(F.translate(col, _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
@@ -60,37 +64,69 @@ def templates(spark, notices: tuple[tuple[str, str], ...] = TEMPLATES, threshold
     return rows.select("template", "license", F.col("grams").alias("notice_grams"), F.col("n").alias("notice_n"), F.explode(bounds).alias("n"))
 
 
+def telling(notices: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every stretch at the threshold holds one at least.
+
+    Such a stretch shares threshold / (2 - threshold) of a notice's bigrams or more. For each notice, its longest words,
+    common ones last, are taken until fewer bigrams than that are free of them.
+    """
+    out: set[str] = set()
+    for _, notice in notices:
+        words = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in notice).split()
+        grams = {*zip(words, words[1:], strict=False)}
+        shared = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        taken: set[str] = set()
+        for w in sorted({*words}, key=lambda w: (w not in out, w in _COMMON, -len(w), w)):
+            if sum(not taken & {*g} for g in grams) < shared:
+                break
+            taken.add(w)
+        out |= taken
+    return sorted(out)
+
+
+def stretches(text: Column) -> Column:
+    """Lines; paragraphs of several lines, between lines without letter or digit; the sentences of either, where there
+    are several."""
+    lines = F.split(text, "\n")
+    paragraphs = F.filter(F.split(text, "\n([^A-Za-z0-9\n]*\n)+"), lambda p: F.instr(p, "\n") > 0)
+    both = F.concat(lines, paragraphs)
+    sentences = F.transform(both, lambda p: F.split(F.regexp_replace(p, "([.!?])[ \t\r\n]+", "$1\u0001"), "\u0001"))
+    return F.concat(both, F.flatten(F.filter(sentences, lambda s: F.size(s) > 1)))
+
+
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, unit, template, license, dice) of each line, or paragraph of several lines, at the threshold or above.
+    """(id, digest, unit, template, license, dice) of each stretch at the threshold or above; digest: the text's MD5.
 
     Two sets of a and b bigrams have a Dice coefficient of at most 2 min(a, b) / (a + b); so a notice is a candidate
     only for stretches whose number of bigrams lies in its bounds. That is an equi-join on this number with a table
-    of the notices, whose size is the parameter's and not the data's; it is broadcast.
+    of the notices, whose size is the parameter's and not the data's; it is broadcast. Stretches without a telling word
+    can't match (see telling()) and are left out first.
     """
     table = templates(docs.sparkSession, notices, threshold)
+    word = "|".join(telling(notices, threshold))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    smallest = min((len(set(zip(w, w[1:], strict=False))) for w in ([x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in t).split()] for _, t in notices) if len(w) > 1), default=1)
-    floor = max(1, math.ceil(smallest * threshold / (2 - threshold) - 1e-9))
-    units = docs.select(F.col(id_col).alias("id"), F.posexplode(F.concat(F.split(text, "\n"), F.filter(F.split(text, "\n[ \t\r]*\n"), lambda p: F.instr(p, "\n") > 0))).alias("unit", "line"))
-    grams = units.select("id", "unit", _words(F.col("line")).alias("w")).where(F.size("w") > floor).select("id", "unit", F.expr(_bigrams("w")).alias("grams"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.rlike("text", F.lit(f"(?i)(?:{word})")))
+    units = rows.select("id", F.md5("text").alias("digest"), F.posexplode(stretches(F.col("text"))).alias("unit", "line"))
+    words = units.where(F.rlike("line", F.lit(f"(?i)(?:{word})"))).select("id", "digest", "unit", _words(F.col("line")).alias("w"))
+    grams = words.where("size(w) > 1").select("id", "digest", "unit", F.expr(_bigrams("w")).alias("grams"))
     found = grams.withColumn("n", F.size("grams")).join(F.broadcast(table), "n")
     shared = F.size(F.array_intersect("grams", "notice_grams"))
     dice = 2.0 * shared / (F.col("n") + F.col("notice_n"))
-    return found.select("id", "unit", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    return found.select("id", "digest", "unit", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id, license (null: none), dice of the best match, licenses (all found, sorted, joined
-    by commas), n_units long (lines and paragraphs that match).
+    by commas), n_units long (lines, paragraphs and sentences that match).
 
     Each stretch counts for its best notice only; a tie goes to the notice that stands first, and of a document's
-    stretches the best, then the first notice. Null and empty texts match nothing. Rows with one id share what any of
-    them matches; a null id is an id like others. Other columns are ignored; an empty table gives an empty result.
+    stretches the best, then the first notice. Null and empty texts match nothing. Rows with one id keep to their own
+    texts; a null id is an id like others. Other columns are ignored; an empty table gives an empty result.
     """
-    best = matches(docs, id_col, text_col, notices, threshold).groupBy("id", "unit").agg(F.max(F.struct("dice", (-F.col("template")).alias("first"), "license")).alias("m"))
-    found = best.groupBy("id").agg(
+    best = matches(docs, id_col, text_col, notices, threshold).groupBy("id", "digest", "unit").agg(F.max(F.struct("dice", (-F.col("template")).alias("first"), "license")).alias("m"))
+    found = best.groupBy("id", "digest").agg(
         F.max("m").alias("m"), F.concat_ws(",", F.array_sort(F.collect_set("m.license"))).alias("licenses"), F.count("*").alias("n_units")
     )
-    rows = docs.select(F.col(id_col).alias(id_col))
-    out = rows.join(found, rows[id_col].eqNullSafe(found["id"]), "left")
-    return out.select(rows[id_col], F.col("m.license").alias("license"), F.coalesce("m.dice", F.lit(0.0)).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
+    rows = docs.select(F.col(id_col).alias("key"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("own"))
+    out = rows.join(found, rows["key"].eqNullSafe(found["id"]) & (F.col("own") == F.col("digest")), "left")
+    return out.select(F.col("key").alias(id_col), F.col("m.license").alias("license"), F.coalesce("m.dice", F.lit(0.0)).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_units", F.lit(0)).alias("n_units"))

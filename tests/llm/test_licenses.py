@@ -1,6 +1,8 @@
+import math
 import re
 
 import duckdb
+import pytest
 
 from plumbago.llm import licenses
 from plumbago.llm.entry import ORACLE_SQL, op9_licenses
@@ -15,7 +17,9 @@ def grams(t):
 
 def brute(text):
     text = text or ""
-    units = text.split("\n") + [p for p in re.split("\n[ \t\r]*\n", text) if "\n" in p]
+    units = text.split("\n") + [p for p in re.split("\n(?:[^A-Za-z0-9\n]*\n)+", text) if "\n" in p]
+    parts = [re.split("(?<=[.!?])[ \t\r\n]+", u) for u in units]
+    units += [s for p in parts if len(p) > 1 for s in p]
     found = []
     for u in units:
         best = None
@@ -44,9 +48,34 @@ def test_equals_brute_force(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
-def test_repeated_ids_share_matches(spark):
-    df = spark.createDataFrame([(1, TEXTS[4]), (1, "nothing")], "doc_id long, text string")
-    assert [r["license"] for r in licenses.license_scan(df).collect()] == ["MIT", "MIT"]
+def test_repeated_ids_keep_to_their_texts(spark):
+    df = spark.createDataFrame([(1, TEXTS[4]), (1, "nothing"), (1, TEXTS[4]), (None, "nothing"), (None, TEXTS[4])], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["license"]), r["n_units"]) for r in licenses.license_scan(df).collect())
+    assert got == [("1", "MIT", 1), ("1", "MIT", 1), ("1", "None", 0), ("None", "MIT", 1), ("None", "None", 0)]
+
+
+GPL = licenses.TEMPLATES[15][1]
+
+
+@pytest.mark.parametrize(
+    "text,license",
+    [
+        ("# Copyright 2020 Jane Doe\n#\n# " + "\n# ".join(GPL.split(". ")) + "\n#\nimport os", "GPL-3.0"),
+        ("Copyright 2020 Jane Doe. Released under the MIT License. And much more text on this line about something else.", "MIT"),
+        ("/*\n * " + licenses.TEMPLATES[19][1].replace(", ", ",\n * ") + "\n *\n * THE SOFTWARE IS PROVIDED AS IS\n */", "MIT"),
+    ],
+)
+def test_notices_in_comments_and_within_lines(spark, text, license):
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["license"] == license == brute(text)[0]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_telling_words_lose_nothing(threshold):
+    words = set(licenses.telling(threshold=threshold))
+    for _, notice in licenses.TEMPLATES:
+        all_ = grams(notice)
+        assert sum(not words & {*g} for g in all_) < math.ceil(len(all_) * threshold / (2 - threshold) - 1e-9)
 
 
 def test_size_bounds_lose_nothing(spark):
