@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import carried, id_and_text, id_type, restored, slices, stored
 
-#: Labelled rows that the classifier is fitted on, those with the least hash of their id; and the features it keeps.
+#: Labelled rows that the classifier is fitted on, those with the least hash of their id; the features it keeps, and the
+#: positive rows that must hold one. All three are parameters of train().
 SAMPLE_ROWS = 20_000
-FEATURES = 512
+FEATURES, FEATURE_ROWS = 512, 3
 #: Word beginnings that are features besides whole words, in characters.
 PREFIXES = (4, 5, 6)
 #: A labelled row trains if crc32(id as text) leaves another remainder than the held-out one.
@@ -43,7 +45,7 @@ _ONE = _MARKS.replace(r"\*", "")
 #: or a letter three times anywhere; a letter three times within other characters of words.
 _SPACED = rf"(?<![^\W_])(?:([a-z{_ONE}])\1*+[\s.,\-_*~/:;]++){{2,}}([a-z{_ONE}])\2*+(?![^\W_])"
 _MIXED = rf"(?<![\w{_MARKS}])(?=[{_MARKS}]*[a-z])(?=[a-z]*[{_MARKS}]|[a-z]*?([a-z])\3\3)[a-z{_MARKS}]++(?!\w)"
-_LONG = r"[a-z]*([a-z])\4\4[a-z]*"
+_LONG = r"(?<![a-z])[a-z]*?([a-z])\4\4[a-z]*+"
 _SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_LONG}")
 _APART = re.compile(_SPACED)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,21 +103,21 @@ class Channel:
 
         With beside, marks before and after the word may also stay as they are written.
         """
-        best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}  # part (before, in, after), codes
-        for c, options in [*self._options(written), ("", [(" ", 0.0)])]:
-            after: dict[tuple[int, int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int, int], tuple] = {(0, 0, 0): (0.0, None)}  # part (before, in, after), codes
+        for c, options in chain(self._options(written), [("", [(" ", 0.0)])]):
+            after: dict[tuple[int, int, int], tuple] = {}  # a reading is its last letters and the reading before them
 
-            def put(state, new, after=after):
-                if state not in after or new > after[state]:
-                    after[state] = new
+            def put(state, score, read, letters, after=after):
+                if state not in after or score > after[state][0]:
+                    after[state] = score, (read, letters)
 
             for (part, a, b), (score, read) in best.items():
                 if beside and (not c or c[0] in READINGS):
                     kept = score + (0.0 if not c or c[0] in _BESIDE else self.keep * len(c))
                     if part != 1:
-                        put((part, 0, 0), (kept, read + c))
+                        put((part, 0, 0), kept, read, c)
                     elif c:
-                        put((2, 0, 0), (kept + self.source[a, b, 0], read + c))
+                        put((2, 0, 0), kept + self.source[a, b, 0], read, c)
                 if part == 2 or (beside and not c and part == 0):
                     continue
                 for letters, cost in options:
@@ -124,9 +126,13 @@ class Channel:
                         code = ord(ch) - 96 if "a" <= ch <= "z" else 0
                         total += self.source[x, y, code]
                         x, y = y, code
-                    put((1, x, y), (total, read + letters))
+                    put((1, x, y), total, read, letters)
             best = after
-        return max(best.values())[1].strip()
+        read, parts = max(best.values(), key=lambda found: found[0])[1], []
+        while read:
+            read, letters = read
+            parts.append(letters)
+        return "".join(reversed(parts)).strip()
 
 
 class Restorer:
@@ -224,8 +230,9 @@ def corpus_trigrams(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The source model from all of docs; the classifier from up to sample_rows labelled rows outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, width: int = FEATURES, least: int = FEATURE_ROWS) -> Model:
+    """The source model from all of docs; the classifier from up to sample_rows labelled rows outside the held-out fold,
+    with the `width` features that part the classes best among those that `least` positive rows hold.
 
     Only ids and labels of the sample (its size is the parameter) are broadcast, so no text is shuffled. Of several
     labels for one id the greatest counts; null ids, null labels and labels without a document are left out. Without
@@ -261,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.col("pos") / n1 - F.col("neg") / n0
     spread = (F.col("pos") + F.col("neg")) / (n1 + n0)
     gain = share / F.sqrt(spread * (1.0 + 1.0 / (n1 + n0) - spread) * (1.0 / n1 + 1.0 / n0))
-    best = both.where(F.col("pos") >= 3).orderBy(gain.desc(), "f").limit(FEATURES).select("f").collect()
+    best = both.where(F.col("pos") >= least).orderBy(gain.desc(), "f").limit(width).select("f").collect()
     model = Model(channel, sorted(r["f"] for r in best), np.zeros(len(best) + 1))
     given = spark.sparkContext.broadcast((channel, model.names, model.weights))
 

@@ -83,3 +83,14 @@ def test_last_letters_and_mixed_disguises_are_read(channel, written, read):
 @pytest.mark.parametrize("plain", ["idiot!", "(the class)", "**the** book!!!", "1, 2, 3, 4", "5 x 1 + 2", "the letter +"])
 def test_numbers_and_marks_beside_words_stay(channel, plain):
     assert t.Restorer(channel)(plain) == plain
+
+
+def test_long_words_and_stretches_take_linear_time(channel):
+    import time
+
+    restore, start = t.Restorer(channel), time.time()
+    assert restore("ab" * 500_000) == "ab" * 500_000
+    assert len(restore("ab" * 250_000 + "ccc" + "ab" * 250_000)) < 1_000_004
+    assert restore("x " + "1" * 500_000) == "x " + "1" * 500_000
+    assert restore("i d i o t " * 5_000).count("idiot") > 4_900
+    assert time.time() - start < 60
