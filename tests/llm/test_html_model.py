@@ -51,6 +51,15 @@ def test_one_page():
     assert h.main_text(PAGE, h.trained()) == "A & B\nFirst paragraph of the text, with a break.\nSecond one, unclosed <tag>.\nItem one of the list."
 
 
+def test_quotes_inside_values_swallow_nothing():
+    for attrs in ("title=it's", "data-note=5'", "title='a > b'", 'title = "x > y" class=z', "a=\"", "a='"):
+        page = dom.read(f"<article><p {attrs}>First of the words here.</p><p>Second of the words here.</p></article>")
+        runs = [x for x in page.texts if x]
+        assert runs == ["First of the words here.", "Second of the words here."] or attrs[-1] in "\"'" and attrs[2] in "\"'"
+    page = dom.read("<div title=it's class=ad>x</div>")
+    assert page.names[page.tags.index("div")][0] == "ad"
+
+
 def test_reader_survives_anything():
     rng = random.Random(1)
     bits = ["<p", ">", "</", "<!--", "-->", "<a href='", "\"", "x", " ", "<script>", "</script>", "&amp", "&#x41;", "<li>", "</p>", "<table><tr><td>", "é", "<br/>", "<div class="]
