@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from plumbago.functions import text as T
 
-#: What a sentence must not begin or end with to stand alone, and verbs that make it one.
-DANGLING = ("of", "in", "on", "at", "by", "for", "with", "to", "from", "and", "or", "the", "a", "an")
-CONNECTIVES = ("and", "but", "or", "so", "because", "which", "that", "also", "however", "therefore")
-VERBS = ("is", "are", "was", "were", "be", "has", "have", "had", "can", "will", "does", "do", "uses", "use", "means", "contains", "provides", "allows", "includes", "refers", "defines", "makes", "takes", "gives", "shows")
+#: Ends that leave a sentence open, parts that make one, and starts that need another before them.
+DANGLING = (" by.", " of.", " in.", " on.", " to.", " for.", " with.", " as.")
+VERB_PARTS = (
+    " is ", " are ", " was ", " were ", " has ", " have ", " had ", " does ", " do ", " did ", " will ", " can ", " could ", " would ", " should ", " may ", " might ", " shall ", " must ",
+    " means ", " refers ", " includes ", " contains ", " produces ", " generates ", " processes ", " converts ", " takes ", " reads ", " uses ", " performs ", " involves ", " requires ", " provides ",
+    " creates ", " identifies ", " allocate", " optimize", " select", " called ", " known ",
+)
+CONNECTIVES = r"^(which|that|and|or|but|enabling|including|such)\b"
+#: What defines something, and starts that point back.
+DEFINING = (
+    "is defined", "refers to", "is responsible", "is called", "is known", "is used", "is a", "means", "involves", "consists of", "includes", "processes", "converts", "generates", "produces", "performs", "allocates",
+)
+VAGUE = ("it ", "this ", "that ", "there ", "here ")
+#: What optical recognition leaves where there was no text.
+GARBAGE = r"[|@\[\]{}<>\\;!#$%^&*]{2,}|[oO0lI1]{5,}|(\w)\1{4,}"
 
 
 def n_words(text: Column) -> Column:
@@ -18,9 +29,10 @@ def n_words(text: Column) -> Column:
 
 
 def is_clean(text: Column) -> Column:
-    """Five characters or more, at least 0.55 of them letters, and three words unless there is a colon."""
+    """Five characters or more, at least 0.55 of them letters, three words unless there is a colon, and no garbage that
+    begins within the first forty characters."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    return (F.length(t) >= 5) & (T.alpha_share(t) >= 0.55) & ((n_words(t) >= 3) | F.contains(t, F.lit(":")))
+    return (F.length(t) >= 5) & (T.alpha_share(t) >= 0.55) & ((n_words(t) >= 3) | F.contains(t, F.lit(":"))) & ~t.rlike(rf"(?s)^.{{0,39}}?(?:{GARBAGE})")
 
 
 def is_symbols_only(text: Column) -> Column:
@@ -29,28 +41,32 @@ def is_symbols_only(text: Column) -> Column:
 
 
 def is_formula_like(text: Column) -> Column:
-    """Digits, letters and arithmetic signs throughout, with a sign or digit among them."""
-    return text.rlike(r"^[0-9A-Za-z+\-*/^=().,\s]+$") & text.rlike(r"[0-9+*/^=]")
-
-
-def has_verb(text: Column) -> Column:
-    return F.arrays_overlap(T.tokens(F.regexp_replace(text, r"[^\p{L}\s]", " ")), F.array(*map(F.lit, VERBS)))
+    """Digits, letters, arithmetic signs, full stops and blanks throughout, one at least."""
+    return F.coalesce(T.stripped(text).rlike(r"^[0-9A-Za-z+\-=*/()^%.\s]+$"), F.lit(False))
 
 
 def is_fragment(text: Column) -> Column:
-    """Under four words, a lower-case start, a dangling end, or no verb in under eight words."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    last = F.element_at(F.split(F.lower(F.regexp_replace(t, r"[.!?\s]+$", "")), r"\s+"), -1)
-    return (n_words(t) < 4) | t.rlike(r"^\p{Ll}") | last.isin(*DANGLING) | (~has_verb(t) & (n_words(t) < 8))
+    """Under four words, a lower-case start (but for i, e.g. and i.e.), a dangling end, or no verb in under eight words."""
+    t = F.coalesce(text, F.lit(""))
+    low, padded = F.lower(t), F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+    verb = F.exists(F.array(*map(F.lit, VERB_PARTS)), lambda v: F.contains(padded, v))
+    lower = t.rlike(r"^\p{Ll}") & ~t.rlike(r"^(i |i'|e\.g|i\.e)")
+    return (n_words(t) < 4) | lower | F.exists(F.array(*map(F.lit, DANGLING)), lambda e: F.endswith(low, e)) | (~verb & (n_words(t) < 8))
 
 
 def starts_with_connective(text: Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(text), r"^(\p{L}+)", 1)).isin(*CONNECTIVES)
+    return T.stripped(text).rlike("(?i)" + CONNECTIVES)
+
+
+def is_loose_sentence(text: Column) -> Column:
+    """Under twenty characters, or a connective or a lower-case letter first."""
+    t = T.stripped(text)
+    return (F.length(t) < 20) | starts_with_connective(t) | t.rlike(r"^\p{Ll}")
 
 
 def is_self_loop(text: Column) -> Column:
-    """'X is a type of X'."""
-    return F.lower(text).rlike(r"^\s*(?:an?\s+|the\s+)?(.+?)\s+is\s+(?:an?\s+)?(?:type|kind|form|part)\s+of\s+(?:an?\s+|the\s+)?\1\s*[.!]?\s*$")
+    """'X is a type of X', 'X includes X', 'X contains X' or 'X encompasses X'."""
+    return T.stripped(text).rlike(r"(?i)^(.+?)\s+(?:is\s+a\s+type\s+of|includes|contains|encompasses)\s+\1\s*\.?\s*$")
 
 
 def has_open_bracket_tail(text: Column) -> Column:
@@ -59,11 +75,18 @@ def has_open_bracket_tail(text: Column) -> Column:
     return (count(")") > count("(")) & F.rtrim(text).rlike(r"\)\s*[.]?$")
 
 
-def is_grounded(sentence: Column, labels: list[str]) -> Column:
-    """Holds a label, or a word of over three letters of one."""
-    s, known = F.lower(sentence), F.array(*(F.lit(x.lower()) for x in labels)).cast("array<string>")
-    words = F.filter(F.array_distinct(F.flatten(F.transform(known, lambda x: F.split(x, r"\s+")))), lambda w: F.length(w) > 3)
-    return F.exists(known, lambda x: F.contains(s, x)) | F.arrays_overlap(T.tokens(F.regexp_replace(s, r"[^\p{L}\p{N}\s]", " ")), words)
+def is_grounded(sentence: Column, labels: list[str], strict: bool = False) -> Column:
+    """Holds a label; or a word of over three letters of one, or with strict over 0.3 of its own such words. Without a
+    sentence or labels there is nothing to hold against it."""
+    s, names = F.lower(sentence), sorted({x.lower().strip() for x in labels if x})
+    if not names:
+        return F.lit(True)
+    known = F.array(*map(F.lit, names))
+    parts = F.array(*map(F.lit, sorted({w for x in names for w in x.split() if len(w) > 3}))).cast("array<string>")
+    own = F.array_distinct(T.tokens(s))
+    content = F.size(F.filter(own, lambda w: (F.length(w) > 3) & w.rlike(r"^\p{L}+$")))
+    shared = F.size(F.array_intersect(own, parts))
+    return F.coalesce(s == "", F.lit(True)) | F.exists(known, lambda x: F.contains(s, x)) | ((shared > 0.3 * content) & (content > 0) if strict else shared >= 1)
 
 
 def is_filename(text: Column) -> Column:
@@ -77,10 +100,9 @@ def binary_garbage_share(text: Column) -> Column:
 
 
 def informative_score(sentence: Column) -> Column:
-    """Length bands, a definition, capitals inside, less vague openings."""
-    n = n_words(sentence)
-    length = F.when(n.between(8, 25), 2.0).when(n.between(5, 35), 1.0).otherwise(0.0)
-    definition = F.when(F.lower(sentence).rlike(r"\b(is an?|refers to|defined as|means)\b"), 1.5).otherwise(0.0)
-    capitals = F.least(F.size(F.regexp_extract_all(sentence, F.lit(r"(?<=\s)\p{Lu}\p{L}+"), 0)) * 0.3, F.lit(1.5))
-    vague = F.when(F.lower(F.trim(sentence)).rlike(r"^(it|this|that|these|those|they|there)\b"), 1.0).otherwise(0.0)
-    return length + definition + capitals - vague
+    """Length bands, a definition, capitalised terms inside, less a start that points back."""
+    n, low = n_words(sentence), F.lower(sentence)
+    length = F.when(n < 6, 0.3).when(n < 10, 0.6).when(n < 25, 1.0).when(n < 35, 0.8).otherwise(0.6)
+    holds = lambda values, f: F.exists(F.array(*map(F.lit, values)), lambda v: f(low, v))
+    terms = F.size(F.regexp_extract_all(F.substring(sentence, F.lit(2), F.length(sentence)), F.lit(r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"), 0))
+    return length + F.when(holds(DEFINING, F.contains), 0.3).otherwise(0.0) + F.least(terms * 0.1, F.lit(0.3)) - F.when(holds(VAGUE, F.startswith), 0.15).otherwise(0.0)

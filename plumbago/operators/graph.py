@@ -10,8 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Relation parts that say a concept holds another; that say a step follows another.
-CONTAINMENT = ("contain", "include", "has", "consist", "compris", "compos", "part of", "divided", "type of", "is a", "kind of", "categor", "classif", "subclass", "component", "made of", "belongs", "encompass", "type")
-FLOW = ("precedes", "then", "followed by", "leads to", "next", "before", "produces", "feeds", "triggers", "results in")
+CONTAINMENT = ("has", "includes", "contains", "consists_of", "comprised_of", "composed_of", "has_component", "has_phase", "has_step", "has_part", "has_stage", "has_layer", "has_type", "has_subtype", "encompasses", "covers", "is_a", "type_of", "part_of")
+FLOW = (
+    "precedes", "followed_by", "next_step", "produces", "generates", "outputs", "feeds_into", "transforms_into", "leads_to", "results_in", "passes_to", "passed_to", "input_to", "output_of", "converts_to",
+    "then", "next", "after", "before", "flows_to", "phase_of",
+)
+
+
+def _holds(relation: str, kinds: tuple[str, ...]):
+    """A relation, its blanks as underscores, that has one of the parts."""
+    plain = F.replace(F.trim(F.lower(F.coalesce(relation, F.lit("")))), F.lit(" "), F.lit("_"))
+    return F.exists(F.array(*map(F.lit, kinds)), lambda k: F.contains(plain, k))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -57,8 +66,7 @@ def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINM
 
     Nodes on cycles without an entry have level 0 and no parent.
     """
-    relation = F.lower(F.coalesce("relation", F.lit("")))
-    held = edges.where(F.exists(F.array(*map(F.lit, kinds)), lambda k: F.contains(relation, k))).where("source <> target").select("source", "target", "edge_idx")
+    held = edges.where(_holds("relation", kinds)).where("source <> target").select("source", "target", "edge_idx")
     held = _cut(held.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").join(nodes.select(F.col("id").alias("source")), "source", "left_semi"))
     done = _cut(nodes.select("id").join(held.select(F.col("target").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))
     front = done
@@ -85,11 +93,15 @@ def descendants(edges: DataFrame) -> DataFrame:
 
 
 def chains(edges: DataFrame, kinds: tuple[str, ...] = FLOW, least: int = 3) -> DataFrame:
-    """(head, steps array): chains along each node's first flow edge, from nodes that none enters; least steps or more."""
-    relation = F.lower(F.coalesce("relation", F.lit("")))
-    flow = edges.where(F.exists(F.array(*map(F.lit, kinds)), lambda k: F.contains(relation, k)))
-    step = _cut(flow.groupBy("source").agg(F.min_by("target", "edge_idx").alias("next")))
-    open_ = step.join(flow.select(F.col("target").alias("source")).distinct(), "source", "left_anti").select(F.col("source").alias("head"), F.array("source").alias("steps"))
+    """(head, steps array): chains along each node's first flow edge, from nodes that none enters; least steps or more.
+
+    Heads go in the order of their first edge, and a chain ends before a node that an earlier head's path holds, so no
+    step is in two chains. A path ends where it would close.
+    """
+    flow = edges.where(_holds("relation", kinds))
+    step = _cut(flow.groupBy("source").agg(F.min_by("target", "edge_idx").alias("next"), F.min("edge_idx").alias("first")))
+    heads = step.join(flow.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
+    open_ = heads.select(F.col("source").alias("head"), F.array("source").alias("steps"))
     done = []
     while True:
         walked = open_.join(step, F.element_at("steps", -1) == step["source"], "left")
@@ -101,7 +113,11 @@ def chains(edges: DataFrame, kinds: tuple[str, ...] = FLOW, least: int = 3) -> D
         open_ = walked.where("not end").drop("end")
         if open_.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done).where(F.size("steps") >= least)
+    paths = reduce(DataFrame.unionByName, done).join(heads.select(F.col("source").alias("head"), "first"), "head")
+    places = _cut(paths.select("head", F.struct("first", "head").alias("turn"), F.posexplode("steps").alias("k", "step")))
+    owners = places.groupBy("step").agg(F.min("turn").alias("owner"))
+    kept = places.join(owners, "step").where("turn = owner").groupBy("head").agg(F.sort_array(F.collect_list(F.struct("k", "step"))).alias("s"))
+    return kept.select("head", F.transform("s", lambda x: x["step"]).alias("steps")).where(F.size("steps") >= least)
 
 
 def salient(scores: DataFrame, top: int, mass: float = 0.85, least: int = 3) -> DataFrame:

@@ -51,12 +51,13 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataF
 
 #: Section roles and what a sentence of that role holds.
 ROLES = {
-    "definition": ("is a", "is an", "refers to", "defined as", "means"),
-    "example": ("example", "for instance", "such as", "e.g."),
-    "process": ("first", "then", "next", "finally", "step"),
-    "comparison": ("whereas", "unlike", "compared", "versus", "difference"),
-    "property": ("has", "property", "characteristic", "feature"),
-    "application": ("used", "application", "applied", "useful"),
+    "definition": ("definition", "what is", "refers to", "means", "defined as", "is a", "overview", "introduction"),
+    "structure": ("structure", "component", "consists of", "contains", "has", "includes", "made of", "parts", "elements"),
+    "types": ("type", "kind", "category", "classification", "variant", "singly", "doubly", "circular", "primitive", "non-primitive"),
+    "operations": ("operation", "function", "method", "traverse", "search", "sort", "insert", "delete", "access", "push", "pop"),
+    "advantages": ("advantage", "benefit", "efficient", "fast", "dynamic", "flexible", "better"),
+    "disadvantages": ("disadvantage", "limitation", "drawback", "slow", "overhead", "memory", "cannot"),
+    "applications": ("application", "used for", "example", "practice", "implement", "real-world", "such as", "use case"),
 }
 
 

@@ -97,6 +97,9 @@ _SYL = r"CASE WHEN length({w}) = 0 THEN 0 WHEN length({w}) <= 3 THEN 1 ELSE grea
 _TOK = r"list_filter(string_split_regex(lower(coalesce({t}, '')), '\s+'), lambda x: x <> '')"
 
 
+_GARBAGE = r"[|@\[\]{}<>\\;!#$%^&*]{2,}|[oO0lI1]{5,}|" + "|".join(f"{c}{{5,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
 # -- evaluation -----------------------------------------------------------------------------------------------------------
 
 
@@ -251,7 +254,7 @@ def graph_pagerank(spark, sf):
     return graph.pagerank(_nodes(spark, sf, 1), _edges(spark, sf, 1), rounds=6).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"""WITH RECURSIVE {_G}, held AS (SELECT source, target, edge_idx FROM e1 WHERE relation LIKE '%part of%' OR relation LIKE '%is a%'),
+@query(f"""WITH RECURSIVE {_G}, held AS (SELECT source, target, edge_idx FROM e1 WHERE relation LIKE '%part of%'),
 down AS (SELECT id, 0 AS level FROM n1 WHERE id NOT IN (SELECT target FROM held) UNION ALL SELECT held.target, down.level + 1 FROM down JOIN held ON held.source = down.id WHERE down.level < 8)
 SELECT d.id, CAST(min(d.level) AS INT) AS level, (SELECT arg_min(h.source, h.edge_idx) FROM held h WHERE h.target = d.id) AS parent FROM down d GROUP BY d.id""")
 def hierarchy_levels(spark, sf):
@@ -349,7 +352,7 @@ def top_sentences(spark, sf):
 
 @query(rf"""WITH l AS (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS t FROM documents),
 a AS (SELECT doc_id, t, CASE WHEN length(t) > 0 THEN length(regexp_replace(t, '[^\p{{L}}]', '', 'g'))::DOUBLE / length(t) ELSE 0 END AS share, len({_TOK.format(t="t")}) AS n FROM l)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(t) >= 5 AND share >= 0.55 AND (n >= 3 OR contains(t, ':'))) AS n_clean, count(*) FILTER (length(t) < 3 OR NOT regexp_matches(t, '[\p{{L}}\p{{N}}]')) AS n_symbols FROM a GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(t) >= 5 AND share >= 0.55 AND (n >= 3 OR contains(t, ':')) AND NOT regexp_matches(t, '(?s)^.{{0,39}}?(?:{_GARBAGE})')) AS n_clean, count(*) FILTER (length(t) < 3 OR NOT regexp_matches(t, '[\p{{L}}\p{{N}}]')) AS n_symbols FROM a GROUP BY doc_id""")
 def line_quality(spark, sf):
     lines = _t(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("t"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(Q.is_clean(F.col("t")).cast("long")).alias("n_clean"), F.sum(Q.is_symbols_only(F.col("t")).cast("long")).alias("n_symbols"))

@@ -25,12 +25,16 @@ def test_syllables(spark, word, n):
 @pytest.mark.parametrize(
     "function,given,wanted",
     [
-        (T.expand_contractions, "It's fine, don't.", "it is fine, do not."),
+        (T.expand_contractions, "It's Fine, Don't.", "it is Fine, do not."),
+        (T.expand_contractions, "The Stack isn't Empty", "The Stack is not Empty"),
+        (T.number_words, "Two hundred nodes", "200 nodes"),
+        (T.number_words, "twenty, one; six", "2016,"),
+        (T.number_words, "a one b two, c", "a 1 b 2, c"),
         (T.number_words, "twenty one nodes", "201 nodes"),
         (T.number_words, "no numbers here", "no numbers here"),
         (T.heading_question_marks, "Stacks ? Chapter", "Stacks"),
         (T.heading_question_marks, "Implicit ? Stack", "Implicit Stack"),
-        (T.name_slug, "tier architecture(three-tier)", "tier_architecture"),
+        (T.name_slug, "tier architecture(three-tier)", "tier_architecture_three_tier"),
         (T.name_slug, "A/B - (x)", "a_b_x"),
         (T.polished, "  a  line , here..  ", "A line, here."),
         (T.first_words, None, ""),
@@ -44,7 +48,7 @@ def test_rewrites(spark, function, given, wanted):
 
 @pytest.mark.parametrize(
     "function,text,wanted",
-    [(Q.is_self_loop, "A stack is a type of stack.", True), (Q.is_self_loop, "A stack is a type of list.", False), (Q.is_filename, "img/slide_3.PNG", True), (Q.is_fragment, "of the thing", True), (Q.is_fragment, "A stack is a list with one end.", False), (Q.is_clean, "a: b c", False), (Q.is_clean, "Stack: push", True), (Q.is_symbols_only, "-- ??", True), (Q.has_open_bracket_tail, "push x)", True), (Q.starts_with_connective, "Because it is", True)],
+    [(Q.is_self_loop, "Stack is a type of stack.", True), (Q.is_self_loop, "A stack is a type of list.", False), (Q.is_filename, "img/slide_3.PNG", True), (Q.is_fragment, "of the thing", True), (Q.is_fragment, "i think that it is so", False), (Q.is_fragment, "One two three four five", True), (Q.is_formula_like, "x + 2 = y", True), (Q.is_formula_like, "x; y", False), (Q.is_loose_sentence, "Such a list has a top.", True), (Q.is_self_loop, "Stack contains stack", True), (Q.is_clean, "lIl1I0o is a list", False), (Q.is_fragment, "A stack is a list with one end.", False), (Q.is_clean, "a: b c", False), (Q.is_clean, "Stack: push", True), (Q.is_symbols_only, "-- ??", True), (Q.has_open_bracket_tail, "push x)", True), (Q.starts_with_connective, "Which it is", True), (Q.starts_with_connective, "Because it is", False)],
 )
 def test_predicates(spark, function, text, wanted):
     assert one(spark, text, function) is wanted

@@ -33,3 +33,9 @@ def test_deep_levels(spark):
 def test_far_descendants(spark):
     got = {tuple(r) for r in graph.descendants(line(spark, "then")[1]).collect()}
     assert got == {(f"n{i}", f"n{j}") for i in range(N) for j in range(i + 1, N + 1)}
+
+
+def test_a_later_chain_ends_before_a_taken_step(spark):
+    rows = [("a", "b", "then", 0), ("b", "c", "leads to", 1), ("c", "d", "next step", 2), ("x", "y", "then", 3), ("y", "z", "then", 4), ("z", "b", "then", 5), ("p", "b", "then", 6), ("q", "q2", "likes", 7)]
+    got = {r["head"]: r["steps"] for r in graph.chains(spark.createDataFrame(rows, "source string, target string, relation string, edge_idx long")).collect()}
+    assert got == {"a": ["a", "b", "c", "d"], "x": ["x", "y", "z"]}
