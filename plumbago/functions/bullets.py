@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbago.functions import similarity as S
+from plumbago.functions.text import CATEGORY_TAGS, stripped
 
 # Fixed values from here to the functions: patterns and word lists, all without regard to case unless they say so.
 
@@ -115,10 +116,6 @@ VERB_ENDING = (
     r"(?:s|ed|ing|es|ize|izes|ized|en|ens|ened|fy|fies|fied|are|is|was|were|has|have|had|be|been|do|does|did|can|could|will|would|shall|should|may|might|must"
     r"|provide|provides|provided|store|stores|stored|allow|allows|allowed|use|uses|used|need|needs|needed|form|forms|formed|contain|contains|contained|represent|represents|define|defines|include|includes)$"
 )
-CATEGORY_TAGS = (
-    "chapter", "section", "module", "unit", "topic", "subject", "overview", "introduction", "summary", "conclusion", "structure", "definition", "concept", "concepts",
-    "lecture", "slide", "slides", "part", "week", "lesson", "note", "notes", "review", "fundamentals",
-)
 EXPLANATORY_VERBS = (
     "is", "are", "was", "were", "means", "refers", "defined", "represents", "allows", "enables", "provides", "performs", "stores", "converts", "checks", "manages", "handles", "generates", "produces", "detects",
     "implements", "uses", "supports", "ensures", "follows", "operates", "consists", "contains", "includes", "traverses", "processes", "returns", "removes", "inserts", "adds", "deletes", "retrieves", "calculates",
@@ -178,10 +175,6 @@ ROLE_STOPS = ("phase", "stage", "layer", "process", "system", "module", "analyze
 # -- parts ----------------------------------------------------------------------------------------------------------------
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.functions import bullets as B
 from plumbago.functions import quality as Q
+from plumbago.functions import repairs as R
 from plumbago.functions import text as T
 
 #: Relations and the kind of subsection they belong to, looked up in this order.
@@ -203,12 +205,109 @@ def nested(points: DataFrame) -> DataFrame:
     return sections.groupBy("notes_id", "title").agg(strip(F.struct("sec_pos", "sec_heading", "subsections"), lambda s: F.struct(s["sec_heading"].alias("heading"), s["subsections"].alias("subsections"))).alias("sections"))
 
 
+def _each(points: DataFrame, *by: str):
+    return W.partitionBy("notes_id", *by)
+
+
+def without(points: DataFrame, bad: Column, spare: Column | None = None) -> DataFrame:
+    """Points that are not bad. With spare, a subsection that would lose all of them keeps those to be spared."""
+    if spare is None:
+        return keep_points(points, ~bad)
+    marked = points.withColumn("_bad", bad)
+    all_bad = F.min(F.col("_bad").cast("int")).over(_each(points, "sec_pos", "sub_pos")) == 1
+    return renumbered(marked.withColumn("_all", all_bad).where(~F.col("_bad") | (F.col("_all") & spare)).drop("_bad", "_all"))
+
+
+def without_meta_noise(points: DataFrame) -> DataFrame:
+    return without(points, B.is_meta_noise(F.col("text")))
+
+
+def without_triple_dumps(points: DataFrame) -> DataFrame:
+    """Edges written out go, their suffixes go from others, and what is under three words then."""
+    left = rewrite(without(points, B.is_triple_dump(F.col("text"))), R.without_edge_suffixes)
+    return keep_points(left, F.size(B.words(F.col("text"))) >= 3)
+
+
+def without_tautologies(points: DataFrame) -> DataFrame:
+    """A subsection keeps its first point if all are circular."""
+    first = F.col("pt_pos") == F.min("pt_pos").over(_each(points, "sec_pos", "sub_pos"))
+    marked = points.withColumn("_first", first)
+    return without(marked, B.is_tautology(F.col("text")), F.col("_first")).drop("_first")
+
+
+def without_circular_definitions(points: DataFrame) -> DataFrame:
+    """Circular definitions rewritten where they can be, else gone; a subsection of such only keeps them as they are."""
+    text = F.col("text")
+    marked = points.withColumn("_t", F.when(B.is_circular_definition(text), R.without_self_example(text)).otherwise(text))
+    none = F.count("_t").over(_each(points, "sec_pos", "sub_pos")) == 0
+    return renumbered(marked.withColumn("_n", none).where("_t is not null or _n").withColumn("text", F.coalesce("_t", "text")).drop("_t", "_n"))
+
+
+def without_course_sections(points: DataFrame) -> DataFrame:
+    """Sections that name a course or unit go, and those of three points or fewer that frame one."""
+    counted = points.withColumn("_n", F.count("*").over(_each(points, "sec_pos")))
+    return renumbered(counted.where(~B.is_course_heading(F.col("sec_heading"), F.col("_n"))).drop("_n"))
+
+
+def without_navigation(points: DataFrame) -> DataFrame:
+    return without(points, B.is_navigation(F.col("text")))
+
+
+def without_takeaways(points: DataFrame) -> DataFrame:
+    return without(points, B.is_takeaways(F.col("sub_heading")))
+
+
+def without_ocr_noise(points: DataFrame) -> DataFrame:
+    """Points that are clean text and no leak of graph or lecture."""
+    return without(points, ~Q.is_clean(F.col("text")) | B.is_semantic_noise(F.col("text")))
+
+
+def with_lesson_headings(points: DataFrame) -> DataFrame:
+    return points.withColumn("sub_heading", R.heading_of_kind(F.col("sub_heading")))
+
+
+def stub_sections(points: DataFrame, most: int = 2) -> DataFrame:
+    """(notes_id, sec_pos, n): sections of so many points or fewer."""
+    return points.groupBy("notes_id", "sec_pos").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+
+
+def headings_from_words(points: DataFrame, bad: Callable[[Column], Column] = B.is_generic_heading) -> DataFrame:
+    """Section headings without noise; where one fits any section, the two commonest words of its points that it is not,
+    ties to the earlier word. Words have four letters or more and are no stop words; without any the heading stays."""
+    clean = points.withColumn("sec_heading", R.without_heading_noise(F.col("sec_heading")))
+    lost = clean.where(bad(F.col("sec_heading")))
+    words = lost.select("notes_id", "sec_pos", "sec_heading", F.struct("sub_pos", "pt_pos").alias("at"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("k", "word")).where(~F.col("word").isin(*HEADING_STOPS))
+    counts = words.groupBy("notes_id", "sec_pos", "sec_heading", "word").agg(F.count("*").alias("n"), F.min(F.struct("at", "k")).alias("first"))
+    order = _each(points, "sec_pos").orderBy(F.desc("n"), "first")
+    top = counts.withColumn("r", F.row_number().over(order)).where("r <= 3").where(F.col("word") != F.lower(F.trim("sec_heading")))
+    named = top.groupBy("notes_id", "sec_pos").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("r", F.initcap("word").alias("w")))), 1, 2), lambda x: x["w"]).alias("ws"))
+    out = clean.join(named, ["notes_id", "sec_pos"], "left")
+    return out.withColumn("sec_heading", F.coalesce(F.array_join("ws", " and "), F.when(bad(F.col("sec_heading")), F.initcap("sec_heading")).otherwise(F.col("sec_heading")))).drop("ws")
+
+
+#: Words that name no topic.
+HEADING_STOPS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "have", "has", "had", "this", "that", "with", "from", "into", "and", "or", "but", "for", "to", "of", "in", "on", "at", "by", "data", "level", "system", "which", "what", "how", "when",
+    "will", "can", "its", "their", "these", "those", "also", "some", "such", "each", "within", "between", "both", "used", "using", "use", "type", "types", "layer",
+    "key", "concept", "domain", "additional", "notes", "general", "contextual", "relationships", "definition", "fundamental", "structure", "components",
+    "header", "overview", "introduction", "summary", "conclusion", "services",
+)
+
+
 #: The steps of improve(), by name, in order.
 STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "question_marks": lambda p: rewrite(p, T.without_question_marks),
     "polish": lambda p: rewrite(p, T.polished),
     "symbols": lambda p: keep_points(p, ~Q.is_symbols_only(F.col("text"))),
+    "meta_noise": without_meta_noise,
+    "triple_dumps": without_triple_dumps,
+    "navigation": without_navigation,
+    "takeaways": without_takeaways,
+    "course_sections": without_course_sections,
     "self_loops": lambda p: keep_points(p, ~Q.is_self_loop(F.col("text"))),
+    "circular_definitions": without_circular_definitions,
+    "tautologies": without_tautologies,
+    "lesson_headings": with_lesson_headings,
     "merge_subsections": merged_subsections,
     "distinct": distinct_points,
     "abstraction": by_abstraction,

@@ -524,3 +524,6 @@ def like_labels(spark, sf):
 
     places = _nodes(spark, sf, 1).unionByName(_nodes(spark, sf, 2).withColumn("pos", F.col("pos") + 5000)).where("type <> 'party'")
     return concepts.same_labels(places)
+
+
+from plumbago.plans import rules  # noqa: E402, F401  (registers its queries)
