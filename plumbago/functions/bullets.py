@@ -422,11 +422,16 @@ def headings_overlap(a: Column, b: Column, least: float = 0.5) -> Column:
     return (F.size(content(a)) > 0) & (F.size(content(b)) > 0) & (S.overlap_max(content(a), content(b)) >= least)
 
 
+def plain_heading(heading: Column) -> Column:
+    """Lower case, a-z and 0-9 between single blanks."""
+    return stripped(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(heading, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
 def are_fragments(heading_a: Column, heading_b: Column, n_a: Column, n_b: Column) -> Column:
-    """One heading begins the other, or they share six tenths of the smaller's words and one holds three points or fewer."""
-    a, b = F.lower(stripped(heading_a)), F.lower(stripped(heading_b))
-    near = S.overlap_min(F.array_distinct(words(a)), F.array_distinct(words(b))) >= 0.6
-    return F.startswith(a, b) | F.startswith(b, a) | (near & (F.least(n_a, n_b) <= 3))
+    """One heading begins the other, or they share six tenths of the larger's words and one holds three points or fewer."""
+    a, b = plain_heading(heading_a), plain_heading(heading_b)
+    near = S.overlap_max(F.array_distinct(words(a)), F.array_distinct(words(b))) >= 0.6
+    return (a != "") & (b != "") & (F.startswith(a, b) | F.startswith(b, a) | (near & (F.least(n_a, n_b) <= 3)))
 
 
 # -- images ---------------------------------------------------------------------------------------------------------------
@@ -442,3 +447,20 @@ def is_decorative(path: Column, caption: Column) -> Column:
     """An opening slide, or a path or caption with a word of channels and calls to subscribe."""
     both = F.lower(F.concat_ws(" ", F.coalesce(path, F.lit("")), F.coalesce(caption, F.lit(""))))
     return F.exists(F.array(*map(F.lit, DECORATIVE_WORDS)), lambda w: F.contains(both, w)) | is_opening_slide(path)
+
+
+def box_centre(box: Column) -> Column:
+    """The height at which struct(x, y, w, h) has its middle, halves rounded down."""
+    return box["y"] + F.floor(box["h"] / 2)
+
+
+def is_same_box(known: Column, new: Column) -> Column:
+    """Not over twice as high, and its middle within the known height of the known middle."""
+    return (new["h"] <= 2 * known["h"]) & (F.abs(box_centre(new) - box_centre(known)) <= known["h"])
+
+
+def joined_box(a: Column, b: Column) -> Column:
+    """The least box that holds both."""
+    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+    right, low = F.greatest(a["x"] + a["w"], b["x"] + b["w"]), F.greatest(a["y"] + a["h"], b["y"] + b["h"])
+    return F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (low - y).alias("h"))

@@ -46,3 +46,48 @@ def cosine(a: Column, b: Column) -> Column:
     """0 for a vector without length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+#: Words that headings, subsections, sections and sentences are compared without.
+TOPIC_STOPS = ("the", "a", "an", "is", "are", "and", "or", "of", "in", "on", "at", "to", "for", "with", "that", "this", "which", "by", "from", "operations", "operation", "performed")
+SUBSECTION_STOPS = ("of", "on", "the", "a", "an", "in", "for", "to", "by", "and", "or")
+SECTION_STOPS = ("and", "the", "of", "in", "a", "an", "is", "for", "to", "with", "on", "at")
+LABEL_STOPS = ("and", "or", "the", "a", "an", "of", "in", "for", "to", "is")
+SENTENCE_STOPS = ("the", "a", "an", "is", "are", "was", "were", "to", "of", "in", "for", "and", "or", "that", "this")
+
+
+def _long_words(text: Column, stops: tuple[str, ...]) -> Column:
+    """Distinct words of three letters or more but the stops."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{3,}\b"), 0)), F.array(*map(F.lit, stops)))
+
+
+def _spaced_words(text: Column, stops: tuple[str, ...]) -> Column:
+    """Distinct lower-case stretches between white space but the stops."""
+    return F.array_except(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")), F.array(*map(F.lit, stops)))
+
+
+def topic_jaccard(a: Column, b: Column) -> Column:
+    """Of two headings, as topics."""
+    return jaccard(_long_words(a, TOPIC_STOPS), _long_words(b, TOPIC_STOPS))
+
+
+def subsection_overlap(a: Column, b: Column) -> Column:
+    return overlap_max(_long_words(a, SUBSECTION_STOPS), _long_words(b, SUBSECTION_STOPS))
+
+
+def section_overlap(a: Column, b: Column) -> Column:
+    return overlap_min(_spaced_words(a, SECTION_STOPS), _spaced_words(b, SECTION_STOPS))
+
+
+def label_jaccard(a: Column, b: Column) -> Column:
+    return jaccard(_spaced_words(a, LABEL_STOPS), _spaced_words(b, LABEL_STOPS))
+
+
+def are_like_sentences(a: Column, b: Column, threshold: float = 0.85) -> Column:
+    return jaccard(_spaced_words(a, SENTENCE_STOPS), _spaced_words(b, SENTENCE_STOPS)) > threshold
+
+
+def letter_overlap(a: Column, b: Column) -> Column:
+    """Shared words over the larger set, all but letters taken out of them."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z\s]", ""), r"\s+"), lambda w: w != ""))
+    return overlap_max(words(a), words(b))

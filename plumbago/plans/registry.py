@@ -526,4 +526,4 @@ def like_labels(spark, sf):
     return concepts.same_labels(places)
 
 
-from plumbago.plans import rules  # noqa: E402, F401  (registers its queries)
+from plumbago.plans import rules, texts  # noqa: E402, F401  (they register their queries)
