@@ -15,12 +15,21 @@ SLICE = 128
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
+    """This application's folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, a local
+    folder serves a local master, as in tests; on a cluster that is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.plumbago.folder", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plumbago-")
         spark.conf.set("spark.plumbago.folder", base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/plumbago-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it once the results that rest on them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_table(spark: SparkSession, label: str) -> str:

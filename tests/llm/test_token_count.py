@@ -51,3 +51,15 @@ def test_cache_is_read_and_appended_to(spark, tmp_path):
 def test_limit_is_exclusive(spark, limit, over):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert token_counts(df, PATH, limit=limit).first()["over_limit"] is over
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from plumbago.llm import common
+
+    common.stored(spark.range(3).toDF("x"), "three")
+    folder = common.shared_folder(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    common.clean(spark)
+    assert not os.path.exists(folder)
