@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 from itertools import count
 
@@ -27,9 +28,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends here; a loop's plan stays as small as one round's."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plumbago-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="plumbago-"))
     return df.checkpoint()
 
 
