@@ -23,8 +23,9 @@ from .common import LOWER, id_and_text, id_type, slices, stored
 DEPTH = 5
 #: A row trains if crc32(id as text) leaves another remainder than the held-out one.
 FOLDS, HELD_OUT = 7, 2
-#: Entries (16 bytes each) of the tables that one scoring pass broadcasts; larger models take more passes.
-PASS_ENTRIES = 6_000_000
+#: Entries (16 bytes each) of a model that is broadcast. A larger one is joined to the windows of slices of the texts,
+#: of so many bytes each.
+BROADCAST_ENTRIES, SLICE_BYTES = 6_000_000, 64 << 20
 END = b"\n"
 #: Documents of one step of a scoring or counting task, and distinct keys that a counting task holds before it emits.
 STEP, HELD_KEYS = 256, 2_000_000
@@ -239,30 +240,99 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float
     return np.where(known[at] == keys, values[at], missing)
 
 
-def _scorer(shared, depth: int):
+def _scored(texts: list[str], lps: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray], depth: int) -> list[pa.Array]:
+    """n_tokens, n_known, seen, score and n_bytes of each text, by tables of windows and of words."""
+    split = [words_of(t) for t in texts]
+    n_words = np.array([len(w) for w in split])
+    window, size = streams(split, depth)
+    codes, names = pd.factorize(window)
+    score = np.add.reduceat(_find(lps, names, 0.0)[codes], np.cumsum(size) - size)
+    codes, names = pd.factorize(word_keys([w for ws in split for w in ws]))
+    n = _find(counts, names, 0.0)
+    per, hit = np.r_[0.0, np.cumsum(np.log10(n + 1)[codes])], np.r_[0, np.cumsum((n > 0)[codes])]
+    ends = np.cumsum(n_words)
+    seen, known = per[ends] - per[ends - n_words], hit[ends] - hit[ends - n_words]
+    n_bytes = np.array([sum(map(len, w)) + max(len(w), 1) for w in split])
+    return [pa.array(x) for x in (n_words + 1, known, seen, score, n_bytes)]
+
+
+_FACTS = ["n_tokens", "n_known", "seen", "score", "n_bytes"]
+
+
+def _by_broadcast(rows: DataFrame, lps: DataFrame, words: DataFrame, depth: int, kind: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((_sorted(lps.toArrow(), "lp"), _sorted(words.toArrow(), "n")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lps, counts = shared.value
         for b in slices(batches, STEP):
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
-            n_words = np.array([len(w) for w in texts])
-            score, seen, known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            if lps is not None:
-                window, size = streams(texts, depth)
-                codes, names = pd.factorize(window)
-                score = np.add.reduceat(_find(lps, names, 0.0)[codes], np.cumsum(size) - size)
-            if counts is not None:
-                flat = word_keys([w for ws in texts for w in ws])
-                codes, names = pd.factorize(flat)
-                n = _find(counts, names, 0.0)
-                per, hit = np.r_[0.0, np.cumsum(np.log10(n + 1)[codes])], np.r_[0, np.cumsum((n > 0)[codes])]
-                ends = np.cumsum(n_words)
-                seen, known = per[ends] - per[ends - n_words], hit[ends] - hit[ends - n_words]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(n_words + 1), pa.array(known), pa.array(seen), pa.array(score), pa.array(np.array([sum(map(len, w)) + max(len(w), 1) for w in texts]))], ["id", "mark", "n_tokens", "n_known", "seen", "score", "n_bytes"])
-
-    return run
-
-
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, pass_entries: int = PASS_ENTRIES) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([b.column("id"), *_scored(b.column("text").to_pylist(), *shared.value, depth)], ["id", *_FACTS])
+
+    return rows.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, seen double, score double, n_bytes long")
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]).tolist()
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _by_join(rows: DataFrame, lps: DataFrame, words: DataFrame, depth: int, kind: str, slice_bytes: int) -> DataFrame:
+    """The texts are dealt into slices of some slice_bytes. The distinct windows and words of a slice are joined to the
+    model by key and go back to their slice, where they stand before its texts: so the model meets every text once."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // slice_bytes))
+    dealt = rows.select("id", "text", F.pmod(F.xxhash64("text", "id"), F.lit(n)).cast("int").alias("slice"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool], list[np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (k, word), parts in held.items():
+                keys = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), word)), pa.array(keys)], ["slice", "word", "key"])
+            held.clear()
+
+        for b in slices(batches, STEP):
+            number, texts = b.column("slice").to_numpy(), [words_of(t) for t in b.column("text").to_pylist()]
+            for k in np.unique(number).tolist():
+                own = [t for t, x in zip(texts, number.tolist(), strict=True) if x == k]
+                held.setdefault((k, False), []).append(np.unique(streams(own, depth)[0]))
+                held.setdefault((k, True), []).append(np.unique(word_keys([w for t in own for w in t])))
+            if sum(len(x) for parts in held.values() for x in parts) > HELD_KEYS:
+                for key, parts in held.items():
+                    held[key] = [np.unique(np.concatenate(parts))]
+                if sum(len(parts[0]) for parts in held.values()) > HELD_KEYS // 2:
+                    yield from out()
+        yield from out()
+
+    asked = dealt.repartition(n, "slice").mapInArrow(ask, "slice int, word boolean, key long").distinct()
+    model = lps.select(F.lit(False).alias("word"), "key", F.col("lp").alias("value")).unionAll(words.select(F.lit(True).alias("word"), "key", F.col("n").cast("double").alias("value")))
+    known = stored(asked.join(model, ["word", "key"]), "slice-model")
+    none = lambda t: F.lit(None).cast(t)
+    entries = known.select("slice", F.lit(False).alias("text_row"), none(kind).alias("id"), none("string").alias("text"), "word", "key", "value")
+    texts = dealt.select("slice", F.lit(True).alias("text_row"), "id", "text", none("boolean").alias("word"), none("long").alias("key"), none("double").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, tables = None, [], None
+        for batch in batches:
+            for lo, hi in _runs(batch.column("slice").to_numpy()):
+                part = batch.slice(lo, hi - lo)
+                if part.column("slice")[0].as_py() != now:
+                    now, parts, tables = part.column("slice")[0].as_py(), [], None
+                is_text = part.column("text_row").to_numpy(zero_copy_only=False)
+                first = int(np.argmax(is_text)) if is_text.any() else len(is_text)
+                if first:
+                    parts.append(tuple(part.column(c).slice(0, first).to_numpy(zero_copy_only=False) for c in ("word", "key", "value")))
+                for b in slices(iter([part.slice(first)]), STEP) if first < len(is_text) else ():
+                    if tables is None:
+                        word, key, value = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t) for i, t in enumerate((bool, np.int64, float)))
+                        word = word.astype(bool)
+                        tables, parts = [(key[m][np.argsort(key[m])], value[m][np.argsort(key[m])]) for m in (~word, word)], []
+                    yield pa.RecordBatch.from_arrays([b.column("id"), *_scored(b.column("text").to_pylist(), *tables, depth)], ["id", *_FACTS])
+
+    both = entries.unionAll(texts).repartition(n, "slice").sortWithinPartitions("slice", "text_row")
+    return both.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, seen double, score double, n_bytes long")
+
+
+def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, broadcast_entries: int = BROADCAST_ENTRIES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Tokens are lower-cased words and an end. base_score sums log10((c + 1) / (N + V + 1)) over them. score is the
@@ -270,11 +340,10 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Both learn from rows outside the held-out fold, all of them. Words are known by 64-bit hashes.
 
     The corpus is counted by window and word, in partial sums a task; trees are weighted in tasks that hold whole
-    subtrees; and texts are scored against tables of at most pass_entries entries, broadcast in as many passes as the
-    model needs. Null and empty texts are one end token. A null id is not held out. Rows repeating an id are scored
+    subtrees; and texts are scored against the model's tables: broadcast up to broadcast_entries, beyond that joined to
+    the distinct windows of slices of the texts, so each text is read as often whatever the model's size. Null and empty texts are one end token. A null id is not held out. Rows repeating an id are scored
     apart; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col).withColumn("train", ~held_out(F.col("id")))
     table = stored(counted(rows, depth), "counts")
     sizes = {r["word"]: r for r in table.groupBy("word").agg(F.count("*").alias("size"), F.sum("n").alias("n")).collect()}
@@ -284,26 +353,11 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows, words = table.where("not word").select("key", "n"), table.where("word").select("key", "n")
     lps = stored(byte_chances(windows, depth), "chances")
     count = lambda k: sizes[k]["size"] if k in sizes else 0
-    parts: list[tuple[DataFrame | None, DataFrame | None]]
-    if count(False) + count(True) <= pass_entries:
-        parts = [(lps, words)]
+    kind = id_type(docs, id_col)
+    if count(False) + count(True) <= broadcast_entries:
+        out = _by_broadcast(rows, lps, words, depth, kind)
     else:
-        cut = lambda df, n: [df.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k) for k in range(n)]
-        parts = [(p, None) for p in cut(lps, -(-count(False) // pass_entries))] + [(None, p) for p in cut(words, max(1, -(-count(True) // pass_entries)))]
-    mark = F.lit(0).cast("long") if len(parts) == 1 else F.xxhash64("text")
-    passes = []
-    for k, (p, w) in enumerate(parts):
-        shared = spark.sparkContext.broadcast((None if p is None else _sorted(p.toArrow(), "lp"), None if w is None else _sorted(w.toArrow(), "n")))
-        one = rows.select("id", "text", mark.alias("mark")).mapInArrow(_scorer(shared, depth), f"id {id_type(docs, id_col)}, mark long, n_tokens long, n_known long, seen double, score double, n_bytes long")
-        passes.append(one.withColumn("pass", F.lit(k)))
-    out = passes[0]
-    if len(passes) > 1:  # equal rows of a pass are folded into one and brought back at the end
-        for more in passes[1:]:
-            out = out.unionAll(more)
-        sums = ["n_known", "seen", "score"]
-        out = out.groupBy("id", "mark", "pass").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_bytes", *sums)), F.count("*").alias("copies"))
-        out = out.groupBy("id", "mark").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_bytes", "copies")), *(F.sum(c).alias(c) for c in sums))
-        out = out.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+        out = _by_join(rows, lps, words, depth, kind, slice_bytes)
     scale = math.log10(total + vocabulary + 1)
     end = math.log10(ends + 1)
     return out.select(

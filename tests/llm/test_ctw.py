@@ -64,10 +64,10 @@ def brute(docs, depth):
     return out
 
 
-@pytest.mark.parametrize("entries", [10**6, 60])
-def test_equals_brute_force(spark, entries):
+@pytest.mark.parametrize("entries,slice_bytes", [(10**6, 1), (60, 300), (0, 10**9)])
+def test_equals_brute_force(spark, entries, slice_bytes):
     df = spark.createDataFrame([(*d, "c") for d in DOCS], "doc_id long, text string, score string").repartition(3)
-    got = sorted(tuple(r)[:7] for r in ctw.language_scores(df, depth=3, pass_entries=entries).collect())
+    got = sorted(tuple(r)[:7] for r in ctw.language_scores(df, depth=3, broadcast_entries=entries, slice_bytes=slice_bytes).collect())
     want = sorted(brute(DOCS, 3))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
@@ -90,7 +90,16 @@ def test_log_gamma():
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-9)
 
 
+def test_many_batches_and_slices(spark):
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(i % 50)) for i in range(700)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    a, b = (sorted(map(tuple, ctw.language_scores(df, depth=2, broadcast_entries=e, slice_bytes=20_000).collect())) for e in (10**6, 0))
+    assert len(a) == len(b) == 700
+    assert all(x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9) for x, y in zip(a, b, strict=True))
+
+
 def test_empty_table(spark):
+    assert ctw.language_scores(spark.createDataFrame([], "doc_id long, text string"), broadcast_entries=-1).count() == 0
     assert ctw.language_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
