@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,14 @@ DEFINING = (
     "is defined", "refers to", "is responsible", "is called", "is known", "is used", "is a", "means", "involves", "consists of", "includes", "processes", "converts", "generates", "produces", "performs", "allocates",
 )
 VAGUE = ("it ", "this ", "that ", "there ", "here ")
+#: Lines of code, digits and slide frames that no summary needs; advertising, and talk around the matter.
+CODE_LINES = (r"(?i)\b(DWORD|PTR|eax|ebx|ecx|edx|rbp|rsp|OFFSET|FLAT|mov|push|pop)\b", r"\b(int\s+main|printf|#include|return\s+\d|void\s+\w+\s*\()\b", r"\b[01]{6,}\b", r"(.)\1{3,}")
+SLIDE_LINES = (r"(?i)\bOUTCOMES\b.*\bcompletion\b", r"(?i)\blearner\s+will\s+be\s+able\b", r"\|\s*\?_", r"\?_\s*$")
+PROMOTION = (
+    r"(refer|check|link|see|visit).*playlist", r"subscribe.*channel", r"link.*description", r"hit.*like", r"comment.*below", r"share.*video", r"follow.*instagram", r"join.*(group|channel)",
+    r"whatsapp", r"telegram", r"contact.*number", r"helpline",
+)
+AROUND = (r"in this video", r"welcome back", r"thank you", r"hope you understood", r"let.*know", r"any doubts")
 #: What optical recognition leaves where there was no text.
 GARBAGE = r"[|@\[\]{}<>\\;!#$%^&*]{2,}|[oO0lI1]{5,}|(\w)\1{4,}"
 
@@ -106,3 +116,41 @@ def informative_score(sentence: Column) -> Column:
     holds = lambda values, f: F.exists(F.array(*map(F.lit, values)), lambda v: f(low, v))
     terms = F.size(F.regexp_extract_all(F.substring(sentence, F.lit(2), F.length(sentence)), F.lit(r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"), 0))
     return length + F.when(holds(DEFINING, F.contains), 0.3).otherwise(0.0) + F.least(terms * 0.1, F.lit(0.3)) - F.when(holds(VAGUE, F.startswith), 0.15).otherwise(0.0)
+
+
+def definition_confidence(sentence: Column, topic: Column) -> Column:
+    """How surely a sentence defines a topic, from 0 for a question to 1."""
+    s, t = F.lower(F.coalesce(sentence, F.lit(""))), F.lower(topic)
+    holds = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(s, p))
+    starts = lambda *leads: F.exists(F.array(*(F.concat(F.lit(x), t) for x in leads)), lambda p: F.startswith(s, p))
+    gain = lambda test, by: F.when(test, by).otherwise(0.0)
+    score = (
+        gain(holds(" is ", " are "), 0.35) + gain(holds("defined as", "refers to"), 0.3) + gain(holds("means", "represents"), 0.25) + gain(F.contains(s, t), 0.3)
+        + gain(n_words(s).between(5, 50), 0.2) + gain(starts("", "a ", "the "), 0.2)
+    )
+    return F.when(T.stripped(s).rlike(r"\?$") | s.rlike(r"^(what|why|how|when|where|which) "), 0.0).otherwise(F.least(score, F.lit(1.0)))
+
+
+def is_summary_line(line: Column) -> Column:
+    """Three words or more, 0.55 letters, and no code, run of one sign or slide frame."""
+    t = T.stripped(line)
+    bad = [t.rlike(p) for p in (*CODE_LINES, *SLIDE_LINES)]
+    return (T.alpha_share(t) >= 0.55) & (n_words(t) >= 3) & ~reduce(Column.__or__, bad)
+
+
+def precleaned(text: Column) -> Column:
+    """The lines of a text that a summary may use, as one."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), T.stripped)
+    return F.array_join(F.filter(lines, is_summary_line), " ")
+
+
+def is_promotional(sentence: Column) -> Column:
+    """Advertises, or talks around the matter in under fifteen words."""
+    s = F.lower(F.coalesce(sentence, F.lit("")))
+    any_of = lambda patterns: reduce(Column.__or__, (s.rlike(p) for p in patterns))
+    return any_of(PROMOTION) | ((n_words(s) < 15) & any_of(AROUND))
+
+
+def without_promotion(text: Column) -> Column:
+    """A text's sentences that are not promotional, single-spaced."""
+    return T.stripped(F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: ~is_promotional(s)), " "))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.functions import similarity as S
 from plumbago.functions import text as T
 from plumbago.operators.alignment import placed
 from plumbago.operators.notes import discourse_role
@@ -158,3 +159,61 @@ def commonest_words(points: DataFrame, by: list[str], labels: DataFrame, text_co
     known = begun.join(grams, "g").where(F.contains("l", F.col("word"))).select("word").distinct().withColumn("_in", F.lit(1))
     ranked = counts.join(known, "word", "left").withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.col("_in").isNull(), F.desc("n"), "first")))
     return ranked.where("_r = 1").select(*by, F.initcap("word").alias("word"))
+
+
+#: What a sentence holds and how early it should stand; ten for none.
+PRIORITIES = {
+    "is a": 0, "type of": 0, "refers to": 0, "represents a": 0, "definition": 1, "what is": 1, "overview": 1, "introduction": 1, "meaning": 1, "concept": 1, "fundamenta": 1, "basic": 1,
+    "classif": 2, "type": 2, "category": 2, "kind": 2, "primitive": 2, "non-primitive": 2, "linear": 2, "non-linear": 2, "structure": 3, "component": 3, "part": 3, "element": 3, "level": 3, "layer": 3,
+    "operation": 4, "function": 4, "method": 4, "process": 4, "algorithm": 4, "traverse": 4, "search": 4, "sort": 4, "property": 5, "feature": 5, "characteristic": 5, "attribute": 5,
+    "efficiency": 5, "performance": 5, "complexity": 5, "example": 6, "application": 6, "use case": 6, "instance": 6, "stack": 6, "queue": 6, "array": 6, "graph": 6, "tree": 6,
+}
+INTRODUCTIONS = ("definition", "introduction", "overview", "history", "origin", "what is")
+
+
+def sentence_priority(sentence: Column) -> Column:
+    """The earliest of PRIORITIES that a sentence holds something of, else 10."""
+    s = F.lower(F.coalesce(sentence, F.lit("")))
+    return F.least(F.lit(10), *(F.when(F.contains(s, F.lit(cue)), p).otherwise(10) for cue, p in PRIORITIES.items()))
+
+
+def by_priority(sentences: DataFrame) -> DataFrame:
+    return placed(sentences, sentence_priority(F.col("sentence")))
+
+
+def section_priority(heading: Column, root_place: Column) -> Column:
+    """Additional concepts last, roots by their place, introductions first, 50 for all else."""
+    h = F.lower(T.stripped(heading))
+    intro = F.exists(F.array(*map(F.lit, INTRODUCTIONS)), lambda w: F.contains(h, w))
+    return F.when(h == "additional concepts", 9999).when(root_place.isNotNull(), root_place).when(intro, 0).otherwise(50)
+
+
+def best_targets(thin: DataFrame, sections: DataFrame) -> DataFrame:
+    """(key, pos, target, score): for each heading of thin(key, pos, heading), the section of sections(key, pos, heading)
+    that shares most of the smaller one's words, ties to the first; none without a shared word.
+
+    Headings meet by the words they share, so no pair without one is made.
+    """
+    words = lambda c: S._spaced_words(c, S.SECTION_STOPS)
+    a = thin.select("key", "pos", words(F.col("heading")).alias("a"))
+    b = sections.select("key", F.col("pos").alias("target"), words(F.col("heading")).alias("b"))
+    shared = a.select("key", "pos", F.size("a").alias("na"), F.explode("a").alias("w")).join(b.select("key", "target", F.size("b").alias("nb"), F.explode("b").alias("w")), ["key", "w"])
+    scores = shared.groupBy("key", "pos", "target").agg((F.count("*") / F.min(F.least("na", "nb"))).alias("score"))
+    best = scores.groupBy("key", "pos").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("m"))
+    return best.select("key", "pos", (-F.col("m.t")).alias("target"), "m.score")
+
+
+def match_score(label: Column, heading: Column, subheadings: Column, texts: Column) -> Column:
+    """3 if label or heading holds the other, 2 for a shared word or a subheading that holds the label, 1 for a text that
+    does, else 0."""
+    a, b = F.lower(T.stripped(label)), F.lower(T.stripped(heading))
+    held = lambda values: F.exists(values, lambda v: F.contains(F.lower(v), a))
+    stops = F.array(*map(F.lit, ("and", "the", "of", "in", "a", "an", "is", "for", "to")))
+    shared = F.size(F.array_except(F.array_intersect(T.tokens(a), T.tokens(b)), stops)) >= 1
+    return F.when(F.contains(b, a) | F.contains(a, b), 3).when(shared | held(subheadings), 2).when(held(texts), 1).otherwise(0)
+
+
+def distinct_in_order(rows: DataFrame, key: str, value: str, pos: str) -> DataFrame:
+    """(key, value, place): each value of a key once, from 0 in the order of its first row."""
+    firsts = rows.groupBy(key, value).agg(F.min(pos).alias("_p"))
+    return firsts.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("_p", value)) - 1).drop("_p")

@@ -336,3 +336,27 @@ def chunked(docs: DataFrame, budget: int = 900, key: str = "doc_id", text_col: s
     ).otherwise(F.struct(a["done"].alias("done"), F.array_append(a["open"], s).alias("open"), (a["n"] + size(s)).alias("n")))
     folded = F.aggregate(parts, zero, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], a["open"])).otherwise(a["done"]))
     return docs.select(key, F.posexplode(folded).alias("chunk", "s")).select(key, "chunk", F.concat(F.array_join("s", ". "), F.lit(".")).alias("text"))
+
+
+def count_points(points: DataFrame, *by: str) -> DataFrame:
+    """Points of each notes, or of each of their parts."""
+    return points.groupBy("notes_id", *by).agg(F.count("*").alias("n_points"))
+
+
+def section_words(points: DataFrame, least: int = 4, stops: tuple[str, ...] = HEADING_STOPS) -> DataFrame:
+    """(notes_id, sec_pos, word, n): how often words of `least` letters or more stand in a section's points."""
+    words = points.select("notes_id", "sec_pos", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), 0)).alias("word"))
+    return words.where(~F.col("word").isin(*stops)).groupBy("notes_id", "sec_pos", "word").agg(F.count("*").alias("n"))
+
+
+def first_images(images: DataFrame) -> DataFrame:
+    """images(notes_id, sec_pos, path) without those whose file name, its ending and case aside, an earlier section has."""
+    name = F.regexp_replace(F.regexp_extract(F.regexp_replace(F.lower("path"), r"[/\\\\]+$", ""), r"([^/\\\\]*)$", 1), r"\.\w{2,4}$", "")
+    place = F.row_number().over(W.partitionBy("notes_id", "_stem").orderBy("sec_pos"))
+    return images.where("path <> ''").withColumn("_stem", name).withColumn("_r", place).where("_r = 1").drop("_stem", "_r")
+
+
+def with_captions(assets: DataFrame, captions: DataFrame, default: str = "No caption available.") -> DataFrame:
+    """assets(name, ...) with the caption of captions(name, caption), or the default; the last by name wins a tie."""
+    one = captions.groupBy("name").agg(F.max("caption").alias("caption"))
+    return assets.join(one, "name", "left").withColumn("caption", F.coalesce("caption", F.lit(default)))

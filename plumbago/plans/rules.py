@@ -28,6 +28,7 @@ PHRASES = (
     "(Data {x}", "definition", "components", "inserted", "Components and Structure", "{x} ? Chapter", "{x} ? Stack of goods", "don?t ask {x}?s port ?", "{x} involves Ports: Ports:a port.", "{x} stores goods during its operation.",
     "{x} holds goods - Introduced in a previous session: goods.", "{x} is an Port and is an apple", "Because {x} isn't big, it's twenty one ports; two hundred ships.", "“{x}” – → ports ??", "welcome to this lecture on {x}, thanks for watching", "------", "x", "The {x} trades goods for its people, and it is known for them.",
     "which {x} has many ports in it", "such {x} is one", "{x} + 2 = 3", "0.5 * y / 3", "{x} are controlled by {x} Manager", "{x} is managed by Traders", "What is {x} ?", "ports by. {x} of.", "{x} trades goods by.",
+    "subscribe to the channel of {x} now", "welcome back to {x} and its ports", "int main of {x} is code", "{x} is defined as a region that means trade", "a {x} represents ports and ships",
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbago.functions import bullets as B
+from plumbago.functions import quality as Q
 from plumbago.functions import similarity as S
 from plumbago.functions import text as T
 from plumbago.operators import alignment as A
@@ -246,3 +247,120 @@ def joined_boxes(spark, sf):
 def name_slugs(spark, sf):
     name = F.concat("n_name", F.lit(" (Old/New) - x y."))
     return _t(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), T.name_slug(name).alias("slug"))
+
+
+_GAIN = " + ".join(f"CASE WHEN {test} THEN {by}::DOUBLE ELSE 0 END" for test, by in (
+    ("contains(l, ' is ') OR contains(l, ' are ')", 0.35), ("contains(l, 'defined as') OR contains(l, 'refers to')", 0.3), ("contains(l, 'means') OR contains(l, 'represents')", 0.25), ("contains(l, 'nation_' || key)", 0.3),
+    ("len(w) BETWEEN 5 AND 50", 0.2), ("starts_with(l, 'nation_' || key) OR starts_with(l, 'a nation_' || key) OR starts_with(l, 'the nation_' || key)", 0.2),
+))
+_ALPHA = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))::DOUBLE / greatest(length({0}), 1)"
+
+
+@query(f"""WITH {_S} SELECT key, pos, round(CASE WHEN regexp_matches(trim(sentence), '\\?$') OR regexp_matches(l, '^(what|why|how|when|where|which) ') THEN 0 ELSE least({_GAIN}, 1.0) END, 6) AS confidence,
+{_ALPHA.format("sentence")} >= 0.55 AND len(w) >= 3 AND NOT {" AND NOT ".join(f"regexp_matches(sentence, {_q(p)})" for p in (*Q.CODE_LINES[:3], *Q.SLIDE_LINES))} AND NOT regexp_matches(sentence, {_q("|".join(c + "{4,}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%&!-=."[:-1]))}) AS summary_line,
+{_m(*Q.PROMOTION, of="l", case=True)} OR (len(w) < 15 AND {_m(*Q.AROUND, of="l", case=True)}) AS promotional, CAST(least(10, {", ".join(f"CASE WHEN contains(l, {_q(c)}) THEN {p} ELSE 10 END" for c, p in N.PRIORITIES.items())}) AS INT) AS priority FROM s""")
+def sentence_scores(spark, sf):
+    t = F.col("sentence")
+    topic = F.concat(F.lit("NATION_"), F.col("key").cast("string"))
+    return _sentences(spark, sf).select("key", "pos", F.round(Q.definition_confidence(t, topic), 6).alias("confidence"), Q.is_summary_line(t).alias("summary_line"), Q.is_promotional(t).alias("promotional"), N.sentence_priority(t).alias("priority"))
+
+
+@query(f"""WITH {_S}, ta AS (SELECT key, pos, {_set("sentence", S.SECTION_STOPS, False)} AS a FROM s), tb AS (SELECT key, pos AS target, {_set("sentence", S.SECTION_STOPS, False)} AS b FROM r),
+x AS (SELECT key, pos, target, len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) AS score FROM ta JOIN tb USING (key) WHERE len(list_intersect(a, b)) > 0)
+SELECT key, pos, target, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY key, pos ORDER BY score DESC, target) = 1""")
+def merge_targets(spark, sf):
+    out = N.best_targets(_sentences(spark, sf).withColumnRenamed("sentence", "heading"), _references(spark, sf).withColumnRenamed("sentence", "heading"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+_STOP9 = "['and','the','of','in','a','an','is','for','to']"
+
+
+@query(f"""WITH {_S}, g AS (SELECT key, list(sentence ORDER BY pos) AS texts FROM r GROUP BY key), z AS (SELECT s.*, texts, lower(concept) AS c FROM s JOIN g USING (key) JOIN c ON c.key = s.key AND c.pos IN (1, 2, 4))
+SELECT key, pos, c AS label, CASE WHEN contains(l, c) OR contains(c, l) THEN 3 WHEN len(list_filter(list_intersect(string_split_regex(c, '\\s+'), string_split_regex(l, '\\s+')), lambda x: NOT list_contains({_STOP9}, x))) > 0 OR contains(lower(texts[1]), c) THEN 2
+ WHEN len(list_filter(texts, lambda x: contains(lower(x), c))) > 0 THEN 1 ELSE 0 END AS score FROM z""")
+def section_match_scores(spark, sf):
+    texts = _references(spark, sf).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("texts"))
+    labels = _filled(spark, sf, CONCEPTS, "concept").where("pos in (1, 2, 4)").select("key", F.lower("concept").alias("label"))
+    return _sentences(spark, sf).join(texts, "key").join(labels, "key").select("key", "pos", "label", N.match_score(F.col("label"), F.col("sentence"), F.slice("texts", 1, 1), F.col("texts")).alias("score"))
+
+
+@query(f"""WITH {_P}, r AS (SELECT notes_id, sec_pos, sec_heading, any_value(CASE WHEN sec_pos % 4 = 0 THEN sec_pos END) AS root FROM p GROUP BY ALL), h AS (SELECT notes_id, sec_pos, lower(trim(sec_heading)) AS h, root FROM r)
+SELECT notes_id, sec_pos, CAST(CASE WHEN h = 'additional concepts' THEN 9999 WHEN root IS NOT NULL THEN root WHEN {_holds(N.INTRODUCTIONS, "h")} THEN 0 ELSE 50 END AS INT) AS priority FROM h""")
+def section_priorities(spark, sf):
+    sections = _points_of_rules(spark, sf).select("notes_id", "sec_pos", "sec_heading").distinct()
+    root = F.when(F.col("sec_pos") % 4 == 0, F.col("sec_pos"))
+    return sections.select("notes_id", "sec_pos", N.section_priority(F.col("sec_heading"), root).alias("priority"))
+
+
+@query("WITH f AS (SELECT conv_id, role, min(turn) AS p FROM conversations GROUP BY ALL) SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY p, role) - 1 AS INT) AS place FROM f")
+def roles_in_order(spark, sf):
+    return N.distinct_in_order(_t(spark, sf, "conversations"), "conv_id", "role", "turn")
+
+
+@query(f"WITH {_P} SELECT notes_id, sec_pos, count(*) AS n_points FROM p GROUP BY ALL")
+def notes_counts(spark, sf):
+    return notes.count_points(_points_of_rules(spark, sf), "sec_pos")
+
+
+@query(f"WITH {_P}, o AS (SELECT notes_id, sec_pos, unnest(regexp_extract_all(l, '[a-z]{{4,}}')) AS word FROM p) SELECT notes_id, sec_pos, word, count(*) AS n FROM o WHERE NOT list_contains({_list(notes.HEADING_STOPS)}, word) GROUP BY ALL")
+def notes_section_words(spark, sf):
+    return notes.section_words(_points_of_rules(spark, sf))
+
+
+@query("""WITH i AS (SELECT page_id // 50 AS notes_id, page_id AS sec_pos, 'out/Slide_' || page_id % 7 || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' ELSE '/' END AS path FROM pages)
+SELECT notes_id, sec_pos, path FROM i QUALIFY row_number() OVER (PARTITION BY notes_id, regexp_replace(regexp_extract(rtrim(lower(path), '/'), '([^/]*)$', 1), '\\.\\w{2,4}$', '') ORDER BY sec_pos) = 1""")
+def notes_first_images(spark, sf):
+    kind = F.element_at(F.array(F.lit(".PNG"), F.lit(".jpg"), F.lit("/")), (F.col("page_id") % 3 + 1).cast("int"))
+    images = _t(spark, sf, "pages").select(F.expr("page_id div 50").alias("notes_id"), F.col("page_id").alias("sec_pos"), F.concat(F.lit("out/Slide_"), (F.col("page_id") % 7).cast("string"), kind).alias("path"))
+    return notes.first_images(images)
+
+
+@query("""WITH c AS (SELECT n_name AS name, max('about ' || n_nationkey) AS caption FROM nation WHERE n_nationkey % 3 = 0 GROUP BY n_name) SELECT n_name AS name, n_nationkey, coalesce(caption, 'No caption available.') AS caption FROM nation LEFT JOIN c ON name = n_name""")
+def captioned_assets(spark, sf):
+    rows = _t(spark, sf, "nation")
+    captions = rows.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), F.concat(F.lit("about "), F.col("n_nationkey").cast("string")).alias("caption"))
+    return notes.with_captions(rows.select(F.col("n_name").alias("name"), "n_nationkey"), captions)
+
+
+_TEXT = """u AS (SELECT notes_id, dense_rank() OVER (PARTITION BY notes_id ORDER BY sec_pos) AS i, sec_heading, dense_rank() OVER (PARTITION BY notes_id, sec_pos ORDER BY sub_pos) AS j, sub_heading, pt_pos, text FROM p),
+v AS (SELECT notes_id, i, sec_heading, j, sub_heading, string_agg('    {mark} ' || text || chr(10), '' ORDER BY pt_pos) AS lines FROM u GROUP BY ALL),
+x AS (SELECT notes_id, i, sec_heading, string_agg('  ' || i || '.' || j || ' ' || sub_heading || chr(10) || lines, chr(10) ORDER BY j) AS lines FROM v GROUP BY ALL)"""
+
+
+@query(f"WITH {_P}, {_TEXT.format(mark='•')} SELECT notes_id, sha256('Notes' || chr(10) || repeat('=', 40) || chr(10) || chr(10) || string_agg(i || '. ' || sec_heading || chr(10) || repeat('-', 30) || chr(10) || lines || chr(10), chr(10) ORDER BY i)) AS digest FROM x GROUP BY notes_id")
+def notes_plain_text(spark, sf):
+    from plumbago.sources import graphs
+
+    return graphs.plain_text(notes.nested(_points_of_rules(spark, sf))).select("notes_id", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"WITH {_P}, {_TEXT.format(mark='-')} SELECT notes_id, sha256('Notes' || chr(10) || repeat('=', 5) || chr(10) || chr(10) || string_agg(i || '. ' || sec_heading || chr(10) || repeat('-', 40) || chr(10) || lines || chr(10), chr(10) ORDER BY i)) AS digest FROM x GROUP BY notes_id")
+def notes_text_file(spark, sf):
+    from plumbago.sources import graphs
+
+    return graphs.plain_text(notes.nested(_points_of_rules(spark, sf)), "-", None, 40).select("notes_id", F.sha2("text", 256).alias("digest"))
+
+
+_EVALS = """e AS (SELECT 'Video/' || event_type AS name, 'video_' || event_type AS file_key, event_id AS stamp, value / 1000.0::DOUBLE AS k, value / 3000.0::DOUBLE AS n, value / 7.0::DOUBLE AS hk, CASE WHEN event_id % 2 = 0 THEN value / 11.0::DOUBLE END AS hn FROM events),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY stamp DESC) = 1), g AS (SELECT file_key, name, round_even(k, 4) AS k, round_even(n, 4) AS n, round_even(hk, 2) AS hk, round_even(hn, 2) AS hn FROM f)"""
+
+
+def _evaluations(spark, sf) -> DataFrame:
+    from plumbago.sources import graphs
+
+    v = F.col("value").cast("double")
+    rows = _t(spark, sf, "events").select(F.concat(F.lit("Video/"), "event_type").alias("name"), F.col("event_id").alias("at"), (v / 1000.0).alias("kg_rouge1"), (v / 3000.0).alias("nonkg_rouge1"), (v / 7.0).alias("human_kg"), F.when(F.col("event_id") % 2 == 0, v / 11.0).alias("human_nonkg"))
+    return graphs.evaluations(rows)
+
+
+@query(f"WITH {_EVALS} SELECT file_key, name, k AS kg_rouge1, n AS nonkg_rouge1, hk AS human_kg, hn AS human_nonkg FROM g")
+def stored_evaluations(spark, sf):
+    return _evaluations(spark, sf)
+
+
+@query(f"WITH {_EVALS} SELECT count(*) AS dataset_size, list(file_key ORDER BY file_key) AS file_keys, list(k ORDER BY file_key) AS kg_rouge1, list(n ORDER BY file_key) AS nonkg_rouge1, list(hk ORDER BY file_key) AS human_kg, list(hn ORDER BY file_key) AS human_nonkg FROM g")
+def aggregated_evaluations(spark, sf):
+    from plumbago.sources import graphs
+
+    return graphs.aggregated(_evaluations(spark, sf))

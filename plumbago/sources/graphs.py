@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.functions import text as T
+
 #: The names that a field goes by, first to last.
 NODE_FIELDS = {"id": ("id", "ID"), "label": ("label", "name", "title"), "description": ("description", "desc"), "type": ("type", "category")}
 EDGE_FIELDS = {"source": ("source", "from", "subject"), "target": ("target", "to", "object"), "relation": ("relation", "rel", "label")}
@@ -66,3 +68,32 @@ def by_stem(files: DataFrame, stem: str, suffixes: tuple[str, ...]) -> DataFrame
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).isin(*suffixes)
     order = [F.when(named, 0).otherwise(1), F.when(named, -F.col("size")), F.col("name")]
     return files.where(named | suffix).withColumn("_r", F.row_number().over(W.partitionBy("session_id").orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def plain_text(notes: DataFrame, mark: str = "\u2022", title_rule: int | None = 40, rule: int = 30) -> DataFrame:
+    """(notes_id, text) of nested notes(notes_id, title, sections): numbered headings over rules, points behind the mark.
+
+    Without title_rule the title's rule is as long as the title.
+    """
+    number = lambda i: (i + 1).cast("string")
+    points = lambda u: F.transform(F.filter(u["points"], lambda p: F.trim(p["text"]) != ""), lambda p: F.concat(F.lit(f"    {mark} "), p["text"]))
+    sub = lambda s, i: F.flatten(F.transform(s["subsections"], lambda u, j: F.concat(F.array(F.concat(F.lit("  "), number(i), F.lit("."), number(j), F.lit(" "), u["heading"])), points(u), F.array(F.lit("")))))
+    section = lambda s, i: F.concat(F.array(F.concat(number(i), F.lit(". "), s["heading"]), F.lit("-" * rule)), sub(s, i), F.array(F.lit("")))
+    line = F.lit("=" * title_rule) if title_rule else F.repeat(F.lit("="), F.length("title"))
+    return notes.select("notes_id", F.array_join(F.concat(F.array(F.col("title"), line, F.lit("")), F.flatten(F.transform("sections", section))), "\n").alias("text"))
+
+
+def evaluations(rows: DataFrame) -> DataFrame:
+    """rows(name, at, kg_rouge1, nonkg_rouge1, human_kg, human_nonkg) -> the latest of each file key, scores rounded to
+    four and marks to two places."""
+    places = {"kg_rouge1": 4, "nonkg_rouge1": 4, "human_kg": 2, "human_nonkg": 2}
+    kept = upsert(rows.limit(0), rows, T.name_slug(F.col("name")), "at")
+    return kept.select(T.name_slug(F.col("name")).alias("file_key"), "name", *(F.bround(c, n).alias(c) for c, n in places.items()))
+
+
+def aggregated(evals: DataFrame) -> DataFrame:
+    """One row: how many, and the keys and each score as arrays in the order of the keys."""
+    columns = ["kg_rouge1", "nonkg_rouge1", "human_kg", "human_nonkg"]
+    rows = F.array_sort(F.collect_list(F.struct("file_key", *columns)))
+    packed = evals.agg(F.count("*").alias("dataset_size"), rows.alias("r"))
+    return packed.select("dataset_size", F.col("r.file_key").alias("file_keys"), *(F.col(f"r.{c}").alias(c) for c in columns))
