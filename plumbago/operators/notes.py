@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from plumbago.functions import bullets as B
 from plumbago.functions import quality as Q
 from plumbago.functions import repairs as R
+from plumbago.functions import similarity as S
 from plumbago.functions import text as T
+from plumbago.operators import dedup
 
 #: Relations and the kind of subsection they belong to, looked up in this order.
 SUBSECTIONS = {
@@ -360,3 +362,83 @@ def with_captions(assets: DataFrame, captions: DataFrame, default: str = "No cap
     """assets(name, ...) with the caption of captions(name, caption), or the default; the last by name wins a tie."""
     one = captions.groupBy("name").agg(F.max("caption").alias("caption"))
     return assets.join(one, "name", "left").withColumn("caption", F.coalesce("caption", F.lit(default)))
+
+
+#: What marks a definition.
+DEFINITION = r"(?i)\b(is\s+a\b|is\s+an\b|is\s+defined|refers\s+to|known\s+as|is\s+described\s+as|is\s+considered)\b"
+
+
+def like_pairs(headings: DataFrame, words: Column, like: Column) -> DataFrame:
+    """(grp, first, later) of headings(grp, pos, heading) that are alike: words are an array of the heading's, `like` a
+    condition on n, the words shared, and a and b, those of either. Headings meet by the words they share."""
+    own = headings.select("grp", "pos", words.alias("ws"))
+    each = lambda pos, size: own.select("grp", F.col("pos").alias(pos), F.size("ws").alias(size), F.explode("ws").alias("w"))
+    pairs = each("first", "a").join(each("later", "b"), ["grp", "w"]).where("first < later")
+    return pairs.groupBy("grp", "first", "later").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where(like).select("grp", "first", "later")
+
+
+def owners(headings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grp, pos, owner): each heading's first like one before it that has no owner but itself, else itself."""
+    at = lambda c: F.struct("grp", F.col(c).alias("pos"))
+    kept = dedup.chain_kept(headings.select(at("pos").alias("id")), pairs.select(at("first").alias("first"), at("later").alias("later")))
+    chosen = pairs.join(kept.select(F.col("id.grp").alias("grp"), F.col("id.pos").alias("first")), ["grp", "first"], "left_semi").groupBy("grp", F.col("later").alias("pos")).agg(F.min("first").alias("owner"))
+    return headings.join(chosen, ["grp", "pos"], "left").select("grp", "pos", F.coalesce("owner", "pos").alias("owner"))
+
+
+def _joined(points: DataFrame, owned: DataFrame) -> DataFrame:
+    """Sections moved into their owners: subsections of one heading are one, texts of one stand once, case aside."""
+    first = points.groupBy("notes_id", F.col("sec_pos").alias("owner")).agg(F.first("sec_heading").alias("_h"))
+    moved = points.join(owned.withColumnsRenamed({"grp": "notes_id", "pos": "sec_pos"}), ["notes_id", "sec_pos"]).join(first, ["notes_id", "owner"])
+    key = F.lower("sub_heading")
+    sub = W.partitionBy("notes_id", "owner", key)
+    moved = moved.withColumn("_sub", F.min(F.struct("sec_pos", "sub_pos", "sub_heading")).over(sub))
+    place = F.row_number().over(W.partitionBy("notes_id", "owner", key, F.lower("text")).orderBy("sec_pos", "sub_pos", "pt_pos"))
+    kept = moved.withColumn("_r", place).where("_r = 1")
+    subs = W.partitionBy("notes_id", "owner").orderBy("_sub.sec_pos", "_sub.sub_pos")
+    kept = kept.withColumn("_p", F.dense_rank().over(subs) - 1).withColumn("_k", F.row_number().over(W.partitionBy("notes_id", "owner", "_sub").orderBy("sec_pos", "sub_pos", "pt_pos")) - 1)
+    return renumbered(kept.select("notes_id", "title", F.col("owner").alias("sec_pos"), F.col("_h").alias("sec_heading"), F.col("_p").alias("sub_pos"), F.col("_sub.sub_heading").alias("sub_heading"), F.col("_k").alias("pt_pos"), "text"))
+
+
+def _sections(points: DataFrame) -> DataFrame:
+    return points.select(F.col("notes_id").alias("grp"), F.col("sec_pos").alias("pos"), F.col("sec_heading").alias("heading")).distinct()
+
+
+def merged_topics(points: DataFrame) -> DataFrame:
+    """Sections whose headings are one topic, by half of all words or all of the smaller's, moved into the first."""
+    headings = _sections(points)
+    pairs = like_pairs(headings, S._long_words(F.col("heading"), S.TOPIC_STOPS), F.expr("n >= 0.5 * (a + b - n) or n = least(a, b)"))
+    return _joined(points, owners(headings, pairs))
+
+
+def merged_headings(points: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """Sections whose headings share so many of the larger's words moved into the first."""
+    headings = _sections(points)
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("heading"), r"[^a-z\s]", ""), r"\s+"), lambda w: w != ""))
+    return _joined(points, owners(headings, like_pairs(headings, words, F.expr(f"n >= {threshold} * greatest(a, b)"))))
+
+
+def merged_like_subsections(points: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """Subsections of one section that share so many of the larger's words as one, under the shortest heading, without
+    texts that stand there twice, case aside. They are compared by the headings that they came with."""
+    grp = F.struct("notes_id", "sec_pos")
+    headings = points.select(grp.alias("grp"), F.col("sub_pos").alias("pos"), F.col("sub_heading").alias("heading")).distinct()
+    owned = owners(headings, like_pairs(headings, S._long_words(F.col("heading"), S.SUBSECTION_STOPS), F.expr(f"n >= {threshold} * greatest(a, b)")))
+    moved = points.join(owned.select("grp.*", F.col("pos").alias("sub_pos"), "owner"), ["notes_id", "sec_pos", "sub_pos"])
+    every = W.partitionBy("notes_id", "sec_pos", "owner")
+    named = moved.withColumn("_h", F.min(F.struct(F.length("sub_heading").alias("n"), "sub_pos", "sub_heading")).over(every)["sub_heading"])
+    kept = named.withColumn("_r", F.row_number().over(W.partitionBy("notes_id", "sec_pos", "owner", F.lower("text")).orderBy("sub_pos", "pt_pos"))).where("_r = 1")
+    kept = kept.withColumn("pt_pos", F.row_number().over(every.orderBy("sub_pos", "pt_pos")) - 1)
+    return renumbered(kept.withColumn("sub_pos", F.col("owner")).withColumn("sub_heading", F.col("_h")).drop("owner", "_h", "_r").select(*points.columns))
+
+
+def without_repeated_definitions(points: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Of two definitions in different sections that share so many of the larger's words, the one in the section of fewer
+    points goes, the later if both have as many."""
+    sized = points.withColumn("_n", F.count("*").over(W.partitionBy("notes_id", "sec_pos"))).where(F.col("text").rlike(DEFINITION))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^a-z\s]", ""), r"\s+"), lambda w: w != ""))
+    own = sized.select("notes_id", F.struct("sec_pos", "sub_pos", "pt_pos").alias("at"), "_n", words.alias("ws"))
+    each = lambda at, n, size: own.select("notes_id", F.col("at").alias(at), F.col("_n").alias(n), F.size("ws").alias(size), F.explode("ws").alias("w"))
+    pairs = each("x", "nx", "a").join(each("y", "ny", "b"), ["notes_id", "w"]).where("x.sec_pos < y.sec_pos")
+    like = pairs.groupBy("notes_id", "x", "y", "nx", "ny", "a", "b").agg(F.count("*").alias("n")).where(F.expr(f"n >= {threshold} * greatest(a, b)"))
+    gone = like.select("notes_id", F.when(F.col("nx") >= F.col("ny"), F.col("y")).otherwise(F.col("x")).alias("at")).select("notes_id", "at.*").distinct()
+    return renumbered(points.join(gone, ["notes_id", "sec_pos", "sub_pos", "pt_pos"], "left_anti"))

@@ -212,7 +212,7 @@ def rewritten_bullets(spark, sf):
 
 # -- steps of notes -------------------------------------------------------------------------------------------------------
 
-SECTIONS = ("{x} Ports", "Course on {x}", "Introduction to {x}", "Overview", "key points", "Definition ? [{x}]")
+SECTIONS = ("{x} Ports", "Course on {x}", "Introduction to {x}", "Overview", "key points", "Definition ? [{x}] Ports")
 SUBSECTIONS = ("Key Concepts", "Key Takeaways", "Process Flow", "{x}")
 
 

@@ -364,3 +364,50 @@ def aggregated_evaluations(spark, sf):
     from plumbago.sources import graphs
 
     return graphs.aggregated(_evaluations(spark, sf))
+
+
+def _first_wins(rows: str, like: str, most: int) -> str:
+    """Rows of rows(grp, i, ...), i from 1: owners by the condition on x and y, settled one i after the other."""
+    out = f"pr AS (SELECT y.grp, x.i AS f, y.i AS l FROM {rows} x JOIN {rows} y ON x.grp = y.grp AND x.i < y.i WHERE {like}), k1 AS (SELECT grp, i FROM {rows} WHERE i = 1)"
+    for i in range(2, most + 1):
+        out += f", k{i} AS (SELECT * FROM k{i - 1} UNION ALL SELECT grp, i FROM {rows} h WHERE i = {i} AND NOT EXISTS (SELECT 1 FROM pr JOIN k{i - 1} k ON k.grp = pr.grp AND k.i = pr.f WHERE pr.grp = h.grp AND pr.l = {i}))"
+    return out + f", ow AS (SELECT h.*, coalesce((SELECT min(f) FROM pr JOIN k{most} k ON k.grp = pr.grp AND k.i = pr.f WHERE pr.grp = h.grp AND pr.l = h.i), h.i) AS owner FROM {rows} h)"
+
+
+_HEADS = "hd AS (SELECT notes_id AS grp, sec_pos, sec_heading AS heading, row_number() OVER (PARTITION BY notes_id ORDER BY sec_pos) AS i, {words} AS ws FROM (SELECT DISTINCT notes_id, sec_pos, sec_heading FROM p))"
+_SHARED = "len(list_intersect(x.ws, y.ws))"
+_MOVED = """mv AS (SELECT p.*, owner, sub_heading AS sh FROM p JOIN ow ON grp = notes_id AND ow.sec_pos = p.sec_pos),
+ds AS (SELECT *, first_value(sub_heading) OVER (PARTITION BY notes_id, owner, lower(sub_heading) ORDER BY sec_pos, sub_pos) AS first_heading FROM mv QUALIFY row_number() OVER (PARTITION BY notes_id, owner, lower(sub_heading), lower(text) ORDER BY sec_pos, sub_pos, pt_pos) = 1)
+SELECT ds.notes_id, h.heading AS sec_heading, lower(sub_heading) AS sub_heading, text FROM ds JOIN hd h ON h.grp = notes_id AND h.i = owner"""
+
+
+def _lowered(df: DataFrame) -> DataFrame:
+    return df.select("notes_id", "sec_heading", F.lower("sub_heading").alias("sub_heading"), "text")
+
+
+@query(f"WITH {_P}, {_HEADS.format(words=_set('sec_heading', S.TOPIC_STOPS, True))}, {_first_wins('hd', f'{_SHARED} > 0 AND ({_SHARED} >= 0.5 * (len(x.ws) + len(y.ws) - {_SHARED}) OR {_SHARED} = least(len(x.ws), len(y.ws)))', 5)}, {_MOVED}")
+def notes_merged_topics(spark, sf):
+    return _lowered(notes.merged_topics(_points_of_rules(spark, sf)))
+
+
+@query(f"WITH {_P}, {_HEADS.format(words=_LETTERS.format('sec_heading'))}, {_first_wins('hd', f'{_SHARED} > 0 AND {_SHARED} >= 0.65 * greatest(len(x.ws), len(y.ws))', 5)}, {_MOVED}")
+def notes_merged_headings(spark, sf):
+    return _lowered(notes.merged_headings(_points_of_rules(spark, sf)))
+
+
+_SUBS = f"hd AS (SELECT notes_id * 1000 + sec_pos AS grp, notes_id, sec_pos, sub_pos, sub_heading AS heading, row_number() OVER (PARTITION BY notes_id, sec_pos ORDER BY sub_pos) AS i, {_set('sub_heading', S.SUBSECTION_STOPS, True)} AS ws FROM (SELECT DISTINCT notes_id, sec_pos, sub_pos, sub_heading FROM p))"
+
+
+@query(f"""WITH {_P}, {_SUBS}, {_first_wins('hd', f'{_SHARED} > 0 AND {_SHARED} >= 0.55 * greatest(len(x.ws), len(y.ws))', 9)}, mv AS (SELECT p.*, owner FROM p JOIN ow USING (notes_id, sec_pos, sub_pos)),
+nm AS (SELECT notes_id, sec_pos, owner, arg_min(sub_heading, length(sub_heading) * 1000 + sub_pos) AS h FROM mv GROUP BY ALL)
+SELECT notes_id, sec_heading, h AS sub_heading, text FROM mv JOIN nm USING (notes_id, sec_pos, owner) QUALIFY row_number() OVER (PARTITION BY notes_id, sec_pos, owner, lower(text) ORDER BY sub_pos, pt_pos) = 1""")
+def notes_merged_like_subsections(spark, sf):
+    return notes.merged_like_subsections(_points_of_rules(spark, sf)).select("notes_id", "sec_heading", "sub_heading", "text")
+
+
+@query(f"""WITH {_P}, z AS (SELECT *, count(*) OVER (PARTITION BY notes_id, sec_pos) AS n, {_LETTERS.format('text')} AS ws FROM p), df AS (SELECT * FROM z WHERE {_m(notes.DEFINITION.removeprefix("(?i)"), of="text")}),
+pq AS (SELECT x.notes_id, CASE WHEN x.n >= y.n THEN y.sec_pos ELSE x.sec_pos END AS sec_pos, CASE WHEN x.n >= y.n THEN y.sub_pos ELSE x.sub_pos END AS sub_pos, CASE WHEN x.n >= y.n THEN y.pt_pos ELSE x.pt_pos END AS pt_pos FROM df x JOIN df y ON x.notes_id = y.notes_id AND x.sec_pos < y.sec_pos
+ WHERE {_SHARED} >= 0.8 * greatest(len(x.ws), len(y.ws)))
+SELECT notes_id, sec_heading, sub_heading, text FROM p ANTI JOIN pq USING (notes_id, sec_pos, sub_pos, pt_pos)""")
+def notes_without_repeated_definitions(spark, sf):
+    return notes.without_repeated_definitions(_points_of_rules(spark, sf)).select("notes_id", "sec_heading", "sub_heading", "text")
