@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), passage=PASSAGE).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op4_toxicity, op5_pieces, op6_near_vectors, op7_main_text, op8_language_scores, op9_licenses, op10_suffix_dedup)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_runs import line_dedup
+
+    rows = line_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_simhash, op4_toxicity, op5_pieces, op6_near_vectors, op7_main_text, op8_language_scores, op9_licenses, op10_suffix_dedup, op11_lexical_search, op12_line_dedup, op13_resampling)}
 
 _OP2 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -113,4 +133,47 @@ SELECT d.doc_id, doc.license, coalesce(doc.dice, 0.0) AS dice, coalesce(doc.lice
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_licenses": _op9()}
+_OP11 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS times FROM iw GROUP BY ALL),
+size AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM dw),
+posting AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM posting, size GROUP BY term, n_docs),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM posting JOIN weight USING (term) JOIN wanted USING (term), size GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+_OP12 = r"""
+WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+often AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT doc_id, i, line, last IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id
+"""
+
+# CRC-32 by its table of 256 entries, which a recursion over the eight bits makes from the polynomial.
+_OP13 = r"""
+WITH RECURSIVE step(i, bit, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, bit + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE bit < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM step WHERE bit = 8),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+df AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM dw) GROUP BY ALL),
+tf AS (SELECT f, count(*) AS n FROM iw GROUP BY f),
+byte AS (SELECT f, list_concat([4294967295::BIGINT], list_transform(range(0, strlen(f)), lambda j: CAST((instr('0123456789ABCDEF', substr(hex(f), 2 * j + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(f), 2 * j + 2, 1)) - 1 AS BIGINT))) AS b
+         FROM (SELECT f FROM df UNION SELECT f FROM tf)),
+crc AS MATERIALIZED (SELECT f, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM byte, tab),
+source AS (SELECT bucket, sum(n) AS s FROM df JOIN crc USING (f) GROUP BY bucket),
+target AS (SELECT bucket, sum(n) AS t FROM tf JOIN crc USING (f) GROUP BY bucket),
+size AS (SELECT (SELECT coalesce(sum(s), 0) FROM source) AS all_s, (SELECT coalesce(sum(t), 0) FROM target) AS all_t),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (all_s + 10000) AS DOUBLE) / CAST((s + 1) * (all_t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM source LEFT JOIN target USING (bucket), size),
+weight AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM df JOIN crc USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM dw LEFT JOIN weight USING (doc_id)),
+place AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (10 * able) // 100 THEN rank END AS rank FROM scored LEFT JOIN place USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_licenses": _op9(), "op11_lexical_search": _OP11, "op12_line_dedup": _OP12, "op13_resampling": _OP13}
