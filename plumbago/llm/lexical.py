@@ -178,8 +178,8 @@ def search(index: DataFrame, size: tuple[int, int], items: DataFrame, item_id: s
     spark = items.sparkSession
     text = F.coalesce(F.col(item_text).cast("string"), F.lit(""))
     path = new_table(spark, "queries")
-    total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // query_bytes))
+    count, total = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = max(1, min(count, -(-total // query_bytes)))
     numbered = items.select(F.col(item_id).alias("item"), text.alias("text"), F.monotonically_increasing_id().alias("number"))
     numbered.withColumn("block", F.pmod(F.xxhash64("text", "number"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
     queries = spark.read.schema(f"item {id_type(items, item_id)}, text string, number long, block int").parquet(path)
