@@ -17,15 +17,23 @@ from plumbago.llm.common import new_table
 OWN = ("doc_id", "text", "n_chars")
 
 
+def _names(docs: DataFrame) -> list[str]:
+    """A name for every column, in order: OWN keep theirs, the rest get names that no column of docs begins with."""
+    mark = "carried"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [c if c in OWN else f"{mark}{i}" for i, c in enumerate(docs.columns)]
+
+
 def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with all columns but OWN under names that no operator uses, and those names."""
-    new = {c: f"carried{i}" for i, c in enumerate(docs.columns) if c not in OWN}
-    return docs.withColumnsRenamed(new), [*new.values()]
+    """docs with all columns but OWN under names that no operator uses, and those names; columns go by position."""
+    new = _names(docs)
+    return docs.toDF(*new), [c for c in new if c not in OWN]
 
 
 def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, in their order and by their names, from a result that carried them."""
-    return out.select(*(F.col(c if c in OWN else f"carried{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return out.select(*_names(docs)).toDF(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +74,8 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's piece ids, spans and decoded text; one row a row, a null text is empty."""
+    """Digests of each text's piece ids, spans and decoded text; one row a row. A null text is empty, rows that repeat an
+    id or have none are texts of their own, further columns are left out, and an empty table gives an empty result."""
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
