@@ -43,7 +43,8 @@ _BESIDE = "!*(+|"
 _ONE = _MARKS.replace(r"\*", "")
 #: Letters or look-alikes, each perhaps repeated, three or more of them set apart; tokens with a letter and a look-alike
 #: or a letter three times anywhere; a letter three times within other characters of words.
-_SPACED = rf"(?<![^\W_])(?:([a-z{_ONE}])\1*+[\s.,\-_*~/:;]++){{2,}}([a-z{_ONE}])\2*+(?![^\W_])"
+#: No stretch begins later than at the second character of a run, so a long run is tried twice and not at each character.
+_SPACED = rf"(?<![^\W_])(?:([a-z{_ONE}])(?<!\1\1\1)\1*+[\s.,\-_*~/:;]++){{2,}}([a-z{_ONE}])\2*+(?![^\W_])"
 _MIXED = rf"(?<![\w{_MARKS}])(?=[{_MARKS}]*[a-z])(?=[a-z]*[{_MARKS}]|[a-z]*?([a-z])\3\3)[a-z{_MARKS}]++(?!\w)"
 _LONG = r"(?<![a-z])[a-z]*?([a-z])\4\4[a-z]*+"
 _SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_LONG}")

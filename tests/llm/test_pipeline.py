@@ -40,7 +40,7 @@ def test_stages_keep_the_columns(spark):
 
 
 def test_stages_with_odd_rows_and_clashing_names(spark):
-    clashes = "predicted,score,kept,n_bytes,contaminated,spans,fp,root,digest,id,keep0,d1".split(",")
+    clashes = "carried3,carried0,carried5,carried_4,predicted,score,kept,n_bytes,contaminated,spans,fp,root,digest,id,keep0,d1".split(",")
     long = " ".join(f"w{i}" for i in range(30_000))
     texts = [None, "", " ", "plain words of a clean text", "plain words of a clean text", long, long + " x", "y" * 200_000]
     rows = [(None if i == 3 else i // 2, t, len(t or ""), *(f"{c}{i}" for c in clashes)) for i, t in enumerate(texts)]

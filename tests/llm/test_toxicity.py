@@ -94,3 +94,18 @@ def test_long_words_and_stretches_take_linear_time(channel):
     assert restore("x " + "1" * 500_000) == "x " + "1" * 500_000
     assert restore("i d i o t " * 5_000).count("idiot") > 4_900
     assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("c", [*(chr(i) for i in range(32, 127)), "\t", "\n", "é", "€", "字", "\u200b"])
+def test_a_megabyte_of_one_character_takes_linear_time(channel, c):
+    import time
+
+    restore, start = t.Restorer(channel), time.time()
+    restore(f"a {c * 1_000_000} b")
+    restore(f"{c * 1_000_000} i d i o t")
+    assert time.time() - start < 4
+
+
+@pytest.mark.parametrize("written,read", [("$$$$ t u p i d", "stupid"), ("x $$ t u p i d", "x stupid")])
+def test_runs_of_marks_still_begin_a_stretch(channel, written, read):
+    assert read.split()[-1] in t.Restorer(channel)(written)
