@@ -114,7 +114,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def _op9() -> str:
-    from .licenses import TEMPLATES, THRESHOLD
+    from .licenses import INSTEAD, TEMPLATES, THRESHOLD
 
     notices = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in row)) for i, row in enumerate(TEMPLATES))
     words = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
@@ -128,7 +128,8 @@ gram AS (SELECT doc_id, unit, {grams} AS g FROM unit WHERE len(w) > 1),
 hit AS (SELECT doc_id, unit, template, license, 2.0::DOUBLE * len(list_intersect(gram.g, notice.g)) / (len(gram.g) + len(notice.g)) AS dice FROM gram JOIN notice
         ON len(gram.g) BETWEEN len(notice.g) * {THRESHOLD} / (2 - {THRESHOLD}) - 0.001 AND len(notice.g) * (2 - {THRESHOLD}) / {THRESHOLD} + 0.001),
 best AS (SELECT * FROM hit WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1),
-doc AS (SELECT doc_id, first(license ORDER BY dice DESC, template) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_units FROM best GROUP BY doc_id)
+named AS (SELECT *, license <> '{INSTEAD[1]}' OR NOT bool_or(license = '{INSTEAD[0]}') OVER (PARTITION BY doc_id) AS named FROM best),
+doc AS (SELECT doc_id, first(license ORDER BY dice DESC, template) FILTER (named) AS license, max(dice) FILTER (named) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) FILTER (named) AS licenses, count(*) AS n_units FROM named GROUP BY doc_id)
 SELECT d.doc_id, doc.license, coalesce(doc.dice, 0.0) AS dice, coalesce(doc.licenses, '') AS licenses, coalesce(doc.n_units, 0) AS n_units FROM documents d LEFT JOIN doc USING (doc_id)
 """
 

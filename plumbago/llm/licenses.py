@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-#: Licence id and the wording of a notice.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+#: Licence id and the wording of a notice, a title, a header of a file or a clause that tells the licence.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -28,15 +34,42 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "MIT License"),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("MIT", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Licence id and the short names by which files speak of it.
+SHORT_NAMES = {"AGPL-3.0": ("AGPL v3", "AGPLv3"), "GPL-2.0": ("GPL v2", "GPLv2"), "GPL-3.0": ("GPL v3", "GPLv3"), "LGPL-2.1": ("LGPL v2.1", "LGPLv2.1"), "LGPL-3.0": ("LGPL v3", "LGPLv3"), "Apache-2.0": ("Apache 2.0",), "MIT": ("MIT license",)}
+#: A clause that makes a licence of the clauses of another: where it stands, the other isn't named.
+INSTEAD = ("BSD-3-Clause", "BSD-2-Clause")
+
+
+def all_notices() -> tuple[tuple[str, str], ...]:
+    """NOTICES, the SPDX line of each of their licences, and its short names after "licensed under"."""
+    ids = sorted({license for license, _ in NOTICES})
+    spdx = [(license, f"SPDX-License-Identifier: {license}") for license in ids]
+    short = [(license, f"Licensed under {article}{name}.") for license, names in SHORT_NAMES.items() for name in names for article in ("", "the ")]
+    return (*NOTICES, *spdx, *short)
+
+
+TEMPLATES = all_notices()
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -120,13 +153,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by commas), n_units long (lines, paragraphs and sentences that match).
 
     Each stretch counts for its best notice only; a tie goes to the notice that stands first, and of a document's
-    stretches the best, then the first notice. Null and empty texts match nothing. Rows with one id keep to their own
+    stretches the best, then the first notice. Versions of a licence have notices of their own, so the words that differ
+    decide between them. Where the first of INSTEAD is found, the second isn't named, and its stretches are left to it. Null and empty texts match nothing. Rows with one id keep to their own
     texts; a null id is an id like others. Other columns are ignored; an empty table gives an empty result.
     """
     best = matches(docs, id_col, text_col, notices, threshold).groupBy("id", "digest", "unit").agg(F.max(F.struct("dice", (-F.col("template")).alias("first"), "license")).alias("m"))
+    telling_one, other = INSTEAD
     found = best.groupBy("id", "digest").agg(
-        F.max("m").alias("m"), F.concat_ws(",", F.array_sort(F.collect_set("m.license"))).alias("licenses"), F.count("*").alias("n_units")
+        F.max("m").alias("any"), F.max(F.when(F.col("m.license") != other, F.col("m"))).alias("else"), F.array_sort(F.collect_set("m.license")).alias("names"), F.count("*").alias("n_units")
     )
+    instead = F.array_contains("names", telling_one)
+    found = found.select("id", "digest", F.when(instead, F.col("else")).otherwise(F.col("any")).alias("m"), F.concat_ws(",", F.when(instead, F.array_remove("names", other)).otherwise(F.col("names"))).alias("licenses"), "n_units")
     rows = docs.select(F.col(id_col).alias("key"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("own"))
     out = rows.join(found, rows["key"].eqNullSafe(found["id"]) & (F.col("own") == F.col("digest")), "left")
     return out.select(F.col("key").alias(id_col), F.col("m.license").alias("license"), F.coalesce("m.dice", F.lit(0.0)).alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
