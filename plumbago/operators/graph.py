@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 from itertools import count
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.operators.tables import stored
+
 #: Relation parts that say a concept holds another; that say a step follows another.
 CONTAINMENT = ("has", "includes", "contains", "consists_of", "comprised_of", "composed_of", "has_component", "has_phase", "has_step", "has_part", "has_stage", "has_layer", "has_type", "has_subtype", "encompasses", "covers", "is_a", "type_of", "part_of")
 FLOW = (
@@ -25,14 +26,8 @@ def _holds(relation: str, kinds: tuple[str, ...]):
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here; a loop's plan stays as small as one round's."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="plumbago-"))
-    return df.checkpoint()
+    """Lineage ends here; a loop's plan stays as small as one round's. tables.clean() deletes what this writes."""
+    return stored(df)
 
 
 def latest_edges(edges: DataFrame) -> DataFrame:
@@ -49,18 +44,22 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """(id, rank): mass of nodes without successors is dealt out evenly; parallel edges count once."""
+    """(id, rank): mass of nodes without successors is dealt out evenly; parallel edges count once.
+
+    A round joins the links with the ranks, sums by target and joins the one row of lost mass: one stored table a round,
+    and no driver action between.
+    """
     n = nodes.count()
     links = edges.select("source", "target").distinct().join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
-    share = _cut(links.join(links.groupBy("source").agg(F.count("*").alias("k")), "source"))
-    ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for step in range(rounds):
-        given = share.join(ranks, share["source"] == ranks["id"]).groupBy("target").agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        lost = ranks.join(share.select(F.col("source").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        ranks = ranks.select("id").join(given, ranks["id"] == given["target"], "left").select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if step % 5 == 4:
-            ranks = _cut(ranks)
-    return ranks
+    share = stored(links.join(links.groupBy("source").agg(F.count("*").alias("k")), "source"), "links")
+    idle = nodes.select("id").join(share.select(F.col("source").alias("id")).distinct().withColumn("busy", F.lit(True)), "id", "left")
+    ranks = stored(idle.select("id", F.col("busy").isNull().alias("idle"), F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
+    for _ in range(rounds):
+        given = share.join(ranks.select("id", "rank"), share["source"] == F.col("id")).groupBy("target").agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
+        lost = ranks.where("idle").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        new = F.lit((1 - damping) / max(n, 1)) + damping * F.col("lost") / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))
+        ranks = stored(ranks.select("id", "idle").join(given, F.col("id") == F.col("target"), "left").crossJoin(F.broadcast(lost)).select("id", "idle", new.alias("rank")), "ranks")
+    return ranks.select("id", "rank")
 
 
 def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINMENT) -> DataFrame:
