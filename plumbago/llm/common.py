@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,23 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
+#: Bytes of an Arrow batch where rows are blocks of a matrix or an index.
+BLOCK_BATCH = "8m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BLOCK_BATCH for the jobs that run inside; the session's own setting comes back after them. Both sides
+    hold a few batches of each running task, in buffers that grow by doubling."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, BLOCK_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before) if before else spark.conf.unset(_BATCH_BYTES)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Two columns, and extra ones, under fixed names whatever else the table holds; a null text counts as empty."""
     lean(docs.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_and_text, id_type, new_table, slices, stored
+from .common import id_and_text, id_type, new_table, slices, small_batches, stored
 from .decontaminate import normal_words
 
 TOP = 10
@@ -114,7 +114,8 @@ def document_frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, in
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "df"])
 
-    rows = index.select("terms", "ptr").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    with small_batches(index.sparkSession):
+        rows = index.select("terms", "ptr").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     return {t: 0 for t in terms} | {terms[r["term"]]: r["df"] for r in rows}
 
 
@@ -202,8 +203,9 @@ def search(index: DataFrame, size: tuple[int, int], items: DataFrame, item_id: s
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], index_type)], ["number", "score", "doc"])
 
         index_type = _arrow_type(index)
-        part = index.mapInArrow(run, f"number long, score long, doc {kind}")
-        found = stored(part, "found") if found is None else found.unionByName(stored(part, "found"))
+        with small_batches(spark):
+            part = stored(index.mapInArrow(run, f"number long, score long, doc {kind}"), "found")
+        found = part if found is None else found.unionByName(part)
     order = W.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(queries.select("number", "item"), "number").select(F.col("item").alias(item_id), "rank", F.col("doc").alias(id_name), "score")

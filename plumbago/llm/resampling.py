@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, slices, stored
+from .common import id_and_text, id_type, slices, small_batches, stored
 from .decontaminate import normal_words
 
 BUCKETS, NGRAM = 10_000, 1
 LEAST_WORDS, PERCENT, SEED = 20, 10, 2024
 #: Documents of one CSR block at most; their distinct buckets bound its size.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 64
 
 
 def feature_buckets(words: list[bytes], buckets: int = BUCKETS, ngram: int = NGRAM) -> np.ndarray:
@@ -72,7 +72,9 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
 
     sums = np.zeros(buckets, np.int64)
-    for r in matrix.select("indices", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    with small_batches(matrix.sparkSession):
+        rows = matrix.select("indices", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    for r in rows:
         sums[r["bucket"]] = r["n"]
     return sums
 
@@ -131,7 +133,8 @@ def resample(
     gain = gains(column_sums(matrix, buckets), column_sums(count_matrix(target, target_id, target_text, buckets, ngram), buckets))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    rows = stored(products(matrix, gain).withColumn("score", (F.col("weight") + noise).cast("long")), "weights")
+    with small_batches(docs.sparkSession):
+        rows = stored(products(matrix, gain).withColumn("score", (F.col("weight") + noise).cast("long")), "weights")
     able = F.col("n_words") >= least_words
     drawn = percent * rows.where(able).count() // 100
     best = ranked(rows.where(able), F.desc("score"), F.asc_nulls_last("id"), "n_features", "weight").withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))

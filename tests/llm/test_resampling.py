@@ -53,7 +53,7 @@ def test_ranks_over_many_parts(spark):
 def test_matrix_is_in_blocks(spark):
     docs = spark.createDataFrame([(i, "a b b " * (i % 3)) for i in range(300)], "doc_id long, text string").repartition(1)
     matrix = resampling.count_matrix(docs).collect()
-    assert len(matrix) == 3 and sum(len(r["ids"]) for r in matrix) == 300
+    assert len(matrix) == 5 and sum(len(r["ids"]) for r in matrix) == 300
     for r in matrix:
         assert len(r["indptr"]) == len(r["ids"]) + 1 and r["indptr"][-1] == len(r["indices"]) == len(r["counts"])
 
