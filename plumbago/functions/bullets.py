@@ -120,6 +120,10 @@ EXPLANATORY_VERBS = (
     "is", "are", "was", "were", "means", "refers", "defined", "represents", "allows", "enables", "provides", "performs", "stores", "converts", "checks", "manages", "handles", "generates", "produces", "detects",
     "implements", "uses", "supports", "ensures", "follows", "operates", "consists", "contains", "includes", "traverses", "processes", "returns", "removes", "inserts", "adds", "deletes", "retrieves", "calculates",
 )
+WHOLE_PLACEHOLDERS = (
+    "components and structure", "components & structure", "key points", "applications", "database", "storage", "multiple", "components", "structure", "overview", "introduction", "summary", "conclusion",
+    "misc", "general", "content", "other", "additional concepts", "visual representation", "figure", "diagram", "front end system", "necessary information",
+)
 PLACEHOLDER_HEADINGS = ("storage", "database", "multiple", "physical", "logical", "schema", "privileges", "components")
 HEADING_STOPS = ("the", "a", "an", "of", "in", "on", "at", "by", "to", "for", "is", "are", "was", "and", "or", "with")
 TEMPLATE_HEADING = r"^(components\s+(?:and|&)\s+structure|key\s+points|contextual\s+relationships?|concept\s+relationships?|applications?\s+and\s+examples?|properties?\s+and\s+usage)\s*[—\-–]\s*"
@@ -368,10 +372,10 @@ def is_fused_label(label: Column) -> Column:
 
 
 def is_placeholder_heading(heading: Column) -> Column:
-    """A template's heading, or one generic word besides stop words."""
+    """A known placeholder, a template's heading, or one generic word besides stop words."""
     h = F.lower(stripped(heading))
     left = F.filter(words(h), lambda w: ~_among(w, HEADING_STOPS))
-    return stripped(heading).rlike("(?i)" + TEMPLATE_HEADING) | ((F.size(left) == 1) & F.coalesce(_among(F.get(left, F.lit(0)), PLACEHOLDER_HEADINGS), F.lit(False)))
+    return _among(h, WHOLE_PLACEHOLDERS) | stripped(heading).rlike("(?i)" + TEMPLATE_HEADING) | ((F.size(left) == 1) & F.coalesce(_among(F.get(left, F.lit(0)), PLACEHOLDER_HEADINGS), F.lit(False)))
 
 
 def is_generic_heading(heading: Column) -> Column:

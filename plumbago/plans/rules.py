@@ -155,7 +155,7 @@ _FUSED = r"regexp_extract(t, '^(.{{4,50}})\s+[Aa]nd\s+(.{{4,50}})$', {})"
 @query(rf"""WITH {_B}, f AS (SELECT *, trim({_FUSED.format(1)}) AS a, trim({_FUSED.format(2)}) AS z, list_filter(string_split_regex(l, '\s+'), lambda x: x <> '' AND NOT list_contains({_list(B.HEADING_STOPS)}, x)) AS c,
 list_filter(regexp_extract_all(l, '[a-z]+'), lambda x: length(x) > 2) AS g FROM w)
 SELECT bullet_id, length(a) >= 4 AND length(z) >= 4 AND (list_contains({_list(T.CATEGORY_TAGS)}, lower(z)) OR len(list_intersect({_content("lower(a)", "the a an of in and or for to with".split())}, {_content("lower(z)", "the a an of in and or for to with".split())})) = 0) AS fused,
-{_m(B.TEMPLATE_HEADING)} OR (len(c) = 1 AND coalesce(list_contains({_list(B.PLACEHOLDER_HEADINGS)}, c[1]), false)) AS placeholder,
+l IN ('components and structure', 'components & structure', 'key points', 'applications', 'database', 'storage', 'multiple', 'components', 'structure', 'overview', 'introduction', 'summary', 'conclusion', 'misc', 'general', 'content', 'other', 'additional concepts', 'visual representation', 'figure', 'diagram', 'front end system', 'necessary information') OR {_m(B.TEMPLATE_HEADING)} OR (len(c) = 1 AND coalesce(list_contains({_list(B.PLACEHOLDER_HEADINGS)}, c[1]), false)) AS placeholder,
 list_contains({_list(B.GENERIC_HEADINGS)}, l) OR starts_with(l, '(') OR (len(g) > 0 AND len(list_filter(g, lambda x: NOT list_contains({_list(B.GENERIC_TOKENS)}, x))) = 0) AS generic,
 list_contains({_list(B.MALFORMED_HEADINGS)}, rtrim(l, '.')) OR (len(w) = 1 AND NOT list_contains({_list(B.SINGLE_WORD_HEADINGS)}, rtrim(l, '.'))) AS malformed,
 {_m(B.TAKEAWAYS)} AS takeaways, {_m(B.COURSE_WORDS)} OR (bullet_id % 7 <= 3 AND {_m(*B.COURSE_FRAMES)}) AS course, {_m(B.LABEL_ARTICLE)} OR {_m(B.LABEL_CLAUSE)} OR len(w) > 7 AS label_fragment,
