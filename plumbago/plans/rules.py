@@ -1,12 +1,13 @@
 """Registered queries of the rules for bullets, headings and recognised text, and their SQL.
 
-Their input puts each nation's name into each of PHRASES, so that every rule meets texts that break it and texts that
-don't; the steps of notes run over conversations with these as points.
+Their input is every line of documents; the steps of notes run over documents as sections. The tests run them over a
+small table of phrases too, in which every rule meets texts that break it and texts that don't.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbago.functions import bullets as B
@@ -17,35 +18,34 @@ from plumbago.operators import notes
 from plumbago.plans.registry import _GARBAGE, _t, query
 
 #: {x}: a nation's name; {n}: the same in lower case.
-PHRASES = (
-    "{x} is a type of {x}.", "{x} contains {x}", "{x} is a {x} of the kind that is known.", "{x} is handled by {x} Handler.", "{x}: Linear Data Structure exemplified by {x}.", "{x}: Operations on Stack is a {x}",
-    "{x} is a key concept within {x}", "{x} covers what was discussed in the last session.", "We will cover {x} later in detail.", "It used {x} for storage, and they stored it.", "{x} Analysis generates tokens of the input.",
-    "Analysis generates {x} for each of the inputs", "Afor example {x} is the one that counts here", "Unit 4: {x} and what it is made of", "{x} categorizes several kinds of trade goods", "Top {n} parsers: a type of parser",
-    "{x} encompasses several key components, as trade", "previously observed, {x} has ports and ships", "A stack is an abstract data type (ADT) of {x}", "perations of {x} are many", "A is a {x}", "p {x} is",
-    "{x} and Subject", "{x} Trade and Returns", "{x} provides goods that are stored in ports by traders of the region.", "{x}", "{x} key points", "Key Takeaway of {x}", "Introduction to {x}", "Course on {x}", "Overview", "12) {x}",
-    "BT {x} 0.000 g 59.53 735.83 Td ET", "{x} 4c7p1xz data", "{x} %%%%&&&&!!!!", "101 {x} 102 Robin 103 Alya 104 Yusuf 105", "Student ID {x} 10 20 30 40 50 60", "and {x} is bigger", "Of {x}", "of {x} there are many ports",
-    "Each {x} has", "2 lists of {x}", "the {x} port", "a picture of {x} with ships", "{x} IS THE BIG one of GREAT PORTS", "{x} exam pattern of the year", "tutorial by {x}", "8itmap bnode {x}", "aaaaa {x} bbbbb", "ships Xyz {x}",
-    "(Data {x}", "definition", "components", "inserted", "Components and Structure", "{x} ? Chapter", "{x} ? Stack of goods", "don?t ask {x}?s port ?", "{x} involves Ports: Ports:a port.", "{x} stores goods during its operation.",
-    "{x} holds goods - Introduced in a previous session: goods.", "{x} is an Port and is an apple", "Because {x} isn't big, it's twenty one ports; two hundred ships.", "“{x}” – → ports ??", "welcome to this lecture on {x}, thanks for watching", "------", "x", "The {x} trades goods for its people, and it is known for them.",
-    "which {x} has many ports in it", "such {x} is one", "{x} + 2 = 3", "0.5 * y / 3", "{x} are controlled by {x} Manager", "{x} is managed by Traders", "What is {x} ?", "ports by. {x} of.", "{x} trades goods by.",
-    "subscribe to the channel of {x} now", "welcome back to {x} and its ports", "int main of {x} is code", "{x} is defined as a region that means trade", "a {x} represents ports and ships",
-)
+#: Characters of the lines that both engines' classes of letters, words and their borders treat alike; others become x.
+_LIKE_ASCII = r"[^\x20-\x7E“”–—→’]"
+
+
+def _plain_text(text):
+    """A text as the rules see it: no accents, white space as single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(T.without_accents(F.regexp_replace(text, r"[ \t\r\n\x0b\f]+", " ")), _LIKE_ASCII, "x"), " +", " "))
 
 
 def _bullets(spark, sf) -> DataFrame:
-    """(bullet_id, t): every nation in every phrase."""
-    phrases = F.posexplode(F.array(*map(F.lit, PHRASES))).alias("k", "p")
-    rows = _t(spark, sf, "nation").select("n_nationkey", "n_name", phrases)
-    return rows.select((F.col("n_nationkey").cast("long") * 1000 + F.col("k")).alias("bullet_id"), F.replace(F.replace("p", F.lit("{x}"), F.col("n_name")), F.lit("{n}"), F.lower("n_name")).alias("t"))
+    """(bullet_id, t): every line of every document that isn't blank, a million numbers for a document."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line")
+    rows = _t(spark, sf, "documents").select("doc_id", lines)
+    return rows.select((F.col("doc_id").cast("long") * 1_000_000 + F.col("k")).alias("bullet_id"), _plain_text(F.col("line")).alias("t")).where("t <> ''")
 
 
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_B = f"""b AS (SELECT n_nationkey::BIGINT * 1000 + k AS bullet_id, replace(replace(p, '{{x}}', n_name), '{{n}}', lower(n_name)) AS t FROM nation,
-(VALUES {", ".join(f"({k}, {_q(p)})" for k, p in enumerate(PHRASES))}) AS v(k, p)),
-w AS (SELECT *, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS w, lower(t) AS l, rtrim(t, '.') AS u FROM b)"""
+def _plain_sql(text: str) -> str:
+    bare = f"regexp_replace(translate(regexp_replace({text}, '[ \\t\\r\\n\\x0b\\f]+', ' ', 'g'), '{T.ACCENTED}', '{T.BARE}'), '\\p{{Mn}}+', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({bare}, {_q(_LIKE_ASCII)}, 'x', 'g'), ' +', ' ', 'g'))"
+
+
+_B = f"""line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+b AS (SELECT * FROM (SELECT doc_id::BIGINT * 1000000 + k AS bullet_id, {_plain_sql("line")} AS t FROM line) WHERE t <> ''),
+w AS MATERIALIZED (SELECT *, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS w, lower(t) AS l, rtrim(t, '.') AS u FROM b)"""
 
 
 def _m(*patterns: str, of: str = "t", case: bool = False) -> str:
@@ -71,7 +71,9 @@ def _same(pattern: str, test: str, of: str = "u") -> str:
 _LONG = "len(list_filter(w, lambda x: length(x) >= 2))"
 _LOW = "(w[1] = lower(w[1]) AND w[1] <> upper(w[1]))"
 _VERBS = f"(len(list_filter({_list(B.EXPLANATORY_VERBS)}, lambda v: contains(' ' || l || ' ', ' ' || v || ' '))) > 0)"
-_MIXED = r"len(list_filter(regexp_extract_all(t, '\b[a-zA-Z0-9]{4,}\b'), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-zA-Z]') AND NOT regexp_matches(x, '[aeiouAEIOU]') AND NOT regexp_matches(x, '^[vV][0-9]+$')))"
+_VOWELS = "length(regexp_replace(x, '[^aeiouAEIOU]', '', 'g'))"
+_TURNS = "length(regexp_replace(regexp_replace(x, '[0-9]+', '#', 'g'), '[a-zA-Z]+', 'x', 'g')) - 1"
+_MIXED = rf"len(list_filter(regexp_extract_all(t, '\b[a-zA-Z0-9]{{4,}}\b'), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-zA-Z]') AND NOT regexp_matches(x, '^[vV][0-9]+$') AND ({_VOWELS} = 0 OR (length(x) >= 5 AND {_VOWELS} < 0.15 * length(x) AND {_TURNS} >= 3))))"
 
 
 def _content(of: str, stops) -> str:
@@ -177,7 +179,8 @@ def _chain(of: str, pairs) -> str:
 _COLLAPSED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _SUFFIXED = _COLLAPSED.format(_chain("t", [(p, "") for p in R.EDGE_SUFFIXES]))
 _CASES = "CASE l " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in R.HEADINGS.items()) + " ELSE t END"
-_SYMBOLS = [p for p in R.OCR_SYMBOLS if r"\1" not in p[0] and "\\x00" not in p[0]]
+#: RE2 knows no references to groups (they are written out as _RUNS) and reads the controls' class by its code points.
+_SYMBOLS = [(r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{AD}]", p[1]) if "\\x00" in p[0] else p for p in R.OCR_SYMBOLS if r"\1" not in p[0]]
 _RUNS = [(c + "{3,}", "") for c in (r"\.", "-", "_", "=", r"\*", "#", "@")]
 _PLAIN = _COLLAPSED.format(_chain("t", _SYMBOLS + _RUNS))
 
@@ -203,33 +206,30 @@ _CONTRACTED = "array_to_string(list_transform(w, lambda x: CASE regexp_replace(l
 h AS (SELECT *, trim(regexp_extract(q, '^(.+?)\s+\?\s+(.+)$', 1)) AS a, trim(regexp_extract(q, '^(.+?)\s+\?\s+(.+)$', 2)) AS z FROM q),
 j AS (SELECT *, CASE WHEN a = '' THEN q WHEN list_contains({_list(T.CATEGORY_TAGS)}, lower(regexp_extract(z, '(\S+)$', 1))) THEN a ELSE a || ' ' || z END AS j FROM h)
 SELECT bullet_id, {_CONTRACTED} AS contractions, CASE WHEN contains(t, '?') THEN trim(regexp_replace(replace(regexp_replace(j, '\s\?\s|\s\?$|^\?\s', ' ', 'g'), '?', ''), '\s+', ' ', 'g')) ELSE t END AS heading,
-round(CASE WHEN len(w) < 6 THEN 0.3::DOUBLE WHEN len(w) < 10 THEN 0.6 WHEN len(w) < 25 THEN 1.0 WHEN len(w) < 35 THEN 0.8 ELSE 0.6 END + CASE WHEN {_holds(Q.DEFINING, "l")} THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(l, '^(it|this|that|there|here) ') THEN 0.15 ELSE 0 END, 6) AS plain_score FROM j""")
+round(CASE WHEN len(w) < 6 THEN 0.3::DOUBLE WHEN len(w) < 10 THEN 0.6 WHEN len(w) < 25 THEN 1.0 WHEN len(w) < 35 THEN 0.8 ELSE 0.6 END + CASE WHEN {_holds(Q.DEFINING, "l")} THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(l, '^(it|this|that|there|here) ') THEN 0.15 ELSE 0 END
+ + least(0.3::DOUBLE, 0.1 * len(regexp_extract_all(regexp_replace(substr(t, 2), '\. [A-Z]', '. #', 'g'), '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*'))), 6) AS score FROM j""")
 def rewritten_bullets(spark, sf):
     t = F.col("t")
-    terms = F.size(F.regexp_extract_all(F.substring(t, F.lit(2), F.length(t)), F.lit(r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"), 0))
-    return _bullets(spark, sf).select("bullet_id", T.expand_contractions(t).alias("contractions"), T.heading_question_marks(t).alias("heading"), F.round(Q.informative_score(t) - F.least(terms * 0.1, F.lit(0.3)), 6).alias("plain_score"))
+    return _bullets(spark, sf).select("bullet_id", T.expand_contractions(t).alias("contractions"), T.heading_question_marks(t).alias("heading"), F.round(Q.informative_score(t), 6).alias("score"))
 
 
 # -- steps of notes -------------------------------------------------------------------------------------------------------
 
-SECTIONS = ("{x} Ports", "Course on {x}", "Introduction to {x}", "Overview", "key points", "Definition ? [{x}] Ports")
-SUBSECTIONS = ("Key Concepts", "Key Takeaways", "Process Flow", "{x}")
+HEADING_CHARS = 60
 
 
 def _points_of_rules(spark, sf) -> DataFrame:
-    """Notes of a region: a nation's section holds the phrases by tens; two kinds of section hold the first three only."""
-    names = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), "n_regionkey", "n_name")
-    rows = _bullets(spark, sf).withColumn("key", F.expr("bullet_id div 1000")).withColumn("k", (F.col("bullet_id") % 1000).cast("int")).join(names, "key").where("not (key % 6 = 2 and k >= 3) and not (key % 6 = 3 and k >= 2)")
-    pick = lambda values, i: F.replace(F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int")), F.lit("{x}"), F.col("n_name"))
-    return rows.select(
-        F.col("n_regionkey").alias("notes_id"), F.lit("Notes").alias("title"), F.col("key").cast("int").alias("sec_pos"), pick(SECTIONS, F.col("key") % 6).alias("sec_heading"), F.expr("k div 10").cast("int").alias("sub_pos"),
-        pick(SUBSECTIONS, F.expr("(k div 10) % 4")).alias("sub_heading"), (F.col("k") % 10).alias("pt_pos"), F.col("t").alias("text"),
-    )
-
-
-_PICK = lambda values, i: "replace(" + _list(values) + f"[{i} + 1], '{{x}}', n_name)"
-_P = f"""{_B}, p AS (SELECT n_regionkey AS notes_id, n_nationkey AS sec_pos, {_PICK(SECTIONS, "(n_nationkey % 6)::INT")} AS sec_heading, bullet_id % 1000 // 10 AS sub_pos, {_PICK(SUBSECTIONS, "(bullet_id % 1000 // 10 % 4)::INT")} AS sub_heading,
- bullet_id % 10 AS pt_pos, t AS text, w.* EXCLUDE (bullet_id) FROM w JOIN nation ON n_nationkey = bullet_id // 1000 WHERE NOT (n_nationkey % 6 = 2 AND bullet_id % 1000 >= 3) AND NOT (n_nationkey % 6 = 3 AND bullet_id % 1000 >= 2))"""
+    """Notes of ten documents each: a document is a section under its first line, ten of its lines a subsection under
+    the first of them, cut to HEADING_CHARS; the other lines are points."""
+    rows = _bullets(spark, sf).select(F.expr("bullet_id div 1000000").alias("key"), (F.col("bullet_id") % 1_000_000).cast("int").alias("k"), F.col("t").alias("text")).withColumn("sub", F.expr("cast(k div 10 as int)"))
+    section, block = W.partitionBy("key").orderBy("k"), W.partitionBy("key", "sub").orderBy("k")
+    rows = rows.select("*", F.substring(F.first("text").over(section), 1, HEADING_CHARS).alias("sec_heading"), F.substring(F.first("text").over(block), 1, HEADING_CHARS).alias("sub_heading"), F.row_number().over(block).alias("turn"))
+    return rows.where("turn > 1").select(F.expr("key div 10").alias("notes_id"), F.lit("Notes").alias("title"), F.col("key").cast("int").alias("sec_pos"), "sec_heading", F.col("sub").alias("sub_pos"), "sub_heading", (F.col("k") % 10).alias("pt_pos"), "text")
+
+
+_P = f"""{_B}, lined AS (SELECT *, bullet_id // 1000000 AS key, bullet_id % 1000000 AS k FROM w),
+p AS MATERIALIZED (SELECT key // 10 AS notes_id, key AS sec_pos, substr(first_value(t) OVER (PARTITION BY key ORDER BY k), 1, {HEADING_CHARS}) AS sec_heading, k // 10 AS sub_pos, substr(first_value(t) OVER s, 1, {HEADING_CHARS}) AS sub_heading, k % 10 AS pt_pos, t AS text, t, w, l, u
+ FROM lined WINDOW s AS (PARTITION BY key, k // 10 ORDER BY k) QUALIFY row_number() OVER s > 1)"""
 _EXAMPLE = rf"trim(regexp_replace(regexp_extract(u, '^[^:]{{1,40}}:\s*(.{{4,}})', 1), '\s*\b(?:exemplified by|as an example of|is an example of|such as)\s+.+$', '', 'gi'))"
 _REWRITTEN = rf"CASE WHEN NOT {_CIRCULAR} THEN t WHEN contains(u, ':') AND len(string_split_regex({_EXAMPLE}, '\s+')) >= 2 THEN trim(regexp_extract(u, '^([^:]{{1,40}}):', 1)) || ': a type of ' || {_EXAMPLE} || '.' END"
 _ENDED = f"CASE WHEN {_SUFFIXED} = '' OR regexp_matches({_SUFFIXED}, '[.!?]$') THEN {_SUFFIXED} ELSE {_SUFFIXED} || '.' END"

@@ -1,6 +1,7 @@
 """Registered queries of alignment, narrative order, topics, likeness and kinds, and their SQL.
 
-Sentences are the phrases of the rules, one text a nation; its references and concepts are the phrases below.
+Sentences are the lines of a document; its references are the sentences of an item of benchmark, whose first words are
+its concepts.
 """
 
 from __future__ import annotations
@@ -16,37 +17,31 @@ from plumbago.operators import alignment as A
 from plumbago.operators import narrative as N
 from plumbago.operators import notes
 from plumbago.plans.registry import _G, _edges, _nodes, _t, query
-from plumbago.plans.rules import _B, _P, _bullets, _holds, _list, _m, _points_of_rules, _q
-
-REFERENCES = (
-    "{x} is responsible for trade in goods.", "{x} handles ships of the region, and it performs checks.", "The {x} trades goods for its people, and it is known for them.", "Nothing of this is said at all here.",
-    "Steel mills of {x} means that iron is made.", "{x} converts iron ore into steel.", "A {x} contains ports that are known as Sea Ports, or HUB-like ports.",
-)
-CONCEPTS = ("{x}", "trade goods", "steel mills", "data type", "Handler of {x}", "quantum leap")
-
+from plumbago.plans.rules import _B, _P, _bullets, _holds, _list, _m, _plain_sql, _plain_text, _points_of_rules, _q
 
 def _sentences(spark, sf) -> DataFrame:
-    return _bullets(spark, sf).select(F.expr("bullet_id div 1000").alias("key"), (F.col("bullet_id") % 1000).cast("int").alias("pos"), F.col("t").alias("sentence"))
-
-
-def _filled(spark, sf, values, name: str) -> DataFrame:
-    rows = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), "n_name", F.posexplode(F.array(*map(F.lit, values))).alias("pos", "p"))
-    return rows.select("key", "pos", F.replace("p", F.lit("{x}"), F.col("n_name")).alias(name))
+    return _bullets(spark, sf).select(F.expr("bullet_id div 1000000").alias("key"), (F.col("bullet_id") % 1_000_000).cast("int").alias("pos"), F.col("t").alias("sentence"))
 
 
 def _references(spark, sf) -> DataFrame:
-    return _filled(spark, sf, REFERENCES, "sentence")
+    """(key, pos, sentence): the sentences of each document's item of benchmark, the one at the document's number."""
+    items = _t(spark, sf, "benchmark")
+    told = F.split(F.regexp_replace(_plain_text(F.coalesce("text", F.lit(""))), r"([.!?]) +", "$1\u0001"), "\u0001")
+    sentences = items.select("item_id", F.posexplode(told).alias("pos", "sentence")).where("sentence <> ''")
+    docs = _t(spark, sf, "documents").crossJoin(F.broadcast(items.agg(F.count("*").alias("n")))).select(F.col("doc_id").cast("long").alias("key"), F.pmod("doc_id", "n").alias("item_id"))
+    return docs.join(sentences, "item_id").select("key", "pos", "sentence")
 
 
 def _concepts(spark, sf) -> DataFrame:
-    return _filled(spark, sf, CONCEPTS, "concept").select("key", "concept")
-
-
-def _values(name: str, column: str, values) -> str:
-    return f"{name} AS (SELECT n_nationkey::BIGINT AS key, k AS pos, replace(p, '{{x}}', n_name) AS {column} FROM nation, (VALUES {', '.join(f'({k}, {_q(v)})' for k, v in enumerate(values))}) AS v(k, p))"
+    """(key, pos, concept): the first two words of each reference sentence."""
+    words = F.slice(F.split("sentence", " "), 1, 2)
+    return _references(spark, sf).select("key", "pos", F.regexp_replace(F.array_join(words, " "), r"[^A-Za-z0-9 ]", "").alias("concept")).where("concept <> ''")
 
 
-_S = f"{_B}, s AS (SELECT bullet_id // 1000 AS key, (bullet_id % 1000)::INT AS pos, t AS sentence, w, l FROM w), {_values('r', 'sentence', REFERENCES)}, {_values('c', 'concept', CONCEPTS)}"
+_S = f"""{_B}, s AS MATERIALIZED (SELECT bullet_id // 1000000 AS key, (bullet_id % 1000000)::INT AS pos, t AS sentence, w, l FROM w),
+told AS (SELECT item_id, string_split(regexp_replace({_plain_sql("coalesce(text, '')")}, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS a FROM benchmark),
+r AS MATERIALIZED (SELECT doc_id::BIGINT AS key, pos, sentence FROM documents JOIN (SELECT item_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM told) ON item_id = doc_id % (SELECT count(*) FROM benchmark) WHERE sentence <> ''),
+c AS MATERIALIZED (SELECT * FROM (SELECT key, pos, regexp_replace(array_to_string(string_split(sentence, ' ')[1:2], ' '), '[^A-Za-z0-9 ]', '', 'g') AS concept FROM r) WHERE concept <> '')"""
 _W = "list_distinct(regexp_extract_all(lower({}), '\\b[a-z]+\\b'))"
 
 
@@ -59,23 +54,22 @@ _LIKE = _over(_W.format("s.sentence"), _W.format("r.sentence"))
 _CATEGORY = "CASE " + " ".join(f"WHEN {_holds(cues, 'lower({t})')} THEN {_q(name)}" for name, cues in A.STRUCTURE.items()) + " ELSE {d} END"
 
 
-@query(f"WITH {_S} SELECT s.key, s.pos, round(max({_LIKE}), 6) AS best FROM s JOIN r USING (key) GROUP BY s.key, s.pos")
+@query(f"WITH {_S} SELECT s.key, s.pos, round(coalesce(max({_LIKE}), 0), 6) AS best FROM s LEFT JOIN r ON r.key = s.key GROUP BY s.key, s.pos")
 def sentence_best_likeness(spark, sf):
     return A.best_likeness(_sentences(spark, sf), _references(spark, sf)).select("key", "pos", F.round("best", 6).alias("best"))
 
 
-@query(f"""WITH {_S}, m AS (SELECT s.key, s.pos, max({_LIKE}) >= 0.4 AS good FROM s JOIN r USING (key) GROUP BY s.key, s.pos),
+@query(f"""WITH {_S}, m AS (SELECT s.key, s.pos, max({_LIKE}) >= 0.4 OR max(r.key) IS NULL AS good FROM s LEFT JOIN r ON r.key = s.key GROUP BY s.key, s.pos),
 n AS (SELECT *, count(*) FILTER (good) OVER e AS n, count(*) OVER e AS a, row_number() OVER (PARTITION BY key ORDER BY pos) AS k FROM m WINDOW e AS (PARTITION BY key)) SELECT key, pos FROM n WHERE CASE WHEN n < 3 AND a >= 3 THEN k <= 5 ELSE good END""")
 def sentences_precise(spark, sf):
     return A.precise(_sentences(spark, sf), _references(spark, sf)).select("key", "pos")
 
 
-@query(f"""WITH {_S}, p AS (SELECT key, pos, {_W.format("sentence")} AS a, list_distinct(list_filter(string_split_regex(lower(concept), '\\s+'), lambda x: x <> '')) AS b, contains(l, lower(concept)) AS whole FROM s JOIN c USING (key, pos) WHERE false
- UNION ALL SELECT s.key, s.pos, {_W.format("s.sentence")}, list_distinct(list_filter(string_split_regex(lower(concept), '\\s+'), lambda x: x <> '')), contains(s.l, lower(concept)) FROM s JOIN c ON c.key = s.key AND c.concept NOT LIKE 'NATION%')
-SELECT DISTINCT key, pos FROM p WHERE whole OR (len(list_intersect(a, b)) > 0 AND len(list_intersect(a, b)) >= 0.5 * len(b))""")
+@query(f"""WITH {_S}, p AS (SELECT s.key, s.pos, {_W.format("s.sentence")} AS a, list_distinct(list_filter(string_split_regex(lower(concept), '\\s+'), lambda x: x <> '')) AS b, contains(s.l, lower(concept)) AS whole FROM s LEFT JOIN c ON c.key = s.key),
+g AS (SELECT key, pos, bool_or(whole IS NULL OR whole OR (len(list_intersect(a, b)) > 0 AND len(list_intersect(a, b)) >= 0.5 * len(b))) AS good FROM p GROUP BY key, pos),
+n AS (SELECT *, count(*) FILTER (good) OVER e AS n, count(*) OVER e AS a, row_number() OVER (PARTITION BY key ORDER BY pos) AS k FROM g WINDOW e AS (PARTITION BY key)) SELECT key, pos FROM n WHERE CASE WHEN n < 3 AND a >= 3 THEN k <= 5 ELSE good END""")
 def sentences_relevant(spark, sf):
-    concepts = _concepts(spark, sf).where("concept not like 'NATION%'")
-    return A.relevant(_sentences(spark, sf), concepts).select("key", "pos")
+    return A.relevant(_sentences(spark, sf), _concepts(spark, sf)).select("key", "pos")
 
 
 @query(f"""WITH {_S}, h AS (SELECT r.key, r.pos, r.sentence FROM r JOIN c USING (key) WHERE contains(lower(r.sentence), lower(concept)) GROUP BY ALL)
@@ -105,7 +99,7 @@ def covered_concepts(spark, sf):
     return A.covered(_sentences(spark, sf), _concepts(spark, sf))
 
 
-@query(f"""WITH {_S}, {_WHOLE}, m AS (SELECT key, concept FROM c JOIN whole USING (key) WHERE NOT contains(text, lower(concept)) AND len(list_filter(string_split_regex(lower(concept), '\\s+'), lambda x: length(x) > 3 AND contains(text, x))) = 0)
+@query(f"""WITH {_S}, {_WHOLE}, m AS (SELECT key, concept FROM (SELECT c.key, concept, coalesce(text, '') AS text FROM c LEFT JOIN whole USING (key)) WHERE NOT contains(text, lower(concept)) AND len(list_filter(string_split_regex(lower(concept), '\\s+'), lambda x: length(x) > 3 AND contains(text, x))) = 0)
 SELECT key, concept, replace(CASE {_CATEGORY.format(t="concept", d="'default'")} {" ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in A.COVERAGE.items())} ELSE {_q(A.COVERAGE["default"])} END, '{{concept}}',
  array_to_string(list_transform(string_split(lower(concept), ' '), lambda x: upper(x[1]) || x[2:]), ' ')) AS sentence FROM m""")
 def coverage_sentences(spark, sf):
@@ -135,7 +129,7 @@ def sentences_with_transitions(spark, sf):
     return N.with_transitions(N.restructured(_sentences(spark, sf))).select("key", "place", "sentence")
 
 
-_TOPIC = "CASE " + " ".join(f"WHEN {_holds(cues, 'l')} THEN {_q(name)}" for name, cues in N.TOPICS.items()) + " ELSE 'other' END"
+_TOPIC = "CASE WHEN count(*) OVER (PARTITION BY key) <= 2 THEN 'main' " + " ".join(f"WHEN {_holds(cues, 'l')} THEN {_q(name)}" for name, cues in N.TOPICS.items()) + " ELSE 'other' END"
 _NAMED = "CASE " + " ".join(f"WHEN {_holds(cues, 'l')} THEN {_q(name)}" for name, cues in N.TOPIC_NAMES.items()) + " ELSE 'Topic_' || pos END"
 
 
@@ -250,8 +244,8 @@ def name_slugs(spark, sf):
 
 
 _GAIN = " + ".join(f"CASE WHEN {test} THEN {by}::DOUBLE ELSE 0 END" for test, by in (
-    ("contains(l, ' is ') OR contains(l, ' are ')", 0.35), ("contains(l, 'defined as') OR contains(l, 'refers to')", 0.3), ("contains(l, 'means') OR contains(l, 'represents')", 0.25), ("contains(l, 'nation_' || key)", 0.3),
-    ("len(w) BETWEEN 5 AND 50", 0.2), ("starts_with(l, 'nation_' || key) OR starts_with(l, 'a nation_' || key) OR starts_with(l, 'the nation_' || key)", 0.2),
+    ("contains(l, ' is ') OR contains(l, ' are ')", 0.35), ("contains(l, 'defined as') OR contains(l, 'refers to')", 0.3), ("contains(l, 'means') OR contains(l, 'represents')", 0.25), ("contains(l, 'item ' || key % 7)", 0.3),
+    ("len(w) BETWEEN 5 AND 50", 0.2), ("starts_with(l, 'item ' || key % 7) OR starts_with(l, 'a item ' || key % 7) OR starts_with(l, 'the item ' || key % 7)", 0.2),
 ))
 _ALPHA = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))::DOUBLE / greatest(length({0}), 1)"
 
@@ -261,7 +255,7 @@ _ALPHA = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))::DOUBLE / greatest
 {_m(*Q.PROMOTION, of="l", case=True)} OR (len(w) < 15 AND {_m(*Q.AROUND, of="l", case=True)}) AS promotional, CAST(least(10, {", ".join(f"CASE WHEN contains(l, {_q(c)}) THEN {p} ELSE 10 END" for c, p in N.PRIORITIES.items())}) AS INT) AS priority FROM s""")
 def sentence_scores(spark, sf):
     t = F.col("sentence")
-    topic = F.concat(F.lit("NATION_"), F.col("key").cast("string"))
+    topic = F.concat(F.lit("Item "), (F.col("key") % 7).cast("string"))
     return _sentences(spark, sf).select("key", "pos", F.round(Q.definition_confidence(t, topic), 6).alias("confidence"), Q.is_summary_line(t).alias("summary_line"), Q.is_promotional(t).alias("promotional"), N.sentence_priority(t).alias("priority"))
 
 
@@ -281,7 +275,7 @@ SELECT key, pos, c AS label, CASE WHEN contains(l, c) OR contains(c, l) THEN 3 W
  WHEN len(list_filter(texts, lambda x: contains(lower(x), c))) > 0 THEN 1 ELSE 0 END AS score FROM z""")
 def section_match_scores(spark, sf):
     texts = _references(spark, sf).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("texts"))
-    labels = _filled(spark, sf, CONCEPTS, "concept").where("pos in (1, 2, 4)").select("key", F.lower("concept").alias("label"))
+    labels = _concepts(spark, sf).where("pos in (1, 2, 4)").select("key", F.lower("concept").alias("label"))
     return _sentences(spark, sf).join(texts, "key").join(labels, "key").select("key", "pos", "label", N.match_score(F.col("label"), F.col("sentence"), F.slice("texts", 1, 1), F.col("texts")).alias("score"))
 
 
@@ -385,12 +379,12 @@ def _lowered(df: DataFrame) -> DataFrame:
     return df.select("notes_id", "sec_heading", F.lower("sub_heading").alias("sub_heading"), "text")
 
 
-@query(f"WITH {_P}, {_HEADS.format(words=_set('sec_heading', S.TOPIC_STOPS, True))}, {_first_wins('hd', f'{_SHARED} > 0 AND ({_SHARED} >= 0.5 * (len(x.ws) + len(y.ws) - {_SHARED}) OR {_SHARED} = least(len(x.ws), len(y.ws)))', 5)}, {_MOVED}")
+@query(f"WITH {_P}, {_HEADS.format(words=_set('sec_heading', S.TOPIC_STOPS, True))}, {_first_wins('hd', f'{_SHARED} > 0 AND ({_SHARED} >= 0.5 * (len(x.ws) + len(y.ws) - {_SHARED}) OR {_SHARED} = least(len(x.ws), len(y.ws)))', 12)}, {_MOVED}")
 def notes_merged_topics(spark, sf):
     return _lowered(notes.merged_topics(_points_of_rules(spark, sf)))
 
 
-@query(f"WITH {_P}, {_HEADS.format(words=_LETTERS.format('sec_heading'))}, {_first_wins('hd', f'{_SHARED} > 0 AND {_SHARED} >= 0.65 * greatest(len(x.ws), len(y.ws))', 5)}, {_MOVED}")
+@query(f"WITH {_P}, {_HEADS.format(words=_LETTERS.format('sec_heading'))}, {_first_wins('hd', f'{_SHARED} > 0 AND {_SHARED} >= 0.65 * greatest(len(x.ws), len(y.ws))', 12)}, {_MOVED}")
 def notes_merged_headings(spark, sf):
     return _lowered(notes.merged_headings(_points_of_rules(spark, sf)))
 
@@ -398,7 +392,7 @@ def notes_merged_headings(spark, sf):
 _SUBS = f"hd AS (SELECT notes_id * 1000 + sec_pos AS grp, notes_id, sec_pos, sub_pos, sub_heading AS heading, row_number() OVER (PARTITION BY notes_id, sec_pos ORDER BY sub_pos) AS i, {_set('sub_heading', S.SUBSECTION_STOPS, True)} AS ws FROM (SELECT DISTINCT notes_id, sec_pos, sub_pos, sub_heading FROM p))"
 
 
-@query(f"""WITH {_P}, {_SUBS}, {_first_wins('hd', f'{_SHARED} > 0 AND {_SHARED} >= 0.55 * greatest(len(x.ws), len(y.ws))', 9)}, mv AS (SELECT p.*, owner FROM p JOIN ow USING (notes_id, sec_pos, sub_pos)),
+@query(f"""WITH {_P}, {_SUBS}, {_first_wins('hd', f'{_SHARED} > 0 AND {_SHARED} >= 0.55 * greatest(len(x.ws), len(y.ws))', 12)}, mv AS (SELECT p.*, owner FROM p JOIN ow USING (notes_id, sec_pos, sub_pos)),
 nm AS (SELECT notes_id, sec_pos, owner, arg_min(sub_heading, length(sub_heading) * 1000 + sub_pos) AS h FROM mv GROUP BY ALL)
 SELECT notes_id, sec_heading, h AS sub_heading, text FROM mv JOIN nm USING (notes_id, sec_pos, owner) QUALIFY row_number() OVER (PARTITION BY notes_id, sec_pos, owner, lower(text) ORDER BY sub_pos, pt_pos) = 1""")
 def notes_merged_like_subsections(spark, sf):
