@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,3 +32,17 @@ def clean(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; call it once the results that rest on them are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """rows with a number from 0 in the given order. They are sorted over all tasks and stored; a row adds its place in
+    its part to the rows of the parts before, of which there are as many as shuffle partitions."""
+    placed = stored(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33).cast("int")
+    before, total = [], 0
+    for k, n in sorted((r["_part"], r["n"]) for r in placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()):
+        before.append((k, total))
+        total += n
+    offsets = placed.sparkSession.createDataFrame(before, "_part int, _before long")
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_before", "_place")

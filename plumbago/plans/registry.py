@@ -245,13 +245,13 @@ def _ranks_sql(rounds: int) -> str:
     """The power iteration written out, a stage a round."""
     out = f"WITH {_G}, k AS (SELECT source, count(*) AS k FROM e1 GROUP BY source), c AS (SELECT count(*)::DOUBLE AS n FROM n1), p0 AS (SELECT id, 1 / c.n AS r FROM n1, c)"
     for i in range(rounds):
-        out += f", p{i + 1} AS (SELECT n1.id, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM p{i} WHERE id NOT IN (SELECT source FROM k))) / c.n + 0.85::DOUBLE * coalesce(g.got, 0) AS r FROM n1 CROSS JOIN c LEFT JOIN (SELECT target, sum(r / k) AS got FROM e1 JOIN k USING (source) JOIN p{i} ON p{i}.id = e1.source GROUP BY target) g ON g.target = n1.id)"
+        out += f", p{i + 1} AS MATERIALIZED (SELECT n1.id, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM p{i} WHERE id NOT IN (SELECT source FROM k))) / c.n + 0.85::DOUBLE * coalesce(g.got, 0) AS r FROM n1 CROSS JOIN c LEFT JOIN (SELECT target, sum(r / k) AS got FROM e1 JOIN k USING (source) JOIN p{i} ON p{i}.id = e1.source GROUP BY target) g ON g.target = n1.id)"
     return out + f" SELECT id, round(r, 9) AS rank FROM p{rounds}"
 
 
-@query(_ranks_sql(6))
+@query(_ranks_sql(30))
 def graph_pagerank(spark, sf):
-    return graph.pagerank(_nodes(spark, sf, 1), _edges(spark, sf, 1), rounds=6).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(_nodes(spark, sf, 1), _edges(spark, sf, 1), rounds=30).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(f"""WITH RECURSIVE {_G}, held AS (SELECT source, target, edge_idx FROM e1 WHERE relation LIKE '%part of%'),
@@ -506,7 +506,7 @@ def concept_centrality(spark, sf):
     from plumbago.operators import concepts
 
     nodes, edges = _nodes(spark, sf, 1), _edges(spark, sf, 1)
-    return concepts.centrality(nodes, edges, "asia " * 12 + "united kingdom and europe are places in this text", rounds=10).select("id", F.round("score", 9).alias("score"))
+    return concepts.centrality(nodes, edges, "asia " * 12 + "united kingdom and europe are places in this text", rounds=30).select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_G}, s AS (SELECT source, min(a.label) AS s, CASE relation WHEN 'is part of' THEN 'is part of' ELSE relation END AS v, list(b.label ORDER BY edge_idx) AS o FROM e2 JOIN n2 a ON a.id = source JOIN n2 b ON b.id = target GROUP BY source, relation),
@@ -526,4 +526,4 @@ def like_labels(spark, sf):
     return concepts.same_labels(places)
 
 
-from plumbago.plans import rules, texts  # noqa: E402, F401  (they register their queries)
+from plumbago.plans import rules, structure, texts  # noqa: E402, F401  (they register their queries)
