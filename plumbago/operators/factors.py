@@ -107,12 +107,12 @@ def factors(matrix: DataFrame, width: int, topics: int = TOPICS, rounds: int = R
     return rows.select("id", "w"), h, errors
 
 
-def document_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, rounds: int = ROUNDS, stops: tuple[str, ...] = (), words: int = 5) -> DataFrame:
+def document_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, stops: tuple[str, ...] = (), words: int = 5) -> DataFrame:
     """(id, topic, weight, words): each text's heaviest topic, ties to the first, and the topic's heaviest features,
     joined by commas. A text without a feature has topic null and weight 0. Null texts have no words; an empty table
     gives an empty result; other columns are ignored."""
     matrix, names = tfidf_rows(docs, id_col, text_col, stops)
-    weights, h, _ = factors(matrix, len(names), topics, rounds)
+    weights, h, _ = factors(matrix, len(names), topics, rounds, tolerance)
     label = [", ".join(names[j] for j in sorted(range(len(names)), key=lambda j: (-row[j], names[j]))[:words]) for row in h]
     best = F.array_position("w", F.array_max("w")).cast("int") - 1
     told = weights.select(F.col("id").alias("key"), best.alias("topic"), F.array_max("w").alias("weight"))

@@ -214,18 +214,13 @@ def _vectors(spark, sf, nodes: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(n)).select("id", F.pmod("pos", "n").alias("vec_id")).join(table, "vec_id").select("id", F.col("embedding").alias("vec"))
 
 
-def _places(spark, sf, n: int):
-    """The regions and nations of a graph, and the edges between them."""
-    nodes = _nodes(spark, sf, n).where("type <> 'party'")
-    return nodes, _edges(spark, sf, n).where("relation <> 'is located in'"), _vectors(spark, sf, nodes)
-
-
-@query(f"""WITH {_G}, v AS (SELECT id, embedding AS vec FROM n1 JOIN embeddings ON vec_id = pos % (SELECT count(*) FROM embeddings) WHERE type <> 'party'),
-ends AS (SELECT source AS id, target AS other FROM e1 WHERE relation = 'is part of' UNION ALL SELECT target, source FROM e1 WHERE relation = 'is part of'),
+@query(f"""WITH {_G}, v AS (SELECT id, embedding AS vec FROM n1 JOIN embeddings ON vec_id = pos % (SELECT count(*) FROM embeddings)),
+ends AS (SELECT source AS id, target AS other FROM e1 UNION ALL SELECT target, source FROM e1),
 m AS (SELECT ends.id, k, avg(vec[k]::DOUBLE) AS x FROM ends JOIN v ON v.id = other, range(1, len(vec) + 1) AS r(k) GROUP BY ends.id, k)
 SELECT id, CAST(k - 1 AS INT) AS k, round(x, 6) AS x FROM m""")
 def structural_vectors(spark, sf):
-    out = fusion.structural_vectors(*_places(spark, sf, 1))
+    nodes = _nodes(spark, sf, 1)
+    out = fusion.structural_vectors(nodes, _edges(spark, sf, 1), _vectors(spark, sf, nodes))
     return out.select("id", F.posexplode("vec").alias("k", "x")).select("id", "k", F.round("x", 6).alias("x"))
 
 
@@ -370,14 +365,17 @@ def rewritten_texts(spark, sf):
     return _points(spark, sf).select("grp", "turn", T.number_words(T.expand_contractions(t)).alias("plain"), T.heading_question_marks(t).alias("heading"), T.first_words(t, 25).alias("short"), Q.informative_score(t).alias("score"), Q.is_fragment(t).alias("fragment"), ranking.role(t).alias("section"))
 
 
-@query("""WITH g AS (SELECT n_name AS n, CASE WHEN length(n_name) < 3 THEN [lower(n_name)] ELSE list_distinct(list_transform(range(1, length(n_name) - 1), lambda i: substr(lower(n_name), i, 3))) END AS a FROM nation)
-SELECT x.n AS first, y.n AS second, round(len(list_intersect(x.a, y.a))::DOUBLE / len(list_distinct(list_concat(x.a, y.a))), 6) AS likeness FROM g x JOIN g y ON x.n < y.n WHERE len(list_intersect(x.a, y.a)) > 0""")
+_TRIGRAMS = "CASE WHEN length({0}) < 3 THEN [lower({0})] ELSE list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr(lower({0}), i, 3))) END"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_type AS name, {_TRIGRAMS.format("p_type")} AS a FROM part), p AS (SELECT p_partkey, {_TRIGRAMS.format("p_name")} AS b FROM part)
+SELECT name, p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS likeness FROM n JOIN p ON len(list_intersect(a, b)) > 0""")
 def label_likeness(spark, sf):
-    names = _t(spark, sf, "nation").select(F.col("n_name").alias("n"), S.trigrams(F.lower("n_name")).alias("g"))
-    grams = names.select("n", F.explode("g").alias("x"))
-    pairs = grams.join(grams.select(F.col("n").alias("m"), "x"), "x").where("n < m").select("n", "m").distinct()
-    both = pairs.join(names, "n").join(names.select(F.col("n").alias("m"), F.col("g").alias("h")), "m")
-    return both.select(F.col("n").alias("first"), F.col("m").alias("second"), F.round(S.jaccard(F.col("g"), F.col("h")), 6).alias("likeness"))
+    """The few types of parts, the queries, against the names of all parts that share a trigram with one."""
+    names = _t(spark, sf, "part").select(F.col("p_type").alias("name")).distinct().withColumn("a", S.trigrams(F.lower("name")))
+    parts = _t(spark, sf, "part").select("p_partkey", S.trigrams(F.lower("p_name")).alias("b"))
+    pairs = names.select("name", F.explode("a").alias("x")).join(parts.select("p_partkey", F.explode("b").alias("x")), "x").select("name", "p_partkey").distinct()
+    return pairs.join(names, "name").join(parts, "p_partkey").select("name", "p_partkey", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("likeness"))
 
 
 # -- statistics, upserts, streams -------------------------------------------------------------------------------------------
@@ -517,13 +515,15 @@ def concept_sentences(spark, sf):
     return concepts.sentences_of(_nodes(spark, sf, 2), _edges(spark, sf, 2))
 
 
-@query(f"""WITH {_G}, w AS (SELECT id, pos, list_distinct(list_filter(regexp_extract_all(lower(label), '[a-z]+'), lambda x: length(x) > 2)) AS w FROM (SELECT id, pos, label, type FROM n1 UNION ALL SELECT id, pos + 5000, label, type FROM n2) WHERE type <> 'party')
-SELECT a.id AS first, b.id AS later FROM w a JOIN w b ON a.pos < b.pos WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.72""")
+@query("""WITH h AS (SELECT substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80) AS label, min(doc_id) AS id FROM documents GROUP BY 1), w AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(label), '[a-z]+'), lambda x: length(x) > 2 AND NOT list_contains(['a', 'an', 'the', 'of', 'in', 'for', 'to', 'and', 'or', 'is', 'are', 'was', 'were', 'its', 'this', 'that', 'by', 'as', 'from', 'with'], x))) AS w FROM h)
+SELECT a.id AS first, b.id AS later FROM w a JOIN w b ON a.id < b.id WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.72""")
 def like_labels(spark, sf):
+    """The beginnings of all documents, one for those that are equal: pairs between representatives."""
     from plumbago.operators import concepts
 
-    places = _nodes(spark, sf, 1).unionByName(_nodes(spark, sf, 2).withColumn("pos", F.col("pos") + 5000)).where("type <> 'party'")
-    return concepts.same_labels(places)
+    label = F.substring(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)), 1, 80)
+    heads = _t(spark, sf, "documents").groupBy(label.alias("label")).agg(F.min("doc_id").alias("id"))
+    return concepts.same_labels(heads.select("id", F.col("id").alias("pos"), "label"))
 
 
 from plumbago.plans import rules, structure, texts  # noqa: E402, F401  (they register their queries)

@@ -14,7 +14,7 @@ from plumbago.functions import bullets as B
 from plumbago.functions import quality as Q
 from plumbago.functions import repairs as R
 from plumbago.functions import text as T
-from plumbago.operators import notes
+from plumbago.operators import notes, phrases
 from plumbago.plans.registry import _GARBAGE, _t, query
 
 #: {x}: a nation's name; {n}: the same in lower case.
@@ -276,3 +276,22 @@ SELECT notes_id, sec_pos, min(coalesce(m.w, CASE WHEN bad THEN upper(h[1]) || h[
 def notes_headings_from_words(spark, sf):
     out = notes.headings_from_words(_points_of_rules(spark, sf))
     return out.groupBy("notes_id", "sec_pos").agg(F.min("sec_heading").alias("sec_heading"), F.count("*").alias("n"))
+
+
+def _second(n: int) -> str:
+    """The start of the second of the first two equal runs of n words, from 1; null without any."""
+    runs = f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+    first = f"list_filter(range(1, len(r{n}) + 1), lambda i: list_position(r{n}[i + 1:], r{n}[i]) > 0)[1]"
+    return f"SELECT *, {first} AS i{n} FROM (SELECT *, {runs} AS r{n} FROM {{of}})"
+
+
+_REPEATS = _second(6).format(of="w")
+for _n in (5, 4, 3):
+    _REPEATS = _second(_n).format(of=f"({_REPEATS})")
+_STARTS = ", ".join(f"WHEN i{n} IS NOT NULL THEN struct_pack(s := i{n} + list_position(r{n}[i{n} + 1:], r{n}[i{n}]), n := {n})".lstrip() for n in (6, 5, 4, 3)).replace(", WHEN", " WHEN")
+
+
+@query(rf"""WITH {_B}, x AS (SELECT *, CASE WHEN len(w) < 6 THEN NULL {_STARTS} END AS f FROM ({_REPEATS}))
+SELECT bullet_id, CASE WHEN f IS NULL THEN t ELSE regexp_replace(array_to_string(list_concat(w[:f.s - 1], w[f.s + f.n:]), ' '), '[ .]+$', '') || '.' END AS text FROM x""")
+def collapsed_phrases(spark, sf):
+    return phrases.without_repeated_phrases(_bullets(spark, sf), "bullet_id", "t")

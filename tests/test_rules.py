@@ -93,3 +93,31 @@ def test_accents(spark):
 
     row = spark.createDataFrame([("moré Définition ÅÑ e\u0301 ßæø 字 ǭ",)], "t string").select(T.without_accents(F.col("t")).alias("t")).first()
     assert row["t"] == "more Definition AN e ßæø 字 o"
+
+
+def test_repeated_phrases(spark):
+    import random
+    import time
+
+    from plumbago.operators import phrases
+
+    rng = random.Random(5)
+
+    def brute(words):
+        for n in range(6, 2, -1):
+            for i in range(len(words) - n + 1):
+                for j in range(i + 1, len(words) - n + 1):
+                    if words[i : i + n] == words[j : j + n]:
+                        return j, n
+        return None
+
+    for _ in range(400):
+        words = rng.choices("abcd", k=rng.randrange(0, 24))
+        assert phrases.repeat(words) == brute(words)
+    start = time.time()
+    phrases.collapsed(" ".join(f"w{i}" for i in range(100_000)))
+    phrases.collapsed("same " * 100_000)
+    assert time.time() - start < 5
+    rows = [(1, "a b c d a b c e"), (1, None), (2, "x y"), (3, "the cat sat. and the cat sat. .")]
+    got = sorted(map(tuple, phrases.without_repeated_phrases(spark.createDataFrame(rows, "k int, text string"), "k").collect()))
+    assert got == [(1, ""), (1, "a b c d e."), (2, "x y"), (3, "the cat sat. and.")]
