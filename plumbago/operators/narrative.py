@@ -174,7 +174,8 @@ INTRODUCTIONS = ("definition", "introduction", "overview", "history", "origin",
 def sentence_priority(sentence: Column) -> Column:
     """The earliest of PRIORITIES that a sentence holds something of, else 10."""
     s = F.lower(F.coalesce(sentence, F.lit("")))
-    return F.least(F.lit(10), *(F.when(F.contains(s, F.lit(cue)), p).otherwise(10) for cue, p in PRIORITIES.items()))
+    cues = F.array(*(F.struct(F.lit(cue).alias("cue"), F.lit(p).alias("p")) for cue, p in PRIORITIES.items()))
+    return F.coalesce(F.array_min(F.transform(F.filter(cues, lambda x: F.contains(s, x["cue"])), lambda x: x["p"])), F.lit(10))
 
 
 def by_priority(sentences: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from plumbago.functions import similarity as S
 from plumbago.functions import text as T
 from plumbago.operators import alignment as A
 from plumbago.operators import narrative as N
-from plumbago.operators import notes
+from plumbago.operators import notes, refining
 from plumbago.plans.registry import _G, _edges, _nodes, _t, query
 from plumbago.plans.rules import _B, _P, _bullets, _holds, _list, _m, _plain_sql, _plain_text, _points_of_rules, _q
 
@@ -405,3 +405,43 @@ pq AS (SELECT x.notes_id, CASE WHEN x.n >= y.n THEN y.sec_pos ELSE x.sec_pos END
 SELECT notes_id, sec_heading, sub_heading, text FROM p ANTI JOIN pq USING (notes_id, sec_pos, sub_pos, pt_pos)""")
 def notes_without_repeated_definitions(spark, sf):
     return notes.without_repeated_definitions(_points_of_rules(spark, sf)).select("notes_id", "sec_heading", "sub_heading", "text")
+
+
+_RELATIONS = ("(includes|contains|has|comprises)", "(is a|is an|is|are)", "(uses|supports|provides|enables)", "(defines|describes|represents)", "(related to|associated with|connected to|covers)", "(stores|manages|organizes|processes)", "(implements|performs|allows)", "(known as|also known as)")
+_FIRST_LEAD = r"regexp_extract(s, '^(.*?)\b(?:" + "|".join(_RELATIONS).replace("(", "(?:") + r")\b', 1, 'is')"
+_TRIED = " ".join(rf"WHEN regexp_matches(part, '^{lead}\b{p}\b(.*)$', 'is') THEN struct_pack(r := lower(regexp_extract(part, '^{lead}\b{p}\b(.*)$', {k}, 'is')), o := regexp_extract(part, '^{lead}\b{p}\b(.*)$', {k + 1}, 'is'))" for lead, k in (("", 1), ("(.*?)", 2)) for p in _RELATIONS)
+_NEAT = r"regexp_replace(trim(regexp_replace(regexp_replace(trim({0}), '^[.,;:]+|[.,;:]+$', '', 'g'), '\s+', ' ', 'g')), '\.+', '.', 'g')"
+_BIG = "upper(left({0}, 1)) || substr({0}, 2)"
+_TRIPLES = rf"""sp AS (SELECT key, pos, unnest(string_split(regexp_replace(sentence, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(sentence, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS k FROM s),
+sq AS (SELECT key, pos, k, rtrim(trim(s), '.') AS s FROM sp WHERE rtrim(trim(s), '.') <> ''), sr AS (SELECT *, {_FIRST_LEAD} AS lead, string_split_regex(trim(s), '\s+') AS ws FROM sq WHERE regexp_matches(s, '\b(?:{"|".join(_RELATIONS)})\b', 'i')),
+st AS (SELECT *, substr(s, length(lead) + 1) AS rest, trim(regexp_replace(CASE WHEN trim(lead) <> '' THEN trim(lead) WHEN len(ws) >= 3 THEN ws[1] || ' ' || ws[2] END, '^The\s+', '', 'i')) AS subject FROM sr),
+su AS (SELECT key, pos, k, subject, trim(unnest(string_split_regex(rest, ',\s*'))) AS part, generate_subscripts(string_split_regex(rest, ',\s*'), 1) - 1 AS i FROM st WHERE subject IS NOT NULL),
+sv AS (SELECT key, pos, k, i, subject, CASE {_TRIED} ELSE struct_pack(r := 'related to', o := part) END AS f FROM su WHERE part <> ''),
+tr AS (SELECT key, pos, k, i, subject, f.r AS relation, regexp_replace(regexp_replace(rtrim(trim(f.o), '.,;'), '^to\s+', '', 'i'), '^the\s+', '', 'i') AS object FROM sv),
+tn AS (SELECT key, pos, k, i, {_NEAT.format("subject")} AS s0, relation, {_NEAT.format("object")} AS o0 FROM tr WHERE length(object) > 1), tb AS (SELECT key, pos, k, i, {_BIG.format("s0")} AS subject, relation, {_BIG.format("o0")} AS object FROM tn),
+tc AS (SELECT *, CASE WHEN (contains(lower(subject), 'data') AND contains(lower(object), 'information')) OR (contains(lower(subject), 'information') AND contains(lower(object), 'data')) THEN 'data_transformation' ELSE least(lower(subject), lower(object)) || chr(1) || greatest(lower(subject), lower(object)) END AS pair
+ FROM tb WHERE length(subject) >= 2 AND length(object) >= 2 AND lower(subject) <> lower(object) AND lower(object) NOT IN ('the', 'a', 'an', 'to', 'it', 'is') AND relation NOT IN ('is associated with', 'is understood through', 'combines to form program', 'is related to')),
+tt AS MATERIALIZED (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY key, pair ORDER BY pos, k, i) = 1)"""
+
+
+@query(f"WITH {_S}, {_TRIPLES} SELECT key, pos, CAST(k AS INT) AS k, CAST(i AS INT) AS i, subject, relation, object FROM tt")
+def text_triples(spark, sf):
+    return refining.clean_triples(refining.triples(_sentences(spark, sf))).select("key", "place.*", "subject", "relation", "object")
+
+
+_SAID = {k: v for k, v in (("is a", "is a type of"), ("known as", "is also known as"), ("also known as", "is also referred to as"), ("related to", "is associated with"), ("associated with", "works with"), ("connected to", "connects to"))}
+_VERB = "CASE relation " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in _SAID.items()) + " ELSE relation END"
+_JOINED = "CASE len({0}) WHEN 1 THEN {0}[1] WHEN 2 THEN {0}[1] || ' and ' || {0}[2] ELSE array_to_string(list_slice({0}, 1, len({0}) - 1), ', ') || ', and ' || {0}[len({0})] END"
+
+
+@query(f"""WITH {_S}, {_TRIPLES}, o AS (SELECT *, (pos::BIGINT * 100000 + k) * 100000 + i AS pl FROM tt), ob AS (SELECT key, lower(trim(subject)) AS who, relation, min(pl) AS pl, arg_min(subject, pl) AS subject, list(object ORDER BY pl) AS os FROM o GROUP BY ALL),
+cl AS (SELECT *, CASE WHEN who IN ('data structure', 'data structures') AND contains(lower(array_to_string(os, ' ')), 'type of particular way') THEN 'is a systematic method for organizing data' ELSE {_VERB} || ' ' || {_JOINED.format("os")} END AS clause FROM ob),
+su2 AS (SELECT key, who, min(pl) AS pl, arg_min(subject, pl) AS subject, list(clause ORDER BY pl) AS cs FROM cl GROUP BY key, who)
+SELECT key, {_BIG.format("subject")} || ' ' || {_JOINED.format("cs")} || '.' AS sentence FROM su2""")
+def subject_sentences(spark, sf):
+    return refining.subject_sentences(refining.clean_triples(refining.triples(_sentences(spark, sf)))).select("key", "sentence")
+
+
+@query()
+def refined_texts(spark, sf):
+    return refining.refined(_sentences(spark, sf))
