@@ -17,6 +17,7 @@ from plumbago.functions import repairs as R
 from plumbago.functions import similarity as S
 from plumbago.functions import text as T
 from plumbago.operators import dedup
+from plumbago.operators.tables import stored
 
 #: Relations and the kind of subsection they belong to, looked up in this order.
 SUBSECTIONS = {
@@ -433,12 +434,22 @@ def merged_like_subsections(points: DataFrame, threshold: float = 0.55) -> DataF
 
 def without_repeated_definitions(points: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Of two definitions in different sections that share so many of the larger's words, the one in the section of fewer
-    points goes, the later if both have as many."""
+    points goes, the later if both have as many.
+
+    Two definitions that alike share a word among the rarest of each: one of n words is filed under its
+    n - ceil(threshold n) + 1 rarest, and only those filed together are compared, so words that every definition holds
+    bring nothing together.
+    """
     sized = points.withColumn("_n", F.count("*").over(W.partitionBy("notes_id", "sec_pos"))).where(F.col("text").rlike(DEFINITION))
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^a-z\s]", ""), r"\s+"), lambda w: w != ""))
-    own = sized.select("notes_id", F.struct("sec_pos", "sub_pos", "pt_pos").alias("at"), "_n", words.alias("ws"))
-    each = lambda at, n, size: own.select("notes_id", F.col("at").alias(at), F.col("_n").alias(n), F.size("ws").alias(size), F.explode("ws").alias("w"))
-    pairs = each("x", "nx", "a").join(each("y", "ny", "b"), ["notes_id", "w"]).where("x.sec_pos < y.sec_pos")
-    like = pairs.groupBy("notes_id", "x", "y", "nx", "ny", "a", "b").agg(F.count("*").alias("n")).where(F.expr(f"n >= {threshold} * greatest(a, b)"))
+    own = stored(sized.select("notes_id", F.struct("sec_pos", "sub_pos", "pt_pos").alias("at"), "_n", words.alias("ws")), "definitions")
+    each = own.select("notes_id", "at", F.explode("ws").alias("w"))
+    rare = each.join(each.groupBy("w").agg(F.count("*").alias("df")), "w").groupBy("notes_id", "at").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    kept = F.size("ws") - F.ceil(threshold * F.size("ws") - 1e-9).cast("int") + 1
+    filed = stored(rare.select("notes_id", "at", F.explode(F.slice("ws", F.lit(1), kept)).alias("f")).select("notes_id", "at", F.col("f.w").alias("w")), "filed")
+    near = filed.withColumnRenamed("at", "x").join(filed.withColumnRenamed("at", "y"), ["notes_id", "w"]).where("x.sec_pos < y.sec_pos").select("notes_id", "x", "y").distinct()
+    side = lambda at, n, ws: own.select("notes_id", F.col("at").alias(at), F.col("_n").alias(n), F.col("ws").alias(ws))
+    both = near.join(side("x", "nx", "wx"), ["notes_id", "x"]).join(side("y", "ny", "wy"), ["notes_id", "y"])
+    like = both.where(F.size(F.array_intersect("wx", "wy")) >= threshold * F.greatest(F.size("wx"), F.size("wy")))
     gone = like.select("notes_id", F.when(F.col("nx") >= F.col("ny"), F.col("y")).otherwise(F.col("x")).alias("at")).select("notes_id", "at.*").distinct()
     return renumbered(points.join(gone, ["notes_id", "sec_pos", "sub_pos", "pt_pos"], "left_anti"))

@@ -48,8 +48,9 @@ def triples_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: Column, order: str) -> DataFrame:
     """Rows of both with the latest of each key; what a table format's MERGE would do."""
-    both = old.unionByName(new).withColumn("_k", key)
-    return both.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy(F.desc(order)))).where("_r = 1").drop("_k", "_r")
+    both = old.unionByName(new)
+    last = both.groupBy(key.alias("_k")).agg(F.max_by(F.struct(*both.columns), order).alias("_row"))
+    return last.select("_row.*")
 
 
 def notes_lines(points: DataFrame) -> DataFrame:
