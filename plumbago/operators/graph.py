@@ -69,14 +69,17 @@ def levels(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = CONTAINM
     """
     held = edges.where(_holds("relation", kinds)).where("source <> target").select("source", "target", "edge_idx")
     held = _cut(held.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").join(nodes.select(F.col("id").alias("source")), "source", "left_semi"))
-    done = _cut(nodes.select("id").join(held.select(F.col("target").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))
-    front = done
+    parts = [_cut(nodes.select("id").join(held.select(F.col("target").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))]
     for depth in count(1):
-        found = held.join(front.select(F.col("id").alias("source")), "source").groupBy("target").agg(F.min_by("source", "edge_idx").alias("parent"))
+        found = held.join(parts[-1].where(F.col("level") == depth - 1).select(F.col("id").alias("source")), "source").groupBy("target").agg(F.min_by("source", "edge_idx").alias("parent"))
+        done = reduce(DataFrame.unionByName, parts)
         front = _cut(found.select(F.col("target").alias("id"), F.lit(depth).alias("level"), "parent").join(done.select("id"), "id", "left_anti"))
         if front.isEmpty():
             break
-        done = _cut(done.unionByName(front))
+        parts.append(front)
+        if len(parts) > 4:  # a deep graph's plan stays small too
+            parts = [_cut(reduce(DataFrame.unionByName, parts))]
+    done = reduce(DataFrame.unionByName, parts)
     rest = nodes.select("id").join(done.select("id"), "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"))
     return done.unionByName(rest)
 
