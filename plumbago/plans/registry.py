@@ -526,4 +526,4 @@ def like_labels(spark, sf):
     return concepts.same_labels(heads.select("id", F.col("id").alias("pos"), "label"))
 
 
-from plumbago.plans import rules, structure, texts  # noqa: E402, F401  (they register their queries)
+from plumbago.plans import likeness, rules, structure, texts  # noqa: E402, F401  (they register their queries)
