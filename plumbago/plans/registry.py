@@ -16,7 +16,7 @@ from plumbago.functions import similarity as S
 from plumbago.functions import text as T
 from plumbago.operators import dedup, evaluation, fusion, graph, ranking, statistics
 from plumbago.sources import graphs
-from plumbago.streaming import slides
+from plumbago.streaming import slides, timeline
 
 FLAGSHIP = "fused_nodes"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,6 +422,17 @@ def stable_frames(spark, sf):
     return slides.stable_frames(e, tolerance=15.0)
 
 
+def _frames(spark, sf) -> DataFrame:
+    """Events as frames of their users; what is written on them is their type and rounded value."""
+    e = _t(spark, sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("signal"), (F.col("event_type") != "error").alias("sharp"), F.concat_ws(":", "event_type", F.round("value").cast("string")).alias("text"))
+
+
+@query()
+def slide_timeline(spark, sf):
+    return timeline.timeline(_frames(spark, sf), timeline.Rules(gap=60.0, stable=2, tolerance=25.0, idle=86400.0))
+
+
 @query("SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang")
 def source_profile(spark, sf):
     return _t(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
