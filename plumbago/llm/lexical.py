@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_and_text, id_type, new_table, slices, small_batches, stored
+from .common import BLOCK_GROUP, id_and_text, id_type, new_table, slices, small_batches, stored
 from .decontaminate import normal_words
 
 TOP = 10
@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, size: tuple[int, int], id_col: str = "doc_id",
             yield block(ids, texts)
 
     schema = f"ids array<{id_type(docs, id_col)}>, m array<long>, ptr array<int>, doc array<short>, tf array<int>, terms binary, impacts binary"
-    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, schema), "lexical-index")
+    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, schema), "lexical-index", BLOCK_GROUP)
 
 
 def _column(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:

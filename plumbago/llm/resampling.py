@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, slices, small_batches, stored
+from .common import BLOCK_GROUP, id_and_text, id_type, slices, small_batches, stored
 from .decontaminate import normal_words
 
 BUCKETS, NGRAM = 10_000, 1
@@ -53,7 +53,7 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row], ["ids", "n_words", "indptr", "indices", "counts"])
 
     schema = f"ids array<{id_type(docs, id_col)}>, n_words array<long>, indptr array<int>, indices array<int>, counts array<int>"
-    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, schema), "count-matrix")
+    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, schema), "count-matrix", 8 * BLOCK_GROUP)
 
 
 def _cells(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:

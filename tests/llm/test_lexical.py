@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from plumbago.llm import lexical
@@ -103,3 +104,12 @@ def test_query_equals_brute_force_and_sql(spark):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(ORACLE_SQL["op11_lexical_search"])
     assert canonical(got, out.columns) == canonical(want.fetchall(), want.columns)
+
+
+def test_index_row_groups_are_bounded(spark):
+    # a reader or writer holds a row group; with Parquet's own bound, one of as many blocks as a task has
+    docs = spark.createDataFrame([(i, "alpha " * 100_000) for i in range(20)], "doc_id long, text string").coalesce(1)
+    index = lexical.build_index(docs, lexical.corpus_size(docs))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) > lexical.BLOCK_GROUP >= max(groups)
