@@ -67,7 +67,7 @@ def category(text: Column, default: str = "other") -> Column:
     """The first kind of STRUCTURE of which the text holds a cue."""
     t, out = F.lower(F.coalesce(text, F.lit(""))), F.when(F.lit(False), "")
     for name, cues in STRUCTURE.items():
-        out = out.when(F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains(t, c)), name)
+        out = out.when(T.holds_any(t, cues), name)
     return out.otherwise(default)
 
 
@@ -88,8 +88,9 @@ def split_sentences(text: Column) -> Column:
 
 def best_likeness(sentences: DataFrame, references: DataFrame) -> DataFrame:
     """sentences and `best`, the greatest likeness to a reference sentence of the key; 0 without any."""
-    pairs = sentences.join(references.select("key", F.col("sentence").alias("_r")), "key")
-    best = pairs.groupBy("key", "pos").agg(F.max(likeness(F.col("sentence"), F.col("_r"))).alias("best"))
+    own = sentences.select("key", "pos", words(F.col("sentence")).alias("a"))  # the words of each once, not of each pair
+    pairs = own.join(references.select("key", words(F.col("sentence")).alias("b")), "key")
+    best = pairs.groupBy("key", "pos").agg(F.max(S.overlap_max(F.col("a"), F.col("b"))).alias("best"))
     return sentences.join(best, ["key", "pos"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
@@ -126,7 +127,8 @@ def relevant(sentences: DataFrame, concepts: DataFrame) -> DataFrame:
 def anchors(sentences: DataFrame, references: DataFrame, concepts: DataFrame, most: float = 0.7) -> DataFrame:
     """Reference sentences, each once, that hold a concept and that no sentence is more like than `most`."""
     holding = references.join(concepts.select("key", "concept"), "key").where(F.contains(F.lower("sentence"), F.lower("concept"))).groupBy("key", "sentence").agg(F.min("pos").alias("pos"))
-    near = holding.join(sentences.select("key", F.col("sentence").alias("_s")), "key").where(likeness(F.col("sentence"), F.col("_s")) > most).select("key", "pos")
+    worded = holding.select("key", "pos", words(F.col("sentence")).alias("a"))
+    near = worded.join(sentences.select("key", words(F.col("sentence")).alias("b")), "key").where(S.overlap_max(F.col("a"), F.col("b")) > most).select("key", "pos")
     return holding.join(near, ["key", "pos"], "left_anti").select("key", "pos", "sentence")
 
 
