@@ -6,6 +6,7 @@ from plumbago.functions import quality as Q
 from plumbago.functions import text as T
 from plumbago.operators import alignment as A
 from plumbago.operators import narrative as N
+from plumbago.plans import registry
 from plumbago.plans.registry import rules
 
 
@@ -42,3 +43,12 @@ def test_a_line_is_left_out_when_its_plain_text_is_blank(spark, tmp_path):
     assert sorted((r["bullet_id"] - 1_000_000, r["t"]) for r in got.collect()) == sorted(tuple(r) for r in rows)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1  # the text is made once
+
+
+def test_words_are_taken_before_pairing(spark):
+    # where two sets of words are compared, none is read from its sentence
+    sf = "/root/testdata/sf0.001"
+    for name in ("heading_likeness", "sentence_best_likeness", "sentence_anchors"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        compared = [line for line in plan if "array_intersect" in line]
+        assert compared and not any("regexp_extract_all" in line or "split(" in line for line in compared), name
