@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from plumbago.operators.tables import stored
 
 _PAIR = ["a", "b"]
+#: Neighbours in one list, so that a node with many is several rows.
+NEIGHBOURS = 4096
 
 
 def shortest(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -67,13 +69,21 @@ def _least(out: DataFrame, seen: dict[str, DataFrame], met: DataFrame) -> DataFr
 
 def walks(edges: DataFrame, starts: DataFrame, steps: int = 4, seed: int = 42) -> DataFrame:
     """starts(walk, id) -> (walk, path): up to so many steps from a start, each to the neighbour with the least hash of
-    seed, walk, step and neighbour. A walk ends early where no edge leads on, and may come back."""
-    out = stored(edges.select("source", "target").distinct(), "edges")
+    seed, walk, step and neighbour. A walk ends early where no edge leads on, and may come back.
+
+    Neighbours stand in lists of some NEIGHBOURS at most: each list of a walk's node offers its least, and the offers
+    meet by walk. So a step moves walks and lists, and no row for each neighbour of each walk.
+    """
+    each = edges.select("source", "target").distinct()
+    sized = each.join(each.groupBy("source").agg(F.count("*").alias("n")), "source")
+    part = F.pmod(F.xxhash64("target"), F.expr(f"1 + n div {NEIGHBOURS}"))
+    lists = stored(sized.groupBy("source", part.alias("part")).agg(F.collect_list("target").alias("targets")).select("source", "targets"), "lists")
     now = stored(starts.select("walk", F.array("id").alias("path")), "walk")
     for step in range(1, steps + 1):
-        choice = F.struct(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(step), F.col("target")).alias("h"), "target")
-        ahead = now.withColumn("source", F.element_at("path", -1)).join(out, "source").groupBy("walk").agg(F.min(choice)["target"].alias("next"))
-        now = stored(now.join(ahead, "walk", "left").select("walk", F.when((F.size("path") == step) & F.col("next").isNotNull(), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path")), "walk")
+        hashed = F.transform("targets", lambda t: F.struct(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(step), t).alias("h"), t.alias("target")))  # noqa: B023
+        offers = now.withColumn("source", F.element_at("path", -1)).join(lists, "source", "left").select("walk", "path", F.array_min(hashed).alias("offer"))
+        ahead = offers.groupBy("walk").agg(F.any_value("path").alias("path"), F.min("offer")["target"].alias("next"))
+        now = stored(ahead.select("walk", F.when((F.size("path") == step) & F.col("next").isNotNull(), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path")), "walk")
     return now
 
 

@@ -104,6 +104,23 @@ def test_walks_and_selected_paths(spark):
     assert P.selected(edges.limit(0), scores.limit(0)).count() == 0 and P.selected(edges, scores.limit(1)).count() == 0
 
 
+def test_a_step_of_walks_moves_lists_and_no_row_for_each_neighbour(spark, monkeypatch):
+    hub = [("h", f"n{i}") for i in range(300)] + [(f"n{i}", "h") for i in range(300)] + [("h", None)]
+    edges = spark.createDataFrame(hub, "source string, target string")
+    starts = spark.createDataFrame([(i, "h") for i in range(200)], "walk int, id string")
+    sizes = []
+    monkeypatch.setattr(P, "stored", lambda df, label="round": sizes.append((label, df.count())) or df.localCheckpoint())
+    walked = {}
+    for size in (4096, 7):  # lists of one node, and of parts of it
+        monkeypatch.setattr(P, "NEIGHBOURS", size)
+        walked[size] = {r["walk"]: r["path"] for r in P.walks(edges, starts, 3).collect()}
+    assert walked[7] == walked[4096] and sizes[0] == ("lists", 301)
+    rows = spark.createDataFrame([(k, f"n{i}") for k in range(200) for i in range(300)], "walk int, target string")
+    want = rows.groupBy("walk").agg(F.min_by("target", F.xxhash64(F.lit(42), "walk", F.lit(1), "target")).alias("t"))
+    first = {r["walk"]: r["t"] for r in want.collect()}
+    assert {k: p[1] for k, p in walked[7].items() if p[1]} .items() <= first.items() and len({p[1] for p in walked[7].values()}) > 50
+
+
 GOOD = ["x + 1", "2xy", "a*b/c", "-(x)", "--x", "f(x) + 2", "(a)(b)", "x^2 - 3.5", "2**10", "a//b", "1e5*k", ".5 - y", "a b", "sin(x)*cos(y)", "+x - -y", "((a))", "7 % 3", "1. + 2", "E mc^2"]
 BAD = ["x", "x +", "* x y", "(x", "x)", "a = b", "()", "f()", "a..b", "for x", "the words of it", "a . b", "007 + 1", ")(", "a * / b", "a */ b", "(+)", "x!", "", "   ", None, "x and y", "a (* b)", "12", "2x"]
 
