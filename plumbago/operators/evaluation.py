@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,41 +30,48 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _clipped(pairs: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, shared, total): n-grams shared, counted no more often than on either side, and those of the reference."""
+def clipped(x: list[str], y: list[str], n: int) -> tuple[int, int]:
+    """n-grams shared, counted no more often than on either side, and those of y."""
+    a, b = (Counter(zip(*(side[k:] for k in range(n)), strict=False)) for side in (x, y))
+    return (a & b).total(), b.total()
+
+
+def _scored(pairs: DataFrame, key: str, fields: str, score: Callable[[list[str], list[str]], tuple[int, ...]]) -> DataFrame:
+    """(key, fields) by the score of each pair's tokens. Both sides are in one row, so nothing is shuffled; pairs are
+    scored some hundred at a time."""
+    names = [key, *(f.split()[0] for f in fields.split(", "))]
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows = [score(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names)
+
+    kind = pairs.schema[key].dataType.simpleString()
+    tokens = pairs.select(key, T.tokens(F.col("generated")).alias("x"), T.tokens(F.col("reference")).alias("y"))
+    return tokens.mapInArrow(scores, f"{key} {kind}, {fields}")
 
-    def grams(words: str) -> Column:
-        shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - (n - 1), F.lit(0))) for k in range(n)]
-        out = shifted[0]
-        for more in shifted[1:]:
-            out = F.zip_with(out, more, lambda x, y: F.concat_ws(" ", x, y))
-        return out
 
-    words = pairs.select(key, T.tokens(F.col("generated")).alias("x"), T.tokens(F.col("reference")).alias("y"))
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), grams(c).alias("grams")) for s, c in ((0, "x"), (1, "y"))))
-    rows = words.select(key, F.explode(sides).alias("s")).select(key, "s.side", F.explode("s.grams").alias("g"))
-    counts = rows.groupBy(key, "g").agg(F.sum((F.col("side") == 0).cast("long")).alias("x"), F.sum((F.col("side") == 1).cast("long")).alias("y"))
-    return counts.groupBy(key).agg(F.sum(F.least("x", "y")).alias("shared"), F.sum("y").alias("total"))
+def _clipped(pairs: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, shared, total): n-grams shared, counted no more often than on either side, and those of the reference; a
+    pair without any on either side has no row. Keys are unique."""
+    counts = _scored(pairs, key, "shared long, total long, own long", lambda x, y: (*clipped(x, y, n), max(len(x) - n + 1, 0)))
+    return counts.where("own > 0 or total > 0").drop("own")
 
 
 def rouge(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """pairs(key, generated, reference) -> key, rouge1_recall, rouge2_recall, rougeL_recall, to four places.
 
-    Keys are unique. An empty or null reference scores 0. Counts are partial sums by key and n-gram.
+    Keys are unique. An empty or null reference scores 0. A pair is scored in its row.
     """
 
-    def lcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([lcs_length(r, g) for g, r in zip(x, y, strict=True)], pa.int64())], ["key", "lcs"])
+    def score(x: list[str], y: list[str]) -> tuple[int, ...]:
+        return lcs_length(y[:LCS_TOKENS], x[:LCS_TOKENS]), *clipped(x, y, 1), *clipped(x, y, 2)
 
-    kind = pairs.schema[key].dataType.simpleString()
-    heads = pairs.select(F.col(key).alias("key"), *(F.slice(T.tokens(F.col(c)), 1, LCS_TOKENS).alias(n) for c, n in (("generated", "x"), ("reference", "y"))))
-    long = heads.mapInArrow(lcs, f"key {kind}, lcs long")
-    one, two = (_clipped(pairs, key, n).select(F.col(key).alias(f"k{n}"), F.col("shared").alias(f"s{n}"), F.col("total").alias(f"t{n}")) for n in (1, 2))
-    joined = long.join(one, long["key"] == one["k1"], "left").join(two, long["key"] == two["k2"], "left")
+    counts = _scored(pairs, key, "lcs long, s1 long, t1 long, s2 long, t2 long", score)
     share = lambda a, b: F.bround(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 4)
-    return joined.select(F.col("key").alias(key), share("s1", "t1").alias("rouge1_recall"), share("s2", "t2").alias("rouge2_recall"), share("lcs", "t1").alias("rougeL_recall"))
+    return counts.select(key, share("s1", "t1").alias("rouge1_recall"), share("s2", "t2").alias("rouge2_recall"), share("lcs", "t1").alias("rougeL_recall"))
 
 
 def readability(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

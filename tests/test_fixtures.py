@@ -277,3 +277,11 @@ def test_graph_prose_and_centrality(spark):
     n, e = nodes(spark, [("a", "A", "", ""), ("b", "B", "", "")]), edges(spark, [("a", "b", "is a")])
     got = {r["id"]: r["score"] for r in concepts.centrality(n, e).collect()}
     assert got["a"] == pytest.approx(0.35 * 0.350877 + 0.15 + 0.15, abs=1e-3) and got["b"] == pytest.approx(0.35 * 0.649123 + 0.15 + 0.075, abs=1e-3)
+
+
+def test_rouge_of_a_pair_is_counted_in_its_row(spark):
+    df = spark.createDataFrame([(1, "a b a b c", "a b b a"), (2, "", "x"), (3, "x y", None), (4, None, " ")], "pair_id int, generated string, reference string")
+    assert sorted(map(tuple, evaluation._clipped(df, "pair_id", 1).collect())) == [(1, 4, 4), (2, 0, 1), (3, 0, 0)]
+    assert sorted(map(tuple, evaluation._clipped(df, "pair_id", 2).collect())) == [(1, 2, 3), (3, 0, 0)]
+    for out in (evaluation.rouge(df), evaluation._clipped(df, "pair_id", 2)):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
