@@ -287,7 +287,7 @@ SELECT key, pos, c AS label, CASE WHEN contains(l, c) OR contains(c, l) THEN 3 W
 def section_match_scores(spark, sf):
     texts = _references(spark, sf).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("texts"))
     labels = _concepts(spark, sf).where("pos in (1, 2, 4)").select("key", F.lower("concept").alias("label"))
-    return _sentences(spark, sf).join(texts, "key").join(labels, "key").select("key", "pos", "label", N.match_score(F.col("label"), F.col("sentence"), F.slice("texts", 1, 1), F.col("texts")).alias("score"))
+    return N.match_scores(_sentences(spark, sf).withColumnRenamed("sentence", "heading"), labels, texts.withColumn("subheadings", F.slice("texts", 1, 1)))
 
 
 @query(f"""WITH {_P}, r AS (SELECT notes_id, sec_pos, sec_heading, any_value(CASE WHEN sec_pos % 4 = 0 THEN sec_pos END) AS root FROM p GROUP BY ALL), h AS (SELECT notes_id, sec_pos, lower(trim(sec_heading)) AS h, root FROM r)

@@ -296,3 +296,14 @@ def test_kinds_of_nodes_pass_no_table_through_the_driver(spark):
     out = concepts.node_types(nodes, edges)
     assert {r["id"] for r in out.where("type = 'Subconcept'").collect()} == {"3", "4"}  # words of three letters and idle ends don't count
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_label_is_looked_for_in_texts_once_a_key(spark):
+    from plumbago.operators import narrative
+
+    texts = spark.createDataFrame([(1, ["Trees of Life"], ["Trees of Life", "a red apple"]), (2, [], [])], "key int, subheadings array<string>, texts array<string>")
+    labels = spark.createDataFrame([(1, "trees"), (1, "apple"), (1, "pear"), (2, "pear")], "key int, label string")
+    headings = spark.createDataFrame([(1, 0, "An Apple"), (1, 1, "none"), (2, 0, "pear tree"), (3, 0, "x")], "key int, pos int, heading string")
+    got = {tuple(r) for r in narrative.match_scores(headings, labels, texts).collect()}
+    want = headings.join(labels, "key").join(texts, "key").select("key", "pos", "label", narrative.match_score(F.col("label"), F.col("heading"), F.col("subheadings"), F.col("texts")))
+    assert got == {tuple(r) for r in want.collect()} and {(1, 0, "apple", 3), (1, 1, "apple", 1), (1, 1, "trees", 2), (1, 1, "pear", 0), (2, 0, "pear", 3)} <= got
