@@ -307,3 +307,12 @@ def test_a_label_is_looked_for_in_texts_once_a_key(spark):
     got = {tuple(r) for r in narrative.match_scores(headings, labels, texts).collect()}
     want = headings.join(labels, "key").join(texts, "key").select("key", "pos", "label", narrative.match_score(F.col("label"), F.col("heading"), F.col("subheadings"), F.col("texts")))
     assert got == {tuple(r) for r in want.collect()} and {(1, 0, "apple", 3), (1, 1, "apple", 1), (1, 1, "trees", 2), (1, 1, "pear", 0), (2, 0, "pear", 3)} <= got
+
+
+def test_a_plain_text_stays_and_others_are_made_plain(spark):
+    from plumbago.plans import registry  # noqa: F401, I001  (loads the rules)
+    from plumbago.plans import rules
+
+    df = spark.createDataFrame([(t,) for t in ("a plain text", " a", "a ", "a  b", "a\tb", "é", "é ok", "日本", "“q”", "", " ", "a\n", None)], "t string")
+    rows = df.select(rules._plain_text(F.col("t")).alias("x"), rules._made_plain(F.col("t")).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in rows) and rows[4]["x"] == "a b" and rows[12]["x"] is None
