@@ -289,11 +289,12 @@ def test_rouge_of_a_pair_is_counted_in_its_row(spark):
 
 def test_kinds_of_nodes_pass_no_table_through_the_driver(spark):
     from plumbago.operators import concepts
+    from plumbago.operators.tables import stored
 
     labels = ["red apple pie", "pie", "magpie", "big tree", "oak tree ", "lone bush", "ab xyz", "xyz", None, "", "a system", "my system"]
     nodes = spark.createDataFrame([(str(i), x, "") for i, x in enumerate(labels)], "id string, label string, description string")
     edges = spark.createDataFrame([], "source string, target string")
-    out = concepts.node_types(nodes, edges)
+    out = concepts.node_types(stored(nodes), stored(edges))  # small files, which Spark would broadcast
     assert {r["id"] for r in out.where("type = 'Subconcept'").collect()} == {"3", "4"}  # words of three letters and idle ends don't count
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
