@@ -110,6 +110,28 @@ def test_scored_alignment(spark, types, found):
     assert [(r["id1"], r["id2"], round(r["score"], 9)) for r in got] == ([("1", "z", 1.0)] if found else [])
 
 
+def test_alignment_of_blocks_equals_pairs(spark):
+    """Every pair scored by columns; copies and ties in several blocks, words and types; a vector that is no number is like nothing."""
+    rng = np.random.default_rng(3)
+    kinds = [np.round(rng.random(4), 2).tolist() for _ in range(9)]
+    rows = [nodes(spark, [(f"{g}{i}", ("tree node", "stack", "a-b", "")[i % 4], "", ("", "x", "y")[i % 3]) for i in range(n)]) for g, n in (("a", 40), ("b", 30))]
+    links = [edges(spark, [(f"{g}{i}", f"{g}{(i * 7 + 1) % n}", "has") for i in range(0, n, 2)]) for g, n in (("a", 40), ("b", 30))]
+    vectors = [spark.createDataFrame([(f"{g}{i}", [float("nan")] * 4 if i == 5 else kinds[(i * k) % 9]) for i in range(n)], "id string, vec array<double>") for g, n, k in (("a", 40, 2), ("b", 30, 5))]
+    got = {tuple(r) for r in fusion.align(rows[0], links[0], vectors[0], rows[1], links[1], vectors[1], block=7, many_to_one=True).collect()}
+    sides = []
+    for n, (r, e, v) in enumerate(zip(rows, links, vectors, strict=True), 1):
+        near = fusion.structural_vectors(r, e, v).withColumnRenamed("vec", "near")
+        sides.append(r.join(v, "id").join(near, "id").join(fusion._signatures(r, e), "id", "left").select(*(F.col(c).alias(f"{c}{n}") for c in ("id", "pos", "label", "type", "vec", "near", "around"))))
+    plain = lambda a, b: F.nanvl(S.cosine(F.col(a), F.col(b)), F.lit(0.0))
+    unlike = (F.col("type1") != "") & (F.col("type2") != "") & (F.col("type1") != F.col("type2"))
+    score = 0.5 * plain("vec1", "vec2") + 0.35 * plain("near1", "near2") + 0.15 * fusion.lexical(F.col("label1"), F.col("label2")) - F.when(unlike, 0.25).otherwise(0.0)
+    none = F.array().cast("array<string>")
+    gain = S.jaccard(F.coalesce("around1", none), F.coalesce("around2", none))
+    best = sides[0].crossJoin(sides[1]).select("id1", "id2", "pos2", score.alias("score"), gain.alias("gain")).groupBy("id1").agg(F.max(F.struct("score", -F.col("pos2"), "id2", "gain")).alias("m"))
+    want = {tuple(r) for r in best.select("id1", "m.id2", (F.col("m.score") + 0.2 * F.col("m.gain")).alias("score")).where("score >= 0.78").collect()}
+    assert got == want and len(got) > 10 and "a5" not in {r[0] for r in got}
+
+
 def test_lexical(spark):
     assert spark.range(1).select(fusion.lexical(F.lit("TCP/IP model"), F.lit("model"))).first()[0] == 1.0
 
