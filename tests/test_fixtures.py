@@ -143,6 +143,20 @@ def test_merge(spark):
     assert sorted((r["source"], r["target"], r["relation"]) for r in e.collect()) == [("a", "KG2_c", "includes"), ("a", "q", "uses")]
 
 
+def test_pagerank_takes_no_more_steps_than_its_longest_path(spark, monkeypatch):
+    """A tree takes a table for each of its levels and not for each round; a cycle is followed for all rounds."""
+    kept, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label="round": kept.append(label) or stored(df, label))
+    for links, most in (([("a", "b"), ("a", "c"), ("b", "d"), ("b", "d")], 5), ([("a", "b"), ("b", "a"), ("b", "c"), ("d", "a")], 12)):
+        kept.clear()
+        got = {r["id"]: r["rank"] for r in graph.pagerank(nodes(spark, [(x, x, "", "") for x in "abcd"]), edges(spark, [(*x, "r") for x in links]), rounds=9).collect()}
+        out, rank = {x: {b for a, b in links if a == x} for x in "abcd"}, dict.fromkeys("abcd", 0.25)
+        for _ in range(9):
+            even = (0.15 + 0.85 * sum(rank[x] for x in rank if not out[x])) / 4
+            rank = {x: even + 0.85 * sum(rank[y] / len(out[y]) for y in rank if x in out[y]) for x in rank}
+        assert len(kept) <= most and all(abs(got[x] - rank[x]) < 1e-12 for x in rank) and len(got) == 4
+
+
 def test_salience(spark):
     scores = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.05)], "id string, score double")
     assert [r["id"] for r in graph.salient(scores, 99).orderBy("place").collect()] == ["a", "b", "c"]
