@@ -47,6 +47,22 @@ def test_links_and_rows_that_stay_equal_all_pairs(spark):
     assert len(near) > 500
 
 
+def test_slices_and_rare_words_give_the_same_and_no_meeting_is_written(spark, monkeypatch):
+    texts = some_texts()
+    near = {p: c for p, c in cosines(texts).items() if c > 0.85}
+    rows = spark.createDataFrame(texts, "n int, text string").repartition(3)
+    for head, size, meetings in ((1 << 20, 300, 50), (7, 1 << 21, 1 << 20), (0, 30, 1)):  # many slices; words beyond the head; all of them
+        written = {}
+        monkeypatch.setattr(L, "stored", lambda df, label, written=written: written.setdefault(label, df.localCheckpoint()))
+        for name, value in (("HEAD", head), ("SLICE", size), ("MEETINGS", meetings)):
+            monkeypatch.setattr(L, name, value)
+        first = {r["first"] for r in L.classes(rows, "n").collect()}
+        written.clear()
+        got = {(r["first"], r["later"]): r["cosine"] for r in L.like_texts(rows, "n").collect()}
+        assert got.keys() == {p for p in near if set(p) <= first} and all(abs(c - near[p]) < 1e-9 for p, c in got.items())
+        assert set(written) - {"bags"} == {"classes", "slices", "links"} and (head != 1 << 20 or written["slices"].count() > 1)
+
+
 def test_empty_and_wordless_tables(spark):
     for texts in ([], [(1, None)], [(1, "the"), (2, "the")]):
         rows = spark.createDataFrame(texts, "n int, text string")
