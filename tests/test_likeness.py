@@ -63,6 +63,14 @@ def test_slices_and_rare_words_give_the_same_and_no_meeting_is_written(spark, mo
         assert set(written) - {"bags"} == {"classes", "slices", "links"} and (head != 1 << 20 or written["slices"].count() > 1)
 
 
+def test_rows_that_stay_are_read_once_and_move_no_text(spark, tmp_path):
+    spark.createDataFrame([(i, "some like words", "x") for i in range(50)] + [(50, None, "y")], "n int, text string, more string").write.parquet(f"{tmp_path}/rows")
+    out = L.distinct_texts(spark.read.parquet(f"{tmp_path}/rows"), "n")
+    assert sorted(tuple(r) for r in out.collect()) == [(0, "some like words", "x"), (50, None, "y")]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Union" not in plan and plan.count(f"{tmp_path}/rows") <= 1 and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_empty_and_wordless_tables(spark):
     for texts in ([], [(1, None)], [(1, "the"), (2, "the")]):
         rows = spark.createDataFrame(texts, "n int, text string")
