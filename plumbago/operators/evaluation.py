@@ -11,23 +11,32 @@ from pyspark.sql import functions as F
 
 from plumbago.functions import text as T
 
-#: Tokens of either side that the common subsequence looks at.
-LCS_TOKENS = 500
+#: Tokens that a row of the table of common subsequences holds at once; longer texts take one strip after another.
+STRIP = 4096
 #: Relations whose source has to come first, found anywhere in a relation.
 HIERARCHICAL = ("has", "includes", "contains", "consists", "composed", "divided into", "has concept of", "has type", "type of", "is a", "has part", "comprises", "has component")
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row of the table as the bits of a number."""
-    places: dict[str, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for w in b:
-        hit = row & places.get(w, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    """Length of the longest common subsequence, one row of the table as the bits of a number. Strips of a pass what they
+    carry on to the next at each place of b, so the bits held follow the strip and not the square of the texts."""
+    carried = bytearray(len(b))
+    length = 0
+    for at in range(0, len(a), STRIP):
+        strip = a[at : at + STRIP]
+        places: dict[str, int] = {}
+        for i, w in enumerate(strip):
+            places[w] = places.get(w, 0) | 1 << i
+        full = (1 << len(strip)) - 1
+        row = full
+        for j, w in enumerate(b):
+            hit = row & places.get(w, 0)
+            if hit or carried[j]:
+                added = row + hit + carried[j]
+                carried[j] = added >> len(strip)
+                row = (added | (row - hit)) & full
+        length += len(strip) - row.bit_count()
+    return length
 
 
 def clipped(x: list[str], y: list[str], n: int) -> tuple[int, int]:
@@ -67,7 +76,7 @@ def rouge(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """
 
     def score(x: list[str], y: list[str]) -> tuple[int, ...]:
-        return lcs_length(y[:LCS_TOKENS], x[:LCS_TOKENS]), *clipped(x, y, 1), *clipped(x, y, 2)
+        return lcs_length(y, x), *clipped(x, y, 1), *clipped(x, y, 2)
 
     counts = _scored(pairs, key, "lcs long, s1 long, t1 long, s2 long, t2 long", score)
     share = lambda a, b: F.bround(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 4)

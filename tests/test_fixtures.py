@@ -78,6 +78,24 @@ def test_lcs_equals_the_table():
         assert evaluation.lcs_length(a, b) == t[-1][-1]
 
 
+def test_lcs_over_strips_equals_the_table(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(evaluation, "STRIP", 5)
+    for _ in range(50):
+        a, b = (rng.choice(list("abcd"), rng.integers(0, 40)).tolist() for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert evaluation.lcs_length(a, b) == t[-1][-1]
+
+
+def test_rouge_reads_whole_texts(spark):
+    words = [f"w{i}" for i in range(9000)]
+    df = spark.createDataFrame([(1, " ".join(["x"] * 600 + words[4000:]), " ".join(words)), (2, " ".join(words), " ".join(words))], "pair_id int, generated string, reference string")
+    assert {r[0]: r["rougeL_recall"] for r in evaluation.rouge(df).collect()} == {1: 0.5556, 2: 1.0}
+
+
 @pytest.mark.parametrize("text,relation,wanted", [("push before stack", "has", (0.0, 1, 1, 1, 1.0)), ("nothing", "has", (0.5, 1, 0, 0, 0.0)), ("push before stack", "purchases", (0.0, 1, 1, 1, 1.0)), ("push before stack", "uses", (1.0, 1, 1, 0, 1.0))])
 def test_dependency_score(spark, text, relation, wanted):
     nodes = spark.createDataFrame([("1", "Stack"), ("2", "Push")], "id string, label string")
